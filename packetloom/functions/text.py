@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 RISKY_TLDS = (".tk", ".ml", ".ga", ".cf", ".gq", ".zip", ".mov")  # fixed values
 RISKY_WORDS = ("login", "verify", "account", "secure", "update", "wallet", "php?")  # fixed values
@@ -26,7 +27,7 @@ def char_entropy(value: Column) -> Column:
     return F.when(F.length(value) > 0, bits).otherwise(0.0)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def byte_entropy(payload: pd.Series) -> pd.Series:
     """Shannon entropy in bits of payload bytes, one Arrow batch at a time."""
 

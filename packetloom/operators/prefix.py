@@ -60,7 +60,7 @@ def attach(
 
     Without ``tiebreak`` rows with equal ``at`` see each other (range frame); with it
     they are ordered (row frame). ``edges`` hold further contributions: the key columns,
-    ``at`` as ``_at`` and any of the ``sums`` names; absent names count as 0.
+    ``at`` as ``_at`` and any of the result names; absent ones add nothing.
     """
     sums, mins, maxs = sums or {}, mins or {}, maxs or {}
     folds = {**dict.fromkeys(sums, "sum"), **dict.fromkeys(mins, "min"), **dict.fromkeys(maxs, "max")}
@@ -85,7 +85,10 @@ def attach(
                 F.col("_at").cast("long").alias("_at"),
                 F.lit(0).cast("long").alias("_tie"),
                 *[
-                    (F.col(n) if n in extra.columns else F.lit(0)).alias(f"_v_{n}")
+                    (
+                        F.col(n) if n in extra.columns
+                        else F.lit(0 if folds[n] == "sum" else None)
+                    ).alias(f"_v_{n}")
                     for n in values
                 ],
             )

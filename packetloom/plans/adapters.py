@@ -46,7 +46,7 @@ _COLUMNS: dict[str, tuple[str, dict[str, str]]] = {
     }),
     "logs": ("events", {
         "id": "event_id",
-        "ts_sec": "<US> / 1000000.0",
+        "ts_sec": "CAST(<US> AS DOUBLE) / 1e6",
         "ts_us": "<US>",
         "src_ip": _SRC,
         "dst_ip": _DST,

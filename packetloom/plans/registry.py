@@ -23,11 +23,12 @@ def query(name: str, tables: tuple[str, ...] = (), sql: str | None = None) -> Ca
     def add(make: Query) -> Query:
         QUERIES[name] = make
         if sql is not None:
+            recursive = "WITH RECURSIVE" if "FROM fired WHERE" in sql else "WITH"
             head = adapters.with_sql(*tables) if tables else ""
             body = sql.strip()
             if not tables and body.startswith(","):
                 head, body = "WITH", body[1:]
-            SQL[name] = f"{head}\n{body}".strip()
+            SQL[name] = f"{head}\n{body}".strip().replace("WITH", recursive, 1)
         return make
 
     return add

@@ -5,8 +5,14 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
+import packetloom
+
+# Helpers of the few Python UDFs travel with the job, so executors need no installation.
+cloudpickle.register_pickle_by_value(packetloom)
+
 
 def configure(spark: SparkSession) -> SparkSession:
     """Set the runtime options that results or plans depend on.
