@@ -17,17 +17,28 @@ PORT_GROUPS = {
 PROTOCOL_CODES = {"TCP": 1, "UDP": 2, "ICMP": 3}
 FLAG_BITS = {"F": 1, "S": 2, "R": 4, "P": 8, "A": 16}
 
-# IPv4 blocks that are private, loopback, link-local or reserved, and the
-# addresses inside them that are globally reachable.
-SPECIAL_IPV4 = (
-    "0.0.0.0/8", "10.0.0.0/8", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12",
-    "192.0.0.0/24", "192.0.2.0/24", "192.168.0.0/16", "198.18.0.0/15",
-    "198.51.100.0/24", "203.0.113.0/24", "240.0.0.0/4",
+# Addresses that are private, loopback, link-local or reserved.
+SPECIAL_IPV4 = "|".join(
+    (
+        r"(0|10|127)\..*", r"169\.254\..*", r"172\.(1[6-9]|2[0-9]|3[01])\..*",
+        r"192\.0\.0\.(?!(9|10)$).*", r"192\.0\.2\..*", r"192\.168\..*", r"198\.1[89]\..*",
+        r"198\.51\.100\..*", r"203\.0\.113\..*", r"(24[0-9]|25[0-5])\..*",
+    )
+)
+PUBLIC_IPV6 = "|".join(
+    (
+        r"(?!200[12]:)[23][0-9a-f]{3}:.*", r"2001:(?!(0?[01]?[0-9a-f]{0,2}|0?db8)(:|$)).*",
+        r"fe[c-f][0-9a-f]:.*", r"ff[0-9a-f]{2}:.*",
+    )
 )
-PUBLIC_IPV4 = ("192.0.0.9/32", "192.0.0.10/32")
 
 _OCTET = "(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _IPV4 = rf"^{_OCTET}(\.{_OCTET}){{3}}$"
+_IPV6 = (
+    r"^(?!.*:::)(?!.*::.*::)(?=.*::|([^:]*:){7}|([^:]*:){6}[0-9.]+$)(?!([^:]*:){9})"
+    r"(?!(?!::)(?!.*::$)([^:]*:){8})"
+    r"([0-9a-f]{0,4}:)+([0-9a-f]{0,4}|[0-9.]{7,15})$"
+)
 
 
 def ipv4_number(address: Column) -> Column:
@@ -39,47 +50,13 @@ def ipv4_number(address: Column) -> Column:
     return F.when(address.rlike(_IPV4), number)
 
 
-def _block(cidr: str) -> tuple[int, int]:
-    base, length = cidr.split("/")
-    first = 0
-    for part in base.split("."):
-        first = first * 256 + int(part)
-    return first, first + 2 ** (32 - int(length)) - 1
-
-
-def _ipv4_special(number: Column) -> Column:
-    inside = F.lit(False)
-    for cidr in SPECIAL_IPV4:
-        inside = inside | number.between(*_block(cidr))
-    for cidr in PUBLIC_IPV4:
-        inside = inside & ~number.between(*_block(cidr))
-    return inside
-
-
 def is_private(address: Column) -> Column:
     """Private, loopback, link-local or reserved; anything unparsable is not."""
-    text = F.lower(F.trim(address))
-    v4 = ipv4_number(text)
-    mapped = ipv4_number(F.regexp_extract(text, r"^::ffff:([0-9.]+)$", 1))
-    groups = F.split(text, ":")
-    is_v6 = (
-        text.rlike(r"^[0-9a-f:.]*$")
-        & text.contains(":")
-        & ~text.rlike(r":::|::.*::|[0-9a-f]{5,}")
-        & (text.contains("::") | (F.size(groups) == 8) | (F.size(groups) == 7) & text.contains("."))
-        & (F.size(groups) <= 9)
-    )
-    first = F.coalesce(F.conv(F.get(groups, F.lit(0)), 16, 10).try_cast("long"), F.lit(0))
-    second = F.coalesce(F.conv(F.get(groups, F.lit(1)), 16, 10).try_cast("long"), F.lit(0))
-    global_unicast = first.between(0x2000, 0x3FFF) & ~(
-        (first == 0x2001) & ((second < 0x0200) | (second == 0x0DB8))
-    )
-    v6_special = ~(global_unicast | first.between(0xFEC0, 0xFEFF) | (first >= 0xFF00))
-    return (
-        F.when(v4.isNotNull(), _ipv4_special(v4))
-        .when(mapped.isNotNull(), _ipv4_special(mapped))
-        .when(is_v6, v6_special)
-        .otherwise(F.lit(False))
+    # An IPv4 address written as IPv6 counts as what it is.
+    text = F.regexp_replace(F.lower(F.trim(address)), r"^::ffff:(?=[0-9.]+$)", "")
+    special = F.when(text.contains(":"), text.rlike(_IPV6) & ~text.rlike(f"^({PUBLIC_IPV6})$"))
+    return F.coalesce(
+        special.otherwise(text.rlike(_IPV4) & text.rlike(f"^({SPECIAL_IPV4})$")), F.lit(False)
     )
 
 

@@ -177,9 +177,20 @@ def _fill(text: str, words: dict[str, str]) -> str:
     return text
 
 
+_TEXT_TABLES = ("documents", "pages", "conversations")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the driver's tables."""
-    return configure(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    """One of the driver's tables.
+
+    Scanning texts is heavy per row. A text table stored in fewer pieces than there are
+    cores is dealt out to all of them; one with many pieces is left as it is read.
+    """
+    rows = configure(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in _TEXT_TABLES and rows.rdd.getNumPartitions() < cores:
+        rows = rows.repartition(cores)
+    return rows
 
 
 def adapt(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
