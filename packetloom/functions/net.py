@@ -35,9 +35,9 @@ PUBLIC_IPV6 = "|".join(
 _OCTET = "(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _IPV4 = rf"^{_OCTET}(\.{_OCTET}){{3}}$"
 _IPV6 = (
-    r"^(?!.*:::)(?!.*::.*::)(?=.*::|([^:]*:){7}|([^:]*:){6}[0-9.]+$)(?!([^:]*:){9})"
+    r"^(?!.*:::)(?!.*::.*::)(?=.*::|([^:]*:){7}|([^:]*:){6}([0-9]+\.){3}[0-9]+$)(?!([^:]*:){9})"
     r"(?!(?!::)(?!.*::$)([^:]*:){8})"
-    r"([0-9a-f]{0,4}:)+([0-9a-f]{0,4}|[0-9.]{7,15})$"
+    r"([0-9a-f]{0,4}:)+([0-9a-f]{0,4}|([0-9]{1,3}\.){3}[0-9]{1,3})$"
 )
 
 
@@ -52,8 +52,7 @@ def ipv4_number(address: Column) -> Column:
 
 def is_private(address: Column) -> Column:
     """Private, loopback, link-local or reserved; anything unparsable is not."""
-    # An IPv4 address written as IPv6 counts as what it is.
-    text = F.regexp_replace(F.lower(F.trim(address)), r"^::ffff:(?=[0-9.]+$)", "")
+    text = F.lower(F.trim(address))
     special = F.when(text.contains(":"), text.rlike(_IPV6) & ~text.rlike(f"^({PUBLIC_IPV6})$"))
     return F.coalesce(
         special.otherwise(text.rlike(_IPV4) & text.rlike(f"^({SPECIAL_IPV4})$")), F.lit(False)

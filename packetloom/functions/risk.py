@@ -25,7 +25,8 @@ ATTACK_PREFIXES = (
 
 
 def clamp(value: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), value))
+    """Into 0..1; NULL stays NULL, which least() and greatest() would skip."""
+    return F.when(value.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), value)))
 
 
 def _no(flag: Column) -> Column:
