@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from packetloom.operators.prefix import MINUTE_US, attach, distinct_edges, leaving
@@ -49,6 +49,27 @@ def port_scan(
     return counted.withColumn("is_port_scan", F.col("recent_ports") >= n)
 
 
+def _distinct_in_rows(
+    ranked: DataFrame, keys: list[str], rank: str, item: str, spans: dict[str, int], chunk: int
+) -> DataFrame:
+    """Distinct items among the newest n rows of a key, for each n of ``spans``.
+
+    Rows are cut into ranges of ranks. The last n - 1 rows of a range are repeated at the
+    head of the next, so every window holds at most chunk + n rows, whatever the key.
+    """
+    back = max(spans.values()) - 1
+    chunk = max(chunk, back + 1)
+    own = F.floor(F.col(rank) / chunk)
+    ranges = F.array_distinct(F.array(own, F.floor((F.col(rank) + back) / chunk)))
+    spread = ranked.withColumns({"_own": own, "_range": F.explode(ranges)})
+    frame = Window.partitionBy(*keys, "_range").orderBy(rank)
+    counts = {
+        name: F.size(F.collect_set(item).over(frame.rowsBetween(1 - n, 0))).cast("long")
+        for name, n in spans.items()
+    }
+    return spread.withColumns(counts).where(F.col("_own") == F.col("_range")).drop("_own", "_range")
+
+
 def detect(
     packets: DataFrame, flood_n: int = 120, flood_s: float = 3, scan_n: int = 15,
     scan_s: float = 8, chunk: int = MINUTE_US, row_chunk: int = 10_000,
@@ -60,33 +81,23 @@ def detect(
     packets, which is before a flood can be counted; else a flood wins over a scan.
     ``history`` (B4) makes only the newest that many packets of a source count.
     """
-    src = ["src_ip"]
+    src, at = ["src_ip"], "ts_us"
     flood_us, scan_us = int(flood_s * SECOND_US), int(scan_s * SECOND_US)
     one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    narrow = packets.select("packet_id", "src_ip", "ts_us", "dst_port")
 
     ranked = attach(
-        packets, src, "ts_us", sums={"_rank": one}, tiebreak="packet_id", chunk=chunk
-    )
-    # Ports of the newest flood_n rows: the same sliding distinct, over row numbers. Rows
-    # older than the scan window cannot matter: a flood keeps all flood_n rows inside it.
-    near = attach(
-        ranked, src, "_rank", sums={"_near_ports": none},
-        edges=[distinct_edges(ranked, src, "dst_port", "_rank", flood_n - 1, "_near_ports", row_chunk)],
-        chunk=row_chunk,
+        packets, src, at, sums={"_rank": one}, tiebreak="packet_id", chunk=chunk, base=narrow
     )
-    if history:
-        near = attach(
-            near, src, "_rank", sums={"_kept_ports": none},
-            edges=[distinct_edges(ranked, src, "dst_port", "_rank", history - 1, "_kept_ports", row_chunk)],
-            chunk=row_chunk,
-        )
+    spans = {"_near_ports": flood_n} | ({"_kept_ports": history} if history else {})
+    near = _distinct_in_rows(ranked, src, "_rank", "dst_port", spans, row_chunk)
     timed = attach(
-        near, src, "ts_us", sums={"_flood": one, "_ports": none},
+        near, src, at, sums={"_flood": one, "_ports": none},
         edges=[
-            leaving(packets, src, "ts_us", flood_us, "_flood", one),
-            distinct_edges(packets, src, "dst_port", "ts_us", scan_us, "_ports", chunk),
+            leaving(narrow, src, at, flood_us, "_flood", one),
+            distinct_edges(narrow, src, "dst_port", at, scan_us, "_ports", chunk),
         ],
-        chunk=chunk,
+        chunk=chunk, base=narrow,
     )
     ports = F.least("_ports", "_kept_ports") if history else F.col("_ports")
     flooding = F.col("_flood") > flood_n

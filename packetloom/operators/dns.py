@@ -95,15 +95,16 @@ def dns_reasons(
     width = int(window_s * SECOND_US)
     flagged = dns_flags(queries, long, entropy)
     src, is_txt, none = ["src_ip"], F.col("is_txt").cast("long"), F.lit(0).cast("long")
+    named = with_names(queries)
     seen = attach(
         flagged, src, "ts_us",
         sums={"_names": none, "_txt": is_txt, "_bases": none},
         edges=[
-            distinct_edges(flagged, src, "qname", "ts_us", width, "_names", chunk),
-            leaving(flagged, src, "ts_us", width, "_txt", is_txt),
-            _churn_edges(flagged, churn, width, "_bases", chunk),
+            distinct_edges(named, src, "qname", "ts_us", width, "_names", chunk),
+            leaving(named, src, "ts_us", width, "_txt", is_txt),
+            _churn_edges(named, churn, width, "_bases", chunk),
         ],
-        chunk=chunk,
+        chunk=chunk, base=named,
     )
     many, churned = F.col("_names") >= unique, F.col("_bases") > 0
     tunnel = (F.col("high_entropy") & many) | (churned & F.col("long_qname"))

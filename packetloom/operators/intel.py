@@ -60,16 +60,18 @@ def _network_key(number: Column, length: Column) -> Column:
 
 
 def match_blocklist(
-    df: DataFrame, blocklist: DataFrame, col: str = "src_ip", exact: bool = False
+    df: DataFrame, blocklist: DataFrame, col: str = "src_ip", exact: bool = False,
+    base: DataFrame | None = None,
 ) -> DataFrame:
-    """Add ``listed``.
+    """Add ``listed``; ``base`` is a cheaper table with the same addresses.
 
     ``blocklist`` has ``value``: an address or an IPv4 network. Networks become an
     equi-join on (masked address, prefix length), one key per length the list has (33 at
     most). ``exact`` compares text only.
     """
     entries = blocklist.select(F.trim("value").alias("value")).distinct()
-    ips = df.select(F.trim(F.col(col)).alias("_ip")).where(F.col("_ip").isNotNull()).distinct()
+    ips = (df if base is None else base).select(F.trim(F.col(col)).alias("_ip"))
+    ips = ips.where(F.col("_ip").isNotNull()).distinct()
     if exact:
         keyed = entries.select(F.col("value").alias("_network"))
         probes = ips.select("_ip", F.col("_ip").alias("_network"))
@@ -284,13 +286,15 @@ def enrich(
     zeek: DataFrame | None = None, cache: DataFrame | None = None,
     cache_as_of_time: Column | None = None, min_score: float = 0.25, full: float = 0.45,
     trusted: bool = True, pressure: float = 0.0, skip_heavy: bool = False,
-    exact: bool = False,
+    exact: bool = False, base: DataFrame | None = None,
 ) -> DataFrame:
     """Add ti_ip, ti_url, zeek and ``intel_reasons`` to scored records.
 
     Needs src_ip, adjusted_score and behavior; url is optional. The blocklist is always
     consulted. Other sources only see records above the gate, and of those only the
     distinct indicators: the joins carry the gate, so records below it match nothing.
+    ``base`` is a cheaper table with the same src_ip and url values, such as the packets
+    the records come from: indicators are then taken from it, and ``df`` is computed once.
     """
     gate = max(min_score, 0.0 if trusted else 0.40, 0.50 if pressure > 0.5 else 0.0)
     heavy = not (skip_heavy or pressure > 0.75)
@@ -299,7 +303,7 @@ def enrich(
 
     rows = df.withColumn("_private", net.is_private(F.col("src_ip")))
     if blocklist is not None:
-        rows = match_blocklist(rows, blocklist, "src_ip", exact).withColumn(
+        rows = match_blocklist(rows, blocklist, "src_ip", exact, base).withColumn(
             "_blocked", F.col("listed") & ~F.col("_private")
         ).drop("listed")
     else:
@@ -315,7 +319,8 @@ def enrich(
     blocked = F.struct(F.lit("malicious").alias("verdict"), F.lit(1.0).alias("score"))
 
     asks_ip = F.col("_open") & ~F.col("_blocked") & (F.col("src_ip") != "")
-    found = lookup_ips(rows.where(asks_ip), blocklist, abuse, meta, "src_ip", exact).select(
+    asking = rows.where(asks_ip) if base is None else base
+    found = lookup_ips(asking, blocklist, abuse, meta, "src_ip", exact).select(
         F.col("indicator").alias("_ip"), "verdict", "score"
     )
     found = _prefer_cache(found, "_ip", "ip", cache, cache_as_of_time)
@@ -337,7 +342,8 @@ def enrich(
             & ((F.col("adjusted_score") >= full) | bad_ip)
         )
         rows = rows.withColumn("_asks_url", asks_url)
-        urls = lookup_urls(rows.where("_asks_url"), votes).select(
+        asking = rows.where("_asks_url") if base is None or "url" not in base.columns else base
+        urls = lookup_urls(asking, votes).select(
             F.col("indicator").alias("_url"), "verdict", "score"
         )
         urls = _prefer_cache(urls, "_url", "url", cache, cache_as_of_time)

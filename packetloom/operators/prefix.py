@@ -55,12 +55,15 @@ def attach(
     edges: Sequence[DataFrame] = (),
     tiebreak: str | None = None,
     chunk: int = MINUTE_US,
+    base: DataFrame | None = None,
 ) -> DataFrame:
     """Add running totals up to and including each row.
 
     Without ``tiebreak`` rows with equal ``at`` see each other (range frame); with it
     they are ordered (row frame). ``edges`` hold further contributions: the key columns,
-    ``at`` as ``_at`` and any of the result names; absent ones add nothing.
+    ``at`` as ``_at`` and any of the result names; absent ones add nothing. ``base`` is a
+    cheaper table with the same keys, ``at`` and values, row for row: chunk totals are then
+    taken from it, and costly ``events`` are computed once instead of twice.
     """
     sums, mins, maxs = sums or {}, mins or {}, maxs or {}
     folds = {**dict.fromkeys(sums, "sum"), **dict.fromkeys(mins, "min"), **dict.fromkeys(maxs, "max")}
@@ -69,35 +72,41 @@ def attach(
     key_cols = [F.col(k).alias(n) for k, n in zip(keys, names)]
     row_type = events.schema
     order = F.col(tiebreak) if tiebreak else F.lit(0)
-
-    body = events.select(
-        F.struct(*[F.col(f"`{c}`") for c in events.columns]).alias("_row"),
+    own = [
         *key_cols,
         F.col(at).cast("long").alias("_at"),
-        order.cast("long").alias("_tie"),
         *[v.alias(f"_v_{n}") for n, v in values.items()],
-    )
-    for extra in edges:
-        body = body.unionByName(
-            extra.select(
-                F.lit(None).cast(row_type).alias("_row"),
-                *key_cols,
-                F.col("_at").cast("long").alias("_at"),
-                F.lit(0).cast("long").alias("_tie"),
-                *[
-                    (
-                        F.col(n) if n in extra.columns
-                        else F.lit(0 if folds[n] == "sum" else None)
-                    ).alias(f"_v_{n}")
-                    for n in values
-                ],
-            )
+    ]
+    added = [
+        extra.select(
+            *key_cols,
+            F.col("_at").cast("long").alias("_at"),
+            *[
+                (
+                    F.col(n) if n in extra.columns
+                    else F.lit(0 if folds[n] == "sum" else None)
+                ).alias(f"_v_{n}")
+                for n in values
+            ],
         )
-    body = body.withColumn("_chunk", _chunk(F.col("_at"), chunk))
-    carried = _carry(body, names, {f"_v_{n}": kind for n, kind in folds.items()})
-    whole = body.unionByName(
-        carried.withColumn("_row", F.lit(None).cast(row_type)).withColumn(
-            "_tie", F.lit(0).cast("long")
+        for extra in edges
+    ]
+
+    def with_chunk(df: DataFrame) -> DataFrame:
+        return df.withColumn("_chunk", _chunk(F.col("_at"), chunk))
+
+    totalled = with_chunk(all_of([(events if base is None else base).select(*own), *added]))
+    carried = _carry(totalled, names, {f"_v_{n}": kind for n, kind in folds.items()})
+    others = carried if not added else carried.unionByName(with_chunk(all_of(added)))
+    rows = with_chunk(
+        events.select(
+            F.struct(*[F.col(f"`{c}`") for c in events.columns]).alias("_row"),
+            order.cast("long").alias("_tie"), *own,
+        )
+    )
+    whole = rows.unionByName(
+        others.withColumns(
+            {"_row": F.lit(None).cast(row_type), "_tie": F.lit(0).cast("long")}
         )
     )
     frame = Window.partitionBy(*names, "_chunk")
