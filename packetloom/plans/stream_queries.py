@@ -15,17 +15,30 @@ from packetloom.session import shared_dir
 from packetloom.streaming import streams, windowed
 
 
-def _parts(spark: SparkSession, sf_dir: str, name: str, pieces: int = 3) -> tuple[DataFrame, str]:
-    """An adapter as a file stream of ``pieces`` batches in time order, and a work folder."""
+def _run(spark: SparkSession, sf_dir: str, name: str, start, pieces: int = 3) -> str:
+    """Feed an adapter to a file stream, one time range after the other.
+
+    ``start(stream, base)`` gives the writer. Every range is one run of the stream over
+    the files that are new, so batches come in time order. Returns the work folder.
+    """
     base = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     rows = adapt(spark, sf_dir, name)
-    rows.repartitionByRange(pieces, "ts_us").sortWithinPartitions("ts_us").write.parquet(f"{base}/in")
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
-    return stream, base
-
-
-def _finish(writer) -> None:
-    writer.trigger(availableNow=True).start().awaitTermination()
+    low, high = rows.agg(F.min("ts_us"), F.max("ts_us")).head()
+    step = (high - low) // pieces + 1
+    for piece in range(pieces):
+        rows.where((F.col("ts_us") - low) / step >= piece).where(
+            (F.col("ts_us") - low) / step < piece + 1
+        ).write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{base}/in")
+        start(stream, base).trigger(availableNow=True).start().awaitTermination()
+    return base
+
+
+def _to_files(df: DataFrame, base: str):
+    return (
+        df.writeStream.outputMode("append").format("parquet")
+        .option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint")
+    )
 
 
 @query("q5_minute_counts_stream", ("logs",), f"""
@@ -35,23 +48,20 @@ GROUP BY bucket HAVING bucket + 60 <= (SELECT max(ts_us) FROM logs) / 1e6 - 60
 """)
 def q5_minute_counts_stream(spark, sf_dir):
     """Minutes the watermark has closed; the last ones stay open in a stream."""
-    stream, base = _parts(spark, sf_dir, "logs")
-    counts = streams.minute_counts(stream, "1 minute")
-    _finish(
-        counts.writeStream.outputMode("append").format("parquet")
-        .option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint")
+    base = _run(
+        spark, sf_dir, "logs", lambda df, base: _to_files(streams.minute_counts(df, "1 minute"), base)
     )
     return spark.read.parquet(f"{base}/out")
 
 
 @query("b12_detect_stream", ("packets",), _precedence(5, 2 * DAY_US, 4, 3 * DAY_US))
 def b12_detect_stream(spark, sf_dir):
-    stream, base = _parts(spark, sf_dir, "packets")
-    _finish(
-        windowed.detect_stream(
-            stream, f"{base}/state", f"{base}/out", f"{base}/checkpoint",
+    base = _run(
+        spark, sf_dir, "packets",
+        lambda df, base: windowed.detect_stream(
+            df, f"{base}/state", f"{base}/out", f"{base}/checkpoint",
             flood_n=5, flood_s=2 * DAY_S, scan_n=4, scan_s=3 * DAY_S,
-        )
+        ),
     )
     return spark.read.parquet(f"{base}/out").select("packet_id", "src_ip", "behavior")
 
@@ -61,12 +71,12 @@ SELECT f.src_ip, f.ts_us, cand.burst_count FROM fired f JOIN cand ON cand.src_ip
 WHERE f.ts_us IS NOT NULL
 """)
 def a3_alert_stream(spark, sf_dir):
-    stream, base = _parts(spark, sf_dir, "logs")
-    _finish(
-        windowed.alert_stream(
-            stream, f"{base}/state", f"{base}/out", f"{base}/checkpoint",
+    base = _run(
+        spark, sf_dir, "logs",
+        lambda df, base: windowed.alert_stream(
+            df, f"{base}/state", f"{base}/out", f"{base}/checkpoint",
             n=1, window_s=3 * DAY_S, gap_s=2 * DAY_S,
-        )
+        ),
     )
     return spark.read.parquet(f"{base}/out").select("src_ip", "ts_us", "burst_count")
 
@@ -77,8 +87,10 @@ UNION ALL SELECT 'ai_history', count(*), CAST(sum(id) AS BIGINT) FROM logs
 UNION ALL SELECT 'dangerous_ips', count(DISTINCT src_ip), count(*) FROM logs WHERE classification = 'dangerous'
 """)
 def s8_write_verdicts(spark, sf_dir):
-    stream, base = _parts(spark, sf_dir, "logs")
-    _finish(windowed.write_verdicts(stream, f"{base}/store", f"{base}/checkpoint"))
+    base = _run(
+        spark, sf_dir, "logs",
+        lambda df, base: windowed.write_verdicts(df, f"{base}/store", f"{base}/checkpoint"),
+    )
 
     def counted(name: str) -> DataFrame:
         return spark.read.parquet(f"{base}/store/{name}").agg(
@@ -93,10 +105,9 @@ def s8_write_verdicts(spark, sf_dir):
 
 @query("f2_closed_flows_stream", ("packets",))
 def f2_closed_flows_stream(spark, sf_dir):
-    stream, base = _parts(spark, sf_dir, "packets")
-    closed = streams.closed_flows(stream.withColumn("src_port", F.lit(1)).withColumn("dst_port", F.lit(2)), "12 hours")
-    _finish(
-        closed.writeStream.outputMode("append").format("parquet")
-        .option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint")
-    )
+    def start(df, base):
+        one_port = df.withColumns({"src_port": F.lit(1), "dst_port": F.lit(2)})
+        return _to_files(streams.closed_flows(one_port, "12 hours"), base)
+
+    base = _run(spark, sf_dir, "packets", start)
     return spark.read.parquet(f"{base}/out")
