@@ -1,8 +1,9 @@
-"""Attack signatures as one regular expression per category."""
+"""Attack signatures: per category, substring tests and guarded regular expressions."""
 
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -62,30 +63,96 @@ SIGNATURES = {
 
 # Without case in all scripts, \s in all scripts, and "." stops at line feeds only.
 _FLAGS = "(?iuUd)"
+# Letters outside ASCII that equal an ASCII letter when case is ignored.
+_FOLDED_FROM, _FOLDED_TO = "\u0130\u017f\u0131\u212a", "isik"
 
 
-def category_patterns(disabled: Iterable[str] = ()) -> dict[str, str]:
-    """Alternation of the enabled patterns per category, categories in sorted order."""
+def literal_runs(pattern: str) -> tuple[list[str], bool]:
+    """Texts every match contains, lower case, and whether the pattern is just one text.
+
+    Knows the syntax the patterns use: escapes, classes, groups of escapes and quantifiers.
+    """
+    runs, run, plain = [], "", True
+
+    def close() -> None:
+        nonlocal run
+        if run:
+            runs.append(run.lower())
+        run = ""
+
+    i = 0
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "\\" and not pattern[i + 1].isalnum():
+            run, i = run + pattern[i + 1], i + 2
+        elif c == "\\" and pattern[i + 1] == "x":
+            run, i = run + chr(int(pattern[i + 2:i + 4], 16)), i + 4
+        elif c == "\\":
+            close()
+            plain, i = False, i + 2
+        elif c == "{":
+            # "At least n" holds wherever n in a row are found.
+            end = pattern.index("}", i)
+            run += run[-1] * (int(pattern[i + 1:end].rstrip(",")) - 1)
+            plain, i = plain and end + 1 == len(pattern), end + 1
+            close()
+        elif c in "*?":
+            run = run[:-1]
+            close()
+            plain, i = False, i + 1
+        elif c == "[":
+            close()
+            plain, i = False, pattern.index("]", i) + 1
+        elif c in ".+":
+            close()
+            plain, i = False, i + 1
+        else:
+            run, i = run + c, i + 1
+    close()
+    return runs, plain
+
+
+def category_patterns(disabled: Iterable[str] = ()) -> dict[str, list[str]]:
+    """The enabled patterns per category, categories in sorted order."""
     off = set(disabled)
     kept = {c: [p for p in SIGNATURES[c] if p not in off] for c in sorted(SIGNATURES)}
-    return {c: "|".join(patterns) for c, patterns in kept.items() if patterns}
+    return {c: patterns for c, patterns in kept.items() if patterns}
+
+
+def folded(text: Column) -> Column:
+    """The text as the literal tests read it."""
+    return F.lower(F.translate(text, _FOLDED_FROM, _FOLDED_TO))
+
+
+def _found(text: Column, low: Column, patterns: list[str]) -> Column:
+    """Some pattern matches. Fixed texts are substring tests; a regular expression only
+    runs on texts that have all its fixed parts."""
+    texts, guarded = [], []
+    for pattern in patterns:
+        runs, plain = literal_runs(pattern)
+        if plain:
+            texts.append(low.contains(runs[0]))
+        else:
+            match = text.rlike(_FLAGS + pattern)
+            guarded.append(reduce(Column.__and__, [*[low.contains(r) for r in runs], match]))
+    return reduce(Column.__or__, texts + guarded)
 
 
-def signatures(text: Column, disabled: Iterable[str] = ()) -> Column:
-    """Sorted categories found in a text."""
+def signatures(text: Column, low: Column, disabled: Iterable[str] = ()) -> Column:
+    """Sorted categories found in a text; ``low`` is folded(text), best held as a column."""
     return F.array_compact(
         F.array(
-            *[F.when(text.rlike(_FLAGS + p), c) for c, p in category_patterns(disabled).items()]
+            *[F.when(_found(text, low, ps), c) for c, ps in category_patterns(disabled).items()]
         )
     )
 
 
-def signatures_any(texts: Column, disabled: Iterable[str] = ()) -> Column:
-    """Sorted categories found in some text of an array."""
+def signatures_any(pairs: Column, disabled: Iterable[str] = ()) -> Column:
+    """Sorted categories found in some text of an array of (text, low)."""
 
-    def found(pattern: str) -> Column:
-        return F.exists(texts, lambda t: t.rlike(_FLAGS + pattern))
+    def some(patterns: list[str]) -> Column:
+        return F.exists(pairs, lambda p: _found(p["text"], p["low"], patterns))
 
     return F.array_compact(
-        F.array(*[F.when(found(p), c) for c, p in category_patterns(disabled).items()])
+        F.array(*[F.when(some(ps), c) for c, ps in category_patterns(disabled).items()])
     )

@@ -13,18 +13,14 @@ RISKY_WORDS = ("login", "verify", "account", "secure", "update", "wallet", "php?
 
 
 def char_entropy(value: Column) -> Column:
-    """Shannon entropy in bits of the characters of a short string."""
+    """Shannon entropy in bits of the characters of a short string, best a held column."""
     size = F.length(value)
-
-    def share(char: Column) -> Column:
-        return (size - F.length(F.replace(value, char, F.lit("")))) / size
-
-    bits = F.aggregate(
+    counts = F.transform(
         F.array_distinct(F.split(value, "")),
-        F.lit(0.0),
-        lambda total, char: total - share(char) * F.log2(share(char)),
+        lambda char: (size - F.length(F.replace(value, char, F.lit("")))).cast("double"),
     )
-    return F.when(F.length(value) > 0, bits).otherwise(0.0)
+    weighed = F.aggregate(counts, F.lit(0.0), lambda total, n: total + n * F.log2(n))
+    return F.when(size > 0, F.log2(size) - weighed / size).otherwise(0.0)
 
 
 @F.pandas_udf(T.DoubleType())

@@ -17,14 +17,17 @@ TXT_CODES = ("TXT", "16")  # fixed values: record type by name and by number
 def with_names(queries: DataFrame) -> DataFrame:
     """Trimmed name, type, base domain (B5) and character entropy (B6); no empty names."""
     name = F.trim(F.col("qname"))
-    return queries.where(name != "").withColumns(
+    is_txt = F.upper(F.col("qtype").cast("string")).isin(*TXT_CODES)
+    held = queries.where(name != "").withColumns(
+        {"qname": name, "_bare": F.replace(name, F.lit("."), F.lit(""))}
+    )
+    return held.withColumns(
         {
-            "qname": name,
-            "is_txt": F.coalesce(F.upper(F.col("qtype").cast("string")).isin(*TXT_CODES), F.lit(False)),
-            "base_domain": text.base_domain(name),
-            "name_entropy": text.char_entropy(F.replace(name, F.lit("."), F.lit(""))),
+            "is_txt": F.coalesce(is_txt, F.lit(False)),
+            "base_domain": text.base_domain(F.col("qname")),
+            "name_entropy": text.char_entropy(F.col("_bare")),
         }
-    )
+    ).drop("_bare")
 
 
 def dns_flags(queries: DataFrame, long: int = 60, entropy: float = 3.8) -> DataFrame:
@@ -104,7 +107,7 @@ def dns_reasons(
             leaving(named, src, "ts_us", width, "_txt", is_txt),
             _churn_edges(named, churn, width, "_bases", chunk),
         ],
-        chunk=chunk, base=named,
+        chunk=chunk,
     )
     many, churned = F.col("_names") >= unique, F.col("_bases") > 0
     tunnel = (F.col("high_entropy") & many) | (churned & F.col("long_qname"))

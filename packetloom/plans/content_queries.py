@@ -13,7 +13,8 @@ from packetloom.plans.registry import query
 def _found(col: str, prefix: str = "") -> str:
     """SQL for the sorted categories; DuckDB's engine needs (?i) and no flags for '.'."""
     tests = []
-    for category, pattern in category_patterns().items():
+    for category, patterns in category_patterns().items():
+        pattern = "|".join(patterns)
         name = prefix + (category.lower() if prefix else category)
         quoted = pattern.replace("'", "''")
         tests.append(f"CASE WHEN regexp_matches({col}, '(?i){quoted}') THEN '{name}' END")

@@ -85,9 +85,10 @@ def m12_binary_label(spark, sf_dir):
 def _stored(spark, sf_dir):
     """Stored training rows: good vectors, broken text, empty lists, short vectors."""
     n = F.col("l_partkey") % 10
-    cells = [F.col("l_quantity"), F.col("l_tax"), *[F.lit(float(i)) for i in range(15)], F.lit("NaN").cast("double")]
+    cells = [F.col("l_quantity"), F.col("l_tax"), *[F.lit(float(i)) for i in range(15)]]
+    last = F.when(n == 3, "NaN").when(n == 4, "-Infinity").when(n == 5, "null").otherwise("0")
     good = F.concat(
-        F.lit("["), F.concat_ws(",", *[c.cast("string") for c in cells[:17]]), F.lit(",NaN]")
+        F.lit("["), F.concat_ws(",", *[c.cast("string") for c in cells], last), F.lit("]")
     )
     text = F.when(n == 0, "[1, 2").when(n == 1, "[]").when(n == 2, "").otherwise(good)
     return table(spark, sf_dir, "lineitem").select(

@@ -63,22 +63,28 @@ def parse_vectors(df: DataFrame, col: str = "features_json") -> DataFrame:
     """S3: add ``features`` (NULL where the text is no usable vector) and ``skipped``."""
     if col not in df.columns and "features" in df.columns:
         col = "features"
-    # Cells are text first, so that one bad cell spoils its vector; bare NaN and Infinity
-    # are quoted to get there.
-    quoted = F.regexp_replace(
-        F.col(col).cast("string"), r"(?<=[\[,\s])(-?Infinity|NaN)(?=[\],\s])", '"$1"'
+    text = F.col(col).cast("string")
+    # Plain numbers are read as they are. Texts with NaN, Infinity, null or quoted cells
+    # are read as strings: one bad cell then spoils its vector and no other.
+    quoted = F.regexp_replace(text, r"(?<=[\[,\s])(-?Infinity|NaN)(?=[\],\s])", '"$1"')
+    odd = text.rlike('[NIn"tf]')
+    parsed = df.withColumns(
+        {
+            "_plain": F.from_json(F.when(~odd, text), "array<double>"),
+            "_cells": F.from_json(F.when(odd, quoted), "array<string>"),
+        }
     )
-    # One column per step: each is computed once, however often the next step names it.
-    parsed = df.withColumn("_cells", F.from_json(quoted, "array<string>"))
     numbers = F.transform(
         "_cells", lambda c: F.when(c.isNull(), F.lit(0.0)).otherwise(c.try_cast("double"))
     )
     parsed = parsed.withColumn("_numbers", numbers)
     usable = (F.size("_numbers") > 0) & ~F.exists("_numbers", lambda x: x.isNull())
-    vector = F.when(usable, F.transform("_numbers", clean_value))
+    vector = F.when(F.size("_plain") > 0, F.col("_plain")).when(
+        usable, F.transform("_numbers", clean_value)
+    )
     return parsed.withColumn("features", vector).withColumn(
         "skipped", F.col("features").isNull()
-    ).drop("_cells", "_numbers")
+    ).drop("_plain", "_cells", "_numbers")
 
 
 def read_training(df: DataFrame, col: str = "features_json", dim: int | None = None) -> DataFrame:
