@@ -1,7 +1,7 @@
 """Reputation of addresses and URLs.
 
-Feeds are tables; look-ups run over distinct indicators, never over packets. Spark picks
-the join by measured size, so a feed that outgrows a broadcast is shuffled instead.
+Feeds are tables that shrink to one row per indicator before they join. Spark picks the
+join by measured size, so a feed that outgrows a broadcast is shuffled instead.
 """
 
 from __future__ import annotations
@@ -280,6 +280,43 @@ def _reason(prefix: str, verdict: Column) -> Column:
     return F.when(verdict != "unknown", F.concat(F.lit(prefix), verdict))
 
 
+def _cached(cache: DataFrame | None, kind: str, as_of: Column | None) -> DataFrame | None:
+    """Valid entries of one kind as (_key, _cached)."""
+    if cache is None:
+        return None
+    now = F.current_timestamp() if as_of is None else as_of
+    valid = cache.where((F.col("lookup_type") == kind) & (F.col("expires_at") > now))
+    return valid.select(
+        F.col("lookup_key").alias("_key"), F.struct("verdict", "score").alias("_cached")
+    )
+
+
+def _ask(
+    rows: DataFrame, asks: Column, key: Column, found: DataFrame | None,
+    cached: DataFrame | None, default: Column, out: str,
+) -> DataFrame:
+    """Add ``out`` to rows that ask: the cached entry, else the found one, else a default.
+
+    Both tables have one row per key. The gate is part of the join condition, so rows that
+    do not ask match nothing and keep their own key, which spreads them.
+    """
+    answer = default
+    if found is not None:
+        rows = rows.join(found, asks & (key == F.col("_key")), "left").drop("_key")
+        answer = F.coalesce("_found", answer)
+    if cached is not None:
+        rows = rows.join(cached, asks & (key == F.col("_key")), "left").drop("_key")
+        answer = F.coalesce("_cached", answer)
+    return rows.withColumn(out, F.when(asks, answer.cast(_INTEL))).drop("_found", "_cached")
+
+
+_INTEL = "struct<verdict:string,score:double>"
+
+
+def _pair(verdict: Column, score: Column) -> Column:
+    return F.struct(verdict.alias("verdict"), score.cast("double").alias("score"))
+
+
 def enrich(
     df: DataFrame, blocklist: DataFrame | None = None, abuse: DataFrame | None = None,
     meta: DataFrame | None = None, votes: DataFrame | None = None,
@@ -291,49 +328,46 @@ def enrich(
     """Add ti_ip, ti_url, zeek and ``intel_reasons`` to scored records.
 
     Needs src_ip, adjusted_score and behavior; url is optional. The blocklist is always
-    consulted. Other sources only see records above the gate, and of those only the
-    distinct indicators: the joins carry the gate, so records below it match nothing.
-    ``base`` is a cheaper table with the same src_ip and url values, such as the packets
-    the records come from: indicators are then taken from it, and ``df`` is computed once.
+    consulted, other sources only for records above the gate. Feeds shrink to one row per
+    indicator and join the records directly; what a URL itself shows needs no join.
+    ``base`` is a cheaper table with the same addresses for the blocklist match.
     """
     gate = max(min_score, 0.0 if trusted else 0.40, 0.50 if pressure > 0.5 else 0.0)
     heavy = not (skip_heavy or pressure > 0.75)
-    intel_type = "struct<verdict:string,score:double>"
-    nothing = F.lit(None).cast(intel_type)
-
     rows = df.withColumn("_private", net.is_private(F.col("src_ip")))
+    blocked = F.lit(False)
     if blocklist is not None:
-        rows = match_blocklist(rows, blocklist, "src_ip", exact, base).withColumn(
-            "_blocked", F.col("listed") & ~F.col("_private")
-        ).drop("listed")
-    else:
-        rows = rows.withColumn("_blocked", F.lit(False))
-    rows = rows.withColumn(
-        "_open",
-        F.lit(heavy) & (
-            (F.col("adjusted_score") >= gate)
-            | F.coalesce(F.col("behavior").isin("port_scan", "flood"), F.lit(False))
-            | F.col("_blocked")
-        ),
+        rows = match_blocklist(rows, blocklist, "src_ip", exact, base)
+        blocked = F.col("listed") & ~F.col("_private")
+    elevated = (
+        (F.col("adjusted_score") >= gate)
+        | F.coalesce(F.col("behavior").isin("port_scan", "flood"), F.lit(False))
     )
-    blocked = F.struct(F.lit("malicious").alias("verdict"), F.lit(1.0).alias("score"))
-
+    rows = rows.withColumn("_blocked", blocked).drop("listed")
+    rows = rows.withColumn("_open", F.lit(heavy) & (elevated | F.col("_blocked")))
+
+    feeds = [f for f in (
+        None if abuse is None else abuse_verdict(abuse), None if meta is None else meta_verdict(meta)
+    ) if f is not None]
+    found = None
+    if feeds:
+        found = merge_providers(reduce(DataFrame.unionByName, feeds)).select(
+            F.col("indicator").alias("_key"), _pair(F.col("verdict"), F.col("score")).alias("_found")
+        )
     asks_ip = F.col("_open") & ~F.col("_blocked") & (F.col("src_ip") != "")
-    asking = rows.where(asks_ip) if base is None else base
-    found = lookup_ips(asking, blocklist, abuse, meta, "src_ip", exact).select(
-        F.col("indicator").alias("_ip"), "verdict", "score"
+    outside = asks_ip & ~F.col("_private")
+    cached = _cached(cache, "ip", cache_as_of_time)
+    rows = _ask(
+        rows, outside, F.trim("src_ip"), found, cached,
+        _pair(F.lit("unknown"), F.lit(None)), "ti_ip",
     )
-    found = _prefer_cache(found, "_ip", "ip", cache, cache_as_of_time)
-    rows = rows.join(found.select("_ip", F.struct("verdict", "score").alias("_found")),
-                     asks_ip & (F.trim("src_ip") == F.col("_ip")), "left").drop("_ip")
     rows = rows.withColumn(
-        "ti_ip", F.when(F.col("_blocked"), blocked).otherwise(F.col("_found")).cast(intel_type)
-    ).drop("_found")
-    reasons = [
-        F.when(F.col("_blocked"), "reputation_ip_malicious").otherwise(
-            _reason("reputation_ip_", F.col("ti_ip.verdict"))
-        )
-    ]
+        "ti_ip",
+        F.when(F.col("_blocked"), _pair(F.lit("malicious"), F.lit(1.0)))
+        .when(asks_ip & F.col("_private"), _pair(F.lit("safe"), F.lit(0.0)))
+        .otherwise(F.col("ti_ip")),
+    )
+    reasons = [_reason("reputation_ip_", F.col("ti_ip.verdict"))]
 
     if "url" in df.columns:
         bad_ip = F.coalesce(F.col("ti_ip.verdict").isin("suspicious", "malicious"), F.lit(False))
@@ -341,18 +375,26 @@ def enrich(
             F.col("_open") & (F.coalesce("url", F.lit("")) != "")
             & ((F.col("adjusted_score") >= full) | bad_ip)
         )
-        rows = rows.withColumn("_asks_url", asks_url)
-        asking = rows.where("_asks_url") if base is None or "url" not in base.columns else base
-        urls = lookup_urls(asking, votes).select(
-            F.col("indicator").alias("_url"), "verdict", "score"
+        rows = rows.withColumn("_asks_url", asks_url).withColumn(
+            "_domain", F.when(F.col("_asks_url"), text.url_domain(F.col("url")))
+        ).withColumn("_shown", text.url_score(F.col("url"), F.col("_domain")))
+        own = _rank(text.url_verdict(F.col("_domain"), F.col("_shown")))
+        worst, score = own, F.col("_shown")
+        if votes is not None:
+            by_domain = vote_verdict(votes).groupBy(F.col("indicator").alias("_voted")).agg(
+                F.max(_rank(F.col("verdict"))).alias("_rank"), F.max("score").alias("_votes")
+            )
+            rows = rows.join(by_domain, F.col("_asks_url") & (F.col("_domain") == F.col("_voted")), "left")
+            worst, score = F.greatest(own, F.col("_rank")), F.greatest(score, F.col("_votes"))
+        merged = _pair(
+            _named(F.greatest(worst, F.lit(RANK["unknown"]))), F.when(score > 0, score)
         )
-        urls = _prefer_cache(urls, "_url", "url", cache, cache_as_of_time)
-        rows = rows.join(
-            urls.select("_url", F.struct("verdict", "score").cast(intel_type).alias("ti_url")),
-            F.col("_asks_url") & (F.col("url") == F.col("_url")), "left",
-        ).drop("_url", "_asks_url")
+        rows = _ask(
+            rows, F.col("_asks_url"), F.col("url"), None, _cached(cache, "url", cache_as_of_time),
+            merged, "ti_url",
+        ).drop("_asks_url", "_domain", "_shown", "_voted", "_rank", "_votes")
     else:
-        rows = rows.withColumn("ti_url", nothing)
+        rows = rows.withColumn("ti_url", F.lit(None).cast(_INTEL))
     reasons.append(_reason("reputation_url_", F.col("ti_url.verdict")))
 
     signals = F.array().cast("array<string>")
@@ -369,23 +411,3 @@ def enrich(
     return rows.withColumn(
         "intel_reasons", F.array_distinct(F.concat(F.array_compact(F.array(*reasons)), signals))
     ).drop("_private", "_blocked", "_open")
-
-
-def _prefer_cache(
-    found: DataFrame, key: str, kind: str, cache: DataFrame | None, as_of: Column | None
-) -> DataFrame:
-    """Valid cache entries replace looked-up ones."""
-    if cache is None:
-        return found
-    now = F.current_timestamp() if as_of is None else as_of
-    held = cache_get(
-        found.withColumnRenamed(key, "lookup_key").withColumnRenamed("verdict", "_verdict")
-        .withColumnRenamed("score", "_score").withColumn("lookup_type", F.lit(kind)),
-        cache, now,
-    )
-    hit = F.col("cached").isNotNull()
-    return held.select(
-        F.col("lookup_key").alias(key),
-        F.when(hit, F.col("cached.verdict")).otherwise(F.col("_verdict")).alias("verdict"),
-        F.when(hit, F.col("cached.score")).otherwise(F.col("_score")).alias("score"),
-    )

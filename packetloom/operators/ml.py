@@ -231,7 +231,8 @@ def preview(df: DataFrame, dim: int = len(FEATURES), min_samples: int = MIN_SAMP
     ).withColumn(
         "ready", (F.col("n") >= min_samples) & (F.col("low") == dim) & (F.col("high") == dim)
     )
-    return df.where(good).groupBy("label").agg(F.count("*").alias("samples")).select(
+    by_label = df.groupBy("label").agg(F.count_if(good).alias("samples"))
+    return by_label.where(F.col("samples") > 0).select(
         "label", "samples", overall.select("high").scalar().alias("feature_dim"),
         overall.select("skipped").scalar().alias("skipped_rows"),
         overall.select("ready").scalar().alias("ready"),

@@ -191,19 +191,17 @@ def score_packets(
     narrow = packets.select("packet_id", "src_ip", "ts_us", "dst_port")
     noted = behave.detect(narrow, **(behavior or {})).where(F.col("behavior").isNotNull())
     seen = seen.join(noted.select("packet_id", "behavior"), "packet_id", "left")
-    asked = packets
     if "payload" in packets.columns:
         parsed = content.assemble_url(content.http_requests(seen))
         seen = parsed.withColumn(
             "payload_entropy", byte_entropy(F.col("payload").cast("binary"))
         )
-        asked = content.assemble_url(content.http_requests(packets))
     if {"http", "url", "payload_preview"} & set(seen.columns):
         seen = content.content_reasons(seen)
     if dns is not None:
         seen = seen.join(dns.select("packet_id", "dns_reasons"), "packet_id", "left")
     return score_records(
-        models.predict(seen), None if sources is None else {"base": asked, **sources},
+        models.predict(seen), None if sources is None else {"base": packets, **sources},
         models.has_iso, models.trusted, digits=digits,
     )
 

@@ -89,9 +89,14 @@ def parse_vectors(df: DataFrame, col: str = "features_json") -> DataFrame:
 
 def read_training(df: DataFrame, col: str = "features_json", dim: int | None = None) -> DataFrame:
     """S3: labelled vectors (features, 0/1 label); rows that do not parse are left out."""
-    rows = parse_vectors(df, col).where(~F.col("skipped")).drop("skipped")
+    parsed = parse_vectors(df, col)
+    usable = ~F.col("skipped")
     if dim is not None:
-        rows = rows.where(F.size("features") == dim)
+        usable = usable & (F.size("features") == dim)
+    # A row yields its vector or nothing. A filter would be pushed below the parsing and
+    # parse every text once more per mention.
+    rest = [c for c in parsed.columns if c not in ("features", "skipped")]
+    rows = parsed.select(*rest, F.explode(F.when(usable, F.array("features"))).alias("features"))
     if dict(rows.dtypes)["label"] == "string":
         return rows.withColumn("label", binary_label(F.col("label")))
     return rows.withColumn("label", numeric_label(F.col("label")))
