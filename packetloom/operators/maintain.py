@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from packetloom.functions.risk import known_class
@@ -64,14 +64,17 @@ def snapshot(df: DataFrame) -> DataFrame:
 
 def merge_counters(current: DataFrame, incoming: DataFrame) -> DataFrame:
     """Pushed values replace stored ones; columns not pushed or NULL stay."""
-    pushed = [c for c in incoming.columns if c != "id"]
-    joined = current.alias("c").join(incoming.alias("i"), "id", "left")
-    return joined.select(
-        "id",
-        *[
-            (F.coalesce(F.col(f"i.{c}"), F.col(f"c.{c}")) if c in pushed else F.col(f"c.{c}")).alias(c)
-            for c in current.columns if c != "id"
-        ],
+    columns = [c for c in current.columns if c != "id"]
+    both = current.withColumn("_pushed", F.lit(False)).unionByName(
+        incoming.select("id", *[c for c in columns if c in incoming.columns], F.lit(True).alias("_pushed")),
+        allowMissingColumns=True,
+    )
+
+    def value(name: str, pushed: bool) -> Column:
+        return F.max(F.when(F.col("_pushed") == pushed, F.col(name)))
+
+    return both.groupBy("id").agg(
+        *[F.coalesce(value(c, True), value(c, False)).alias(c) for c in columns]
     )
 
 

@@ -137,13 +137,13 @@ def evaluate(
 # ---- M2, M6, M10, M14: forests --------------------------------------------------------
 
 
-def balanced_weights(df: DataFrame, label: str = "label") -> DataFrame:
-    """Add ``weight`` = rows / (classes * rows of the class)."""
-    counts = df.groupBy(F.col(label).alias("_label")).agg(F.count("*").alias("_n"))
-    total, classes = counts.agg(F.sum("_n"), F.count("*")).head()
-    return df.join(counts, F.col(label) == F.col("_label")).withColumn(
-        "weight", total / (classes * F.col("_n"))
-    ).drop("_label", "_n")
+def balanced_weights(df: DataFrame, label: str = "label") -> DataFrame | None:
+    """Add ``weight`` = rows / (2 * rows of the class) for 0/1 labels; None for one class."""
+    zeros, ones = df.agg(F.count_if(F.col(label) == 0), F.count_if(F.col(label) == 1)).head()
+    if not zeros or not ones:
+        return None
+    share = F.when(F.col(label) == 1, 2.0 * ones).otherwise(2.0 * zeros)
+    return df.withColumn("weight", F.lit(float(zeros + ones)) / share)
 
 
 def fit_forest(
@@ -154,9 +154,10 @@ def fit_forest(
 
     Spark limits depth to 30, which stands in for "unlimited".
     """
-    if df.select(label).distinct().limit(2).count() < 2:
+    weighted = balanced_weights(df, label)
+    if weighted is None:
         return None
-    rows = balanced_weights(df, label).select(
+    rows = weighted.select(
         array_to_vector(F.col(features)).alias("vector"), F.col(label).cast("double").alias("label"),
         "weight",
     )

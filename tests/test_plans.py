@@ -30,6 +30,7 @@ def test_search_pushes_filters_and_columns(spark, tmp_path):
     df = spark.read.parquet(f"{SF_DIR}/events.parquet").selectExpr(
         "event_id AS id", "value AS ts_sec", "event_type AS src_ip", "event_type AS dst_ip", "props")
     df.write.parquet(str(tmp_path / "t"))
+    spark.conf.set("spark.sql.maxMetadataStringLength", 10_000)
     found = logs.search(spark.read.parquet(str(tmp_path / "t")), src_ip="click", start_time=5, end_time=9)
     plan = plan_of(logs.newest(found.select("id", "ts_sec"), 10))
     assert "EqualTo(src_ip,click)" in plan and "GreaterThanOrEqual(ts_sec,5.0)" in plan
