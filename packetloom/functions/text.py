@@ -123,7 +123,7 @@ def decode_object(raw: Column) -> Column:
         .when(parsed.isNull(), broken)
         .when(
             kind.startswith("OBJECT"),
-            F.when(F.to_json(parsed) != "{}", F.to_json(parsed)),
+            F.when(F.to_json(parsed) != "{}", raw),
         )
         .otherwise(F.concat(F.lit('{"value":'), F.to_json(parsed), F.lit("}")))
     )

@@ -485,7 +485,7 @@ def e3_decode_reasons(spark, sf_dir):
 
 
 @query("e4_decode_object", (), """
-SELECT event_id, CASE event_id % 6 WHEN 0 THEN concat('{"a":', event_id, '}') WHEN 1 THEN NULL
+SELECT event_id, CASE event_id % 6 WHEN 0 THEN concat('{"a": ', event_id, '}') WHEN 1 THEN NULL
   WHEN 2 THEN concat('{"_parse_error":true,"_raw":"{x', event_id, '"}') WHEN 3 THEN concat('{"value":[', event_id, ']}')
   WHEN 4 THEN NULL ELSE '{"value":null}' END AS object FROM events
 """)
@@ -500,6 +500,23 @@ def e4_decode_object(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", text.decode_object(raw).alias("object"))
 
 
+@query("e5_log_view", ("logs",), """
+SELECT id, src_ip, concat_ws(',', CASE WHEN id % 2 = 0 THEN 'x' END, CAST(id AS VARCHAR)) AS reasons,
+  CASE WHEN id % 3 = 0 THEN concat('{"verdict": "safe", "n": ', id, '}') END AS ti_ip FROM logs
+""")
+def e5_log_view(spark, sf_dir):
+    n = F.col("id").cast("string")
+    reasons = F.when(F.col("id") % 2 == 0, F.concat(F.lit('["x","'), n, F.lit('"]'))).otherwise(
+        F.concat(F.lit('["'), n, F.lit('"]'))
+    )
+    intel = F.when(F.col("id") % 3 == 0, F.concat(F.lit('{"verdict": "safe", "n": '), n, F.lit("}")))
+    stored = _logs(spark, sf_dir).select(
+        "id", "src_ip", reasons.alias("reasons_json"), intel.alias("ti_ip_json"),
+        F.lit("x").alias("payload_preview"),
+    )
+    return logs.log_view(stored).withColumn("reasons", F.array_join("reasons", ","))
+
+
 @query("e6_ui_time", (), """
 SELECT event_id, CASE event_id % 4 WHEN 0 THEN epoch_us(date_trunc('second', ts)) / 1e6
   WHEN 1 THEN (1700000000000 + event_id) / 1000.0 WHEN 2 THEN CAST(event_id AS DOUBLE) END AS seconds FROM events

@@ -156,6 +156,33 @@ def f6_csv_features(spark, sf_dir):
     )
 
 
+@query("f5_clean", (), _CIC + """
+SELECT rec_id, CASE WHEN v IN ('NaN', 'Infinity') THEN 0.0 ELSE CAST(v AS DOUBLE) END AS v FROM c
+""")
+def f5_clean(spark, sf_dir):
+    rows = _cic_rows(spark, sf_dir).select(
+        "rec_id", F.col("` Flow Duration`").cast("double").alias("v")
+    )
+    return flows.clean(rows, ["v"])
+
+
+@query("f7_derive_protocol", (), """
+SELECT l_orderkey * 10 + l_linenumber AS rec_id, CAST(CASE l_suppkey % 5 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 ELSE 0 END AS DOUBLE) AS mapped,
+  CAST(CASE WHEN l_linenumber % 3 = 0 THEN 1 ELSE 2 END AS DOUBLE) AS by_flags FROM lineitem
+""")
+def f7_derive_protocol(spark, sf_dir):
+    number = F.element_at(F.array(*[F.lit(n) for n in (6, 17, 1, 47, 0)]), (F.col("l_suppkey") % 5 + 1).cast("int"))
+    flags = {flows.CSV_COLUMNS[f"{n}_flag_count"]: F.lit(None).cast("string") for n in ("syn", "rst", "fin", "psh")}
+    rows = table(spark, sf_dir, "lineitem").withColumns(
+        {**flags, flows.CSV_COLUMNS["ack_flag_count"]: (F.col("l_linenumber") % 3 == 0).cast("int")}
+    )
+    given = rows.withColumn("Protocol", number)
+    return given.select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("rec_id"),
+        flows.derive_protocol(given).alias("mapped"), flows.derive_protocol(rows).alias("by_flags"),
+    )
+
+
 @query("f9_port_class", ("packets",), f"""
 , c AS (SELECT *, CASE WHEN dst_port IN (80, 443, 8080, 8443) THEN 'web' WHEN dst_port IN (53, 123) THEN 'dns_time'
     WHEN dst_port IN (22, 3389) THEN 'remote' ELSE 'unknown' END AS port_category FROM packets)

@@ -23,6 +23,17 @@ def _run(spark: SparkSession, sf_dir: str, name: str, start, pieces: int = 3) ->
     """
     base = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     rows = adapt(spark, sf_dir, name)
+    # A stream keeps one state store per shuffle partition: as many as there are cores.
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", spark.sparkContext.defaultParallelism)
+    try:
+        _feed(spark, rows, base, start, pieces)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    return base
+
+
+def _feed(spark: SparkSession, rows: DataFrame, base: str, start, pieces: int) -> None:
     low, high = rows.agg(F.min("ts_us"), F.max("ts_us")).head()
     step = (high - low) // pieces + 1
     for piece in range(pieces):
@@ -31,7 +42,6 @@ def _run(spark: SparkSession, sf_dir: str, name: str, start, pieces: int = 3) ->
         ).write.mode("append").parquet(f"{base}/in")
         stream = spark.readStream.schema(rows.schema).parquet(f"{base}/in")
         start(stream, base).trigger(availableNow=True).start().awaitTermination()
-    return base
 
 
 def _to_files(df: DataFrame, base: str):
@@ -103,11 +113,20 @@ def s8_write_verdicts(spark, sf_dir):
     )
 
 
-@query("f2_closed_flows_stream", ("packets",))
+@query("f2_closed_flows_stream", ("packets",), """
+, o AS (SELECT *, CASE WHEN ts_us - lag(ts_us) OVER (PARTITION BY src_ip, dst_ip, protocol ORDER BY ts_us) < 43200000000 THEN 0 ELSE 1 END AS fresh FROM packets),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY src_ip, dst_ip, protocol ORDER BY ts_us ROWS UNBOUNDED PRECEDING) AS sid FROM o)
+SELECT src_ip, dst_ip, protocol, min(ts_us) AS start_us, max(ts_us) AS end_us, count(*) AS packets, CAST(sum(bytes) AS BIGINT) AS bytes,
+  count(*) FILTER (WHERE contains(tcp_flags, 'S')) AS syn, count(*) FILTER (WHERE contains(tcp_flags, 'A')) AS ack
+FROM s GROUP BY src_ip, dst_ip, protocol, sid HAVING max(ts_us) + 43200000000 <= (SELECT max(ts_us) FROM packets) - 60000000
+""")
 def f2_closed_flows_stream(spark, sf_dir):
+    """Flows the watermark has closed."""
     def start(df, base):
         one_port = df.withColumns({"src_port": F.lit(1), "dst_port": F.lit(2)})
         return _to_files(streams.closed_flows(one_port, "12 hours"), base)
 
     base = _run(spark, sf_dir, "packets", start)
-    return spark.read.parquet(f"{base}/out")
+    return spark.read.parquet(f"{base}/out").select(
+        "src_ip", "dst_ip", "protocol", "start_us", "end_us", "packets", "bytes", "syn", "ack"
+    )
