@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from packetloom.functions.risk import DANGEROUS
@@ -92,11 +92,12 @@ def alert_reasons(
         "src_ip", "ts_us",
         F.explode(F.sequence(F.floor((F.col("ts_us") - width) / width), bucket)).alias("bucket"),
     )
+    inside = (F.col("last_us") >= F.col("ts_us") - width) & (F.col("first_us") <= F.col("ts_us"))
+    named = wanted.join(seen, ["src_ip", "bucket"]).where(inside).select("src_ip", "ts_us", "reason")
+    by_name = Window.partitionBy("src_ip", "ts_us").orderBy("reason")
     named = (
-        wanted.join(seen, ["src_ip", "bucket"])
-        .where((F.col("last_us") >= F.col("ts_us") - width) & (F.col("first_us") <= F.col("ts_us")))
-        .groupBy("src_ip", "ts_us")
-        .agg(F.slice(F.array_sort(F.collect_set("reason")), 1, first).alias("reasons"))
+        named.distinct().withColumn("_n", F.row_number().over(by_name)).where(F.col("_n") <= first)
+        .groupBy("src_ip", "ts_us").agg(F.array_sort(F.collect_list("reason")).alias("reasons"))
     )
     return alerts.join(named, ["src_ip", "ts_us"], "left").withColumn(
         "reasons", F.coalesce("reasons", F.array().cast("array<string>"))

@@ -83,12 +83,17 @@ def _packet_values() -> dict[str, Column]:
     }
 
 
-def running_flows(packets: DataFrame, chunk: int = MINUTE_US) -> DataFrame:
-    """the state of its flow as each packet sees it, the packet included."""
+def running_flows(
+    packets: DataFrame, chunk: int = MINUTE_US, base: DataFrame | None = None
+) -> DataFrame:
+    """the state of its flow as each packet sees it, the packet included.
+
+    ``base`` is a cheaper table of the same packets, if ``packets`` has costly columns.
+    """
     values = _packet_values()
     ran = attach(
         packets, FLOW_KEY, "ts_us", sums=values, mins={"start_us": F.col("ts_us")},
-        tiebreak="packet_id", chunk=chunk,
+        tiebreak="packet_id", chunk=chunk, base=base,
     )
     return ran.withColumns(_measures(F.col("ts_us"))).drop(*values)
 

@@ -187,17 +187,18 @@ def score_packets(
     ``has_iso`` and ``trusted`` (ml.Models). ``behavior`` are the parameters of
     behavior.detect(). ``dns`` has packet_id and dns_reasons.
     """
-    seen = flows.port_class(flows.features(flows.running_flows(packets)))
+    ready = packets
+    if "payload" in packets.columns:
+        # Payloads are read where they are and do not travel with the packets.
+        ready = content.assemble_url(content.http_requests(packets)).withColumn(
+            "payload_entropy", byte_entropy(F.col("payload").cast("binary"))
+        ).drop("payload")
+    if {"http", "url", "payload_preview"} & set(ready.columns):
+        ready = content.content_reasons(ready)
+    seen = flows.port_class(flows.features(flows.running_flows(ready, base=packets)))
     narrow = packets.select("packet_id", "src_ip", "ts_us", "dst_port")
     noted = behave.detect(narrow, **(behavior or {})).where(F.col("behavior").isNotNull())
     seen = seen.join(noted.select("packet_id", "behavior"), "packet_id", "left")
-    if "payload" in packets.columns:
-        parsed = content.assemble_url(content.http_requests(seen))
-        seen = parsed.withColumn(
-            "payload_entropy", byte_entropy(F.col("payload").cast("binary"))
-        )
-    if {"http", "url", "payload_preview"} & set(seen.columns):
-        seen = content.content_reasons(seen)
     if dns is not None:
         seen = seen.join(dns.select("packet_id", "dns_reasons"), "packet_id", "left")
     return score_records(

@@ -289,3 +289,33 @@ def test_retrain_extend_save_load(spark, tmp_path):
     assert ml.retrain(rows.limit(50), "id") is None
     single, _ = ml.retrain(rows.where("label = 0"), "id", isolation_trees=10)
     assert not single.trusted and single.predict(rows.limit(1)).head().rf_prob == 0.0
+
+
+class FixedModels:
+    """Stands in for trained models: the attack probability is that of a big packet."""
+
+    has_iso = trusted = True
+
+    def predict(self, df):
+        big = F.col("features")[4] > 1000
+        return df.withColumns({
+            "rf_prob": F.when(big, 0.9).otherwise(0.1), "rf_pred": big.cast("int"),
+            "iso_pred": F.lit(1), "iso_raw": F.lit(0.1)})
+
+
+def test_score_packets(spark):
+    start = 10**15
+    rows = [(i, start + i * 1000, "9.9.9.9", "1.1.1.1", 5, 1 + i, "TCP", "S", 60, None) for i in range(20)]
+    rows.append((20, start + 10**8, "8.8.8.8", "1.1.1.1", 5, 4444, "TCP", "PA", 1400, bytearray(b"GET /?q=<script> HTTP/1.1\r\nHost: h\r\n\r\n")))
+    packets = spark.createDataFrame(rows, "packet_id long, ts_us long, src_ip string, dst_ip string, src_port int, dst_port int,"
+                                    " protocol string, tcp_flags string, bytes long, payload binary")
+    abuse = spark.createDataFrame([("9.9.9.9", 90.0)], "indicator string, abuse_score double")
+    dns = spark.createDataFrame([(20, ["dns_txt_query"])], "packet_id long, dns_reasons array<string>")
+    got = {r.packet_id: r for r in scoring.score_packets(packets, FixedModels(), {"abuse": abuse}, dns=dns).collect()}
+    assert len(got) == 21
+    assert [got[i].behavior for i in (13, 14, 19)] == [None, "port_scan", "port_scan"]
+    assert got[19].ti_ip.verdict == "malicious" and got[19].classification == "dangerous"
+    last = got[20]
+    assert last.url == "http://h/?q=<script>" and last.unusual_port == 4444
+    assert last.reasons == ["high_rf_attack_probability", "unusual_port_4444", "traffic_burst", "http_xss", "dns_txt_query", "ml_attack"]
+    assert last.explanation.attack_signals and last.adjusted_score > last.ml_score
