@@ -90,16 +90,27 @@ def c2_assemble_url(spark, sf_dir):
     return content.assemble_url(content.http_requests(_requests(spark, sf_dir))).select("page_id", "url")
 
 
-@query("c6_content_reasons", ("payloads",), f"""
+@query("c6_content_gate", ("payloads",), f"""
 , b AS (SELECT payload_id, concat_ws(' ', CASE WHEN payload_id % 4 < 2 THEN 'short' ELSE payload END) AS blob FROM payloads)
 SELECT payload_id, CASE WHEN length(blob) >= 24 OR contains(blob, '=') OR contains(blob, '?') OR (contains(blob, '/') AND length(blob) > 12)
   THEN {_found('blob', 'http_')} ELSE '' END AS content_reasons FROM b
 """)
-def c6_content_reasons(spark, sf_dir):
-    rows = adapt(spark, sf_dir, "payloads").select(
+def c6_content_gate(spark, sf_dir):
+    """The texts as they are; c6_content_reasons also looks at their decoded forms."""
+    return content.content_reasons(_previews(spark, sf_dir), decode=False).select(
+        "payload_id", F.array_join("content_reasons", ",").alias("content_reasons")
+    )
+
+
+def _previews(spark, sf_dir):
+    return adapt(spark, sf_dir, "payloads").select(
         "payload_id", F.lit("").alias("url"),
         F.when(F.col("payload_id") % 4 < 2, "short").otherwise(F.col("payload")).alias("payload_preview"),
     )
-    return content.content_reasons(rows).select(
+
+
+@query("c6_content_reasons", ("payloads",))
+def c6_content_reasons(spark, sf_dir):
+    return content.content_reasons(_previews(spark, sf_dir)).select(
         "payload_id", F.array_join("content_reasons", ",").alias("content_reasons")
     )
