@@ -82,7 +82,7 @@ class Vocabulary:
         return len(self.group) - 1
 
 
-def vocabulary(counts: np.ndarray, begins: np.ndarray, groups: int = 48, rows: int = 4096) -> Vocabulary:
+def vocabulary(counts: np.ndarray, begins: np.ndarray, groups: int = 64, rows: int = 4096) -> Vocabulary:
     """Classes of about equal mass, apart for ids that begin a word and that go on in one.
 
     ``counts`` has one more id than the tokenizer: the end, a class of its own. Counts are
@@ -113,7 +113,7 @@ def vocabulary(counts: np.ndarray, begins: np.ndarray, groups: int = 48, rows: i
 class Attention:
     """One causal head over the last ``context`` ids, with a residual path and distance weights."""
 
-    def __init__(self, rows: int, groups: int, width: int = 12, context: int = 24, seed: int = 3) -> None:
+    def __init__(self, rows: int, groups: int, width: int = 16, context: int = 24, seed: int = 3) -> None:
         random = np.random.default_rng(seed)
         self.width, self.context = width, context
 
@@ -182,8 +182,8 @@ class Attention:
         np.add.at(g["embed"], rows.reshape(-1), flat(to_x))
         return loss, g
 
-    def train(self, windows: np.ndarray, vocab: Vocabulary, steps: int = 800, batch: int = 128,
-              rate: float = 0.01, seed: int = 5) -> list[float]:
+    def train(self, windows: np.ndarray, vocab: Vocabulary, steps: int = 600, batch: int = 128,
+              rate: float = 0.02, seed: int = 5) -> list[float]:
         """Adam on windows of ids (-1 past the end of a text, the first id without a predecessor)."""
         losses: list[float] = []
         if not len(windows):
@@ -211,11 +211,20 @@ class Attention:
                 ).astype(np.float32)
         return losses
 
-    def score(self, ids: list[np.ndarray], vocab: Vocabulary, stride: int = 16, at_once: int = 2048) -> np.ndarray:
-        """log10 probability of each sequence of ids; windows overlap by context - stride."""
+    def score(self, ids: list[np.ndarray], vocab: Vocabulary, stride: int = 16, at_once: int = 1024) -> np.ndarray:
+        """log10 probability of each sequence of ids; windows overlap by context - stride.
+
+        The same function as ``forward``: projections of all embeddings are taken once, and only
+        windows that begin before their text need a mask of their own.
+        """
         total = np.zeros(len(ids))
         if not ids:
             return total
+        w = self.weights
+        q, k, v = w["embed"] @ w["q"] * np.float32(self.width**-0.5), w["embed"] @ w["k"], w["embed"] @ w["v"]
+        direct = w["embed"] @ w["direct"] + w["bias"]
+        ahead, ones = np.exp(self.mask(stride, self.context)), np.ones(direct.shape[1], np.float32)
+        unsafe = np.abs(direct).max() + np.abs(v).max() * np.abs(w["out"]).sum(axis=0).max() > 80
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
         flat = np.concatenate(ids)
         begin = np.cumsum(sizes) - sizes
@@ -225,17 +234,29 @@ class Attention:
         rows, groups, shares = vocab.row[flat], vocab.group[flat].astype(np.int64), np.log(vocab.share[flat])
         reach = np.arange(stride - self.context, stride)
         for b in range(0, len(owner), at_once):
-            doc, k = owner[b : b + at_once], number[b : b + at_once]
-            target = (k * stride)[:, None] + reach[None, :]
+            doc, part = owner[b : b + at_once], number[b : b + at_once]
+            target = (part * stride)[:, None] + reach[None, :]
             given = target - 1
-            inside = (given >= 0) & (given < sizes[doc][:, None])
-            at = np.where(inside, begin[doc][:, None] + given, 0)
-            row = np.where(inside, rows[at], self.start_row)
-            out, norm, _ = self.forward(row, (given >= -1) & (given < sizes[doc][:, None]), stride)
+            size = sizes[doc][:, None]
+            row = np.where(
+                (given >= 0) & (given < size), rows[np.clip(begin[doc][:, None] + given, 0, len(rows) - 1)], self.start_row
+            )
+            asked = row[:, -stride:]
+            attention = np.exp(np.minimum(q[asked] @ k[row].transpose(0, 2, 1), np.float32(60)))
+            attention *= ahead
+            early = np.flatnonzero(part * stride < self.context - stride + 1)
+            attention[early] *= (given[early] >= -1)[:, None, :]
+            mixed = attention @ v[row]
+            mixed /= attention.sum(axis=2, keepdims=True)
+            out = mixed @ w["out"]
+            out += direct[asked]
+            if unsafe:
+                np.minimum(out, np.float32(80), out=out)
             target = target[:, -stride:]
-            real = target < sizes[doc][:, None]
+            real = target < size
             at = np.where(real, begin[doc][:, None] + target, 0)
-            chance = np.take_along_axis(out, groups[at][:, :, None], 2)[:, :, 0] - norm + shares[at]
+            chance = np.take_along_axis(out, groups[at][:, :, None], 2)[:, :, 0]
+            chance = chance - np.log(np.exp(out, out=out) @ ones) + shares[at]
             total += np.bincount(doc, np.where(real, chance, 0).sum(axis=1), len(ids))
         return total / LN10
 
@@ -281,7 +302,7 @@ def training_windows(docs: DataFrame, tokenizer: str, end: int, size: int, docum
 
 def score(
     docs: DataFrame, train: DataFrame, tokenizer: str = TOKENIZER, common_words: int = 65_536,
-    sample_documents: int = 2_000, steps: int = 800,
+    sample_documents: int = 2_000, steps: int = 600,
 ) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score of every row of ``docs``.
 
