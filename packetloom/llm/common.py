@@ -96,10 +96,11 @@ class WordHashes(dict):
 def mix(x: np.ndarray) -> np.ndarray:
     """Bijective scrambling of 64-bit numbers, so that sums of products spread evenly."""
     x = x ^ (x >> np.uint64(33))
-    x = x * np.uint64(0xFF51AFD7ED558CCD)
-    x = x ^ (x >> np.uint64(29))
-    x = x * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(32))
+    x *= np.uint64(0xFF51AFD7ED558CCD)
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0xC4CEB9FE1A85EC53)
+    x ^= x >> np.uint64(32)
+    return x
 
 
 def grams(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -110,8 +111,9 @@ def grams(hashes: np.ndarray, n: int) -> np.ndarray:
     n = min(n, size)
     total = np.full(size - n + 1, n, np.uint64)
     for k in range(n):
-        total = mix(total * np.uint64(0x9E3779B97F4A7C15) + hashes[k : size - n + 1 + k])
-    return total
+        total *= np.uint64(0x9E3779B97F4A7C15)
+        total += hashes[k : size - n + 1 + k]
+    return mix(total)
 
 
 def texts(batch: pa.RecordBatch, col: str = "text") -> list[str]:
