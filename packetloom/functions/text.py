@@ -115,7 +115,7 @@ def decode_object(raw: Column) -> Column:
     kind = F.schema_of_variant(parsed)
     broken = F.to_json(
         F.struct(
-            F.lit(True).alias("_parse_error"), F.substring(raw, 1, 800).alias("_raw")
+            F.lit(True).alias("_parse_error"), raw.alias("_raw")
         )
     )
     return (

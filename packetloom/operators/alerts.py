@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from packetloom.functions.risk import DANGEROUS
@@ -71,9 +71,9 @@ def debounce(
 
 
 def alert_reasons(
-    alerts: DataFrame, events: DataFrame, window_s: int, first: int = 80
+    alerts: DataFrame, events: DataFrame, window_s: int, first: int | None = None
 ) -> DataFrame:
-    """A4: sorted distinct reasons in the window before each alert, at most ``first``.
+    """A4: sorted distinct reasons in the window before each alert; the ``first`` if given.
 
     Events shrink to the first and last time of each reason per window-long bucket. An
     alert then needs two buckets: of the older one what ends inside its window, of its
@@ -94,10 +94,9 @@ def alert_reasons(
     )
     inside = (F.col("last_us") >= F.col("ts_us") - width) & (F.col("first_us") <= F.col("ts_us"))
     named = wanted.join(seen, ["src_ip", "bucket"]).where(inside).select("src_ip", "ts_us", "reason")
-    by_name = Window.partitionBy("src_ip", "ts_us").orderBy("reason")
-    named = (
-        named.distinct().withColumn("_n", F.row_number().over(by_name)).where(F.col("_n") <= first)
-        .groupBy("src_ip", "ts_us").agg(F.array_sort(F.collect_list("reason")).alias("reasons"))
+    reasons = F.array_sort(F.collect_set("reason"))
+    named = named.groupBy("src_ip", "ts_us").agg(
+        (reasons if first is None else F.slice(reasons, 1, first)).alias("reasons")
     )
     return alerts.join(named, ["src_ip", "ts_us"], "left").withColumn(
         "reasons", F.coalesce("reasons", F.array().cast("array<string>"))
@@ -105,7 +104,7 @@ def alert_reasons(
 
 
 def burst_alerts(
-    df: DataFrame, n: int = 10, window_s: int = 1200, gap_s: int = 600, first: int = 80,
+    df: DataFrame, n: int = 10, window_s: int = 1200, gap_s: int = 600, first: int | None = None,
     chunk: int = MINUTE_US,
 ) -> DataFrame:
     """A1-A4: one row per alert with its event count and reasons."""

@@ -92,13 +92,13 @@ class IsolationModel:
         return scored.withColumn("iso_pred", F.when(F.col("iso_raw") < 0, -1).otherwise(1))
 
 
-def _tree_samples(rows: DataFrame, n: int, trees: int, seed: int) -> DataFrame:
-    """About 2 * 256 rows per tree, exactly all when there are fewer; picked by hash.
+def _tree_samples(rows: DataFrame, n: int, trees: int, seed: int, tree_rows: int) -> DataFrame:
+    """About 2 * ``tree_rows`` rows per tree, exactly all when there are fewer; picked by hash.
 
     One hash per row thins a big table to the rows some tree might take, so the per-tree
     choice only runs on those.
     """
-    wanted = min(1.0, 2 * TREE_ROWS / n)
+    wanted = min(1.0, 2 * tree_rows / n)
     kept = min(1.0, wanted * trees)
 
     def place(*parts: Column) -> Column:
@@ -115,12 +115,17 @@ def _tree_samples(rows: DataFrame, n: int, trees: int, seed: int) -> DataFrame:
 def fit_isolation(
     df: DataFrame, id_col: str, features: str = "features", trees: int = 200,
     contamination: float = 0.03, seed: int = 42, min_rows: int = 50,
+    tree_rows: int = TREE_ROWS, accuracy: int = 10_000,
 ) -> IsolationModel | None:
-    """Fit on normal rows; None under ``min_rows``."""
+    """Fit on normal rows; None under ``min_rows``.
+
+    Each tree grows on ``tree_rows`` rows: the sample is part of the method. The cut is the
+    ``contamination`` quantile of all scores, off by at most 1 / ``accuracy`` of the rows.
+    """
     n = df.count()
     if n < min_rows:
         return None
-    size = min(TREE_ROWS, n)
+    size = min(tree_rows, n)
     rows = df.select(F.col(id_col).alias("_id"), F.col(features).alias("features"))
 
     def grow(group: pd.DataFrame) -> pd.DataFrame:
@@ -134,7 +139,7 @@ def fit_isolation(
             columns=["tree", "node", "feature", "cut", "left", "right", "path"],
         )
 
-    nodes = _tree_samples(rows, n, trees, seed).groupBy("tree").applyInPandas(grow, _NODES)
+    nodes = _tree_samples(rows, n, trees, seed, tree_rows).groupBy("tree").applyInPandas(grow, _NODES)
     model = IsolationModel(nodes.toPandas(), size, 0.0)
-    cut = model.transform(rows).agg(F.percentile_approx("iso_raw", contamination, 10_000)).head()[0]
+    cut = model.transform(rows).agg(F.percentile_approx("iso_raw", contamination, accuracy)).head()[0]
     return IsolationModel(model.nodes, size, float(cut))

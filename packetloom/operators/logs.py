@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 from packetloom.functions import risk, text
 from packetloom.functions.times import RANGES_S, bucket_start
 
-MAX_ROWS = 2000
-MAX_MINUTES = 1440
 _CLASSES = ("safe", "suspicious", "dangerous")
 _MICRO = 1_000_000
 
@@ -103,9 +101,12 @@ def search(
     return found.where(reduce(Column.__and__, tests)) if tests else found
 
 
-def newest(df: DataFrame, limit: int = 200, ts: str = "ts_sec", cap: int = MAX_ROWS) -> DataFrame:
-    """Newest rows first."""
-    return df.orderBy(F.desc(ts), F.desc("id")).limit(max(1, min(int(limit), cap)))
+def newest(
+    df: DataFrame, limit: int = 200, ts: str = "ts_sec", cap: int | None = None
+) -> DataFrame:
+    """Newest rows first; ``cap`` may bound what callers ask for."""
+    wanted = max(1, int(limit))
+    return df.orderBy(F.desc(ts), F.desc("id")).limit(wanted if cap is None else min(wanted, cap))
 
 
 def page(
@@ -180,16 +181,18 @@ def _with_mean(series: DataFrame, digits: int | None) -> DataFrame:
     return series.select("bucket", *_CLASSES, "total", mean.alias("avg_risk"))
 
 
-def minute_buckets(df: DataFrame, start: float, end: float, minutes: int) -> DataFrame:
-    """Q6: bucket starts from floor(start), at most ``minutes`` and none past the end."""
-    first, last = int(start // 60) * 60, int(end // 60) * 60
-    span = max(1, min(int(minutes), int((end - start) // 60) + 1))
-    span = max(0, min(span, (last - first) // 60 + 1))
-    return df.sparkSession.range(span).select((F.col("id") * 60 + first).alias("bucket"))
+def minute_buckets(
+    df: DataFrame, start: float, end: float, minutes: int | None = None
+) -> DataFrame:
+    """Q6: the minutes from start to end, or the first ``minutes`` of them."""
+    first, past = int(start // 60) * 60, int(end // 60) * 60 + 60
+    if minutes is not None:
+        past = min(past, first + 60 * max(1, int(minutes)))
+    return df.sparkSession.range(first, max(first, past), 60).select(F.col("id").alias("bucket"))
 
 
 def timeseries(
-    history: DataFrame, start: float, end: float, minutes: int = 60,
+    history: DataFrame, start: float, end: float, minutes: int | None = None,
     logs: DataFrame | None = None, ts: str = "ts_sec", digits: int | None = 4,
 ) -> DataFrame:
     """Q5-Q7: counts per minute and class with the mean score, gaps filled with zeros.
@@ -197,7 +200,6 @@ def timeseries(
     ``logs`` is used when ``history`` has no row in the range; whether any source had
     rows is the column ``has_data``.
     """
-    minutes = max(1, min(int(minutes), MAX_MINUTES))
     rows = between(history, start, end, ts=ts)
     if logs is not None and rows.isEmpty():
         rows = between(logs, start, end, ts=ts)
@@ -390,13 +392,15 @@ def matching(df: DataFrame, q: str, cols: list[str]) -> DataFrame:
 def offset_page(
     df: DataFrame, q: str = "", cols: list[str] | None = None, sort: str = "id",
     order: str = "desc", page: int = 1, page_size: int = 25, sortable: list[str] | None = None,
+    largest: int | None = None,
 ) -> DataFrame:
     """Q24: one numbered page; matching(...).count() is the total.
 
-    An unknown sort column or order falls back to the default.
+    An unknown sort column or order falls back to the default; ``largest`` may bound the size.
     """
     sort = sort if sort in (sortable or df.columns) else "id"
-    size = max(1, min(int(page_size), 100))
+    size = max(1, int(page_size))
+    size = size if largest is None else min(size, largest)
     found = matching(df, q, cols or [])
     key = F.col(sort).asc() if order == "asc" else F.col(sort).desc()
     keys = [key] if sort == "id" else [key, F.col("id").desc()]

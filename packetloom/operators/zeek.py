@@ -1,7 +1,8 @@
 """Verdicts on addresses from connection, notice and weird logs.
 
 Columns are those of the logs with id.orig_h, id.resp_h, id.orig_p and id.resp_p renamed
-to orig_h, resp_h, orig_p and resp_p. ``order`` is the column that gives log order.
+to orig_h, resp_h, orig_p and resp_p. ``order`` is the column that gives log order: the time,
+for connection ids are random and often unset.
 """
 
 from __future__ import annotations
@@ -29,8 +30,8 @@ def newest_per_key(df: DataFrame, key: str, order: str, n: int) -> DataFrame:
     return best(best(parted, key, "_part"), key).drop("_part")
 
 
-def by_endpoint(conn: DataFrame, cap: int | None = 5000, order: str = "uid") -> DataFrame:
-    """Each connection under both of its ends, the newest ``cap`` per address."""
+def by_endpoint(conn: DataFrame, cap: int | None = None, order: str = "ts") -> DataFrame:
+    """Each connection under both of its ends; only the newest ``cap`` per address if given."""
     ends = F.array_distinct(F.array_compact(F.array("orig_h", "resp_h")))
     rows = conn.withColumn("ip", F.explode(ends)).where(F.col("ip") != "")
     return rows if cap is None else newest_per_key(rows, "ip", order, cap)
@@ -77,20 +78,21 @@ def _addresses(log: DataFrame) -> DataFrame:
     )
 
 
-def notices(log: DataFrame, keep: int = 200, scan: int = 50, order: str = "uid") -> DataFrame:
-    """Z3: score and signals per address from its newest notices."""
+def notices(log: DataFrame, cap: int | None = None, order: str = "ts") -> DataFrame:
+    """Z3: score and signals per address from all its notices, or its newest ``cap``.
+
+    Each risky notice name is a signal, once, in the order of its first notice.
+    """
     note = F.lower(F.coalesce(F.nullif("note", F.lit("")), F.col("msg"), F.lit("")))
-    hits = newest_per_key(
-        _addresses(log).select("ip", F.col(order).alias("_order"), note.alias("note")),
-        "ip", "_order", min(keep, scan),
-    )
+    hits = _addresses(log).select("ip", F.col(order).alias("_order"), note.alias("note"))
+    if cap is not None:
+        hits = newest_per_key(hits, "ip", "_order", cap)
+    names = hits.groupBy("ip", "note").agg(F.count("*").alias("n"), F.min("_order").alias("at"))
     risky = F.col("note").rlike("|".join(RISKY_NOTES))
-    signal = F.when(risky, F.concat(F.lit("zeek_notice_"), F.substring("note", 1, 40)))
-    found = hits.groupBy("ip").agg(
-        F.count("*").alias("notices"),
-        F.array_sort(
-            F.collect_list(F.when(risky, F.struct(F.col("_order").alias("at"), signal.alias("signal"))))
-        ).alias("_risky"),
+    signal = F.struct("at", F.concat(F.lit("zeek_notice_"), "note").alias("signal"))
+    found = names.groupBy("ip").agg(
+        F.sum("n").alias("notices"),
+        F.array_sort(F.collect_list(F.when(risky, signal))).alias("_risky"),
     )
     any_risky = F.size("_risky") > 0
     return found.select(
@@ -116,13 +118,13 @@ def weird(log: DataFrame) -> DataFrame:
 
 def zeek_verdict(
     conn: DataFrame | None = None, notice: DataFrame | None = None,
-    weird_log: DataFrame | None = None, cap: int | None = 5000, order: str = "uid",
+    weird_log: DataFrame | None = None, cap: int | None = None, order: str = "ts",
 ) -> DataFrame:
     """One verdict per address seen in any log."""
     parts = []
     sources = (
         (0, conn, lambda df: conn_profile(by_endpoint(df, cap, order))),
-        (1, notice, lambda df: notices(df, order=order)),
+        (1, notice, lambda df: notices(df, cap, order)),
         (2, weird_log, weird),
     )
     for rank, log, profile in sources:

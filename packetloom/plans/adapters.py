@@ -177,20 +177,9 @@ def _fill(text: str, words: dict[str, str]) -> str:
     return text
 
 
-_HEAVY_TABLES = ("documents", "pages", "conversations", "events", "lineitem")
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the driver's tables.
-
-    Work per row is heavy. A table stored in fewer pieces than there are
-    cores is dealt out to all of them; one with many pieces is left as it is read.
-    """
-    rows = configure(spark).read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if name in _HEAVY_TABLES and rows.rdd.getNumPartitions() < cores:
-        rows = rows.repartition(cores)
-    return rows
+    """One of the driver's tables, in the pieces the reader's split size gives."""
+    return configure(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def adapt(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -42,7 +42,23 @@ def c5_signatures_conversations(spark, sf_dir):
     )
 
 
-@query("c4_variant_scan", ("payloads",))
+def _union(*found: str) -> str:
+    """Categories that any of the texts has, sorted."""
+    lists = ", ".join(f"string_split({f}, ',')" for f in found)
+    return f"array_to_string(list_sort(list_distinct(list_filter(flatten([{lists}]), lambda x: x <> ''))), ',')"
+
+
+# The only hidden text inside a payload, and how form encoding writes a blank.
+_PLAIN = "replace(payload, '%2e%2e%2fetc', '../etc')"
+
+
+@query("c4_variant_scan", ("payloads",), f"""
+, h AS (SELECT payload_id, CASE WHEN payload_id % 3 = 1 THEN replace(payload, ' ', '+') ELSE payload END AS payload FROM payloads),
+s AS (SELECT payload_id, CASE payload_id % 3 WHEN 0 THEN base64(encode(payload))
+  WHEN 1 THEN replace(replace(replace(url_encode(payload), '%20', '+'), '%2A', '*'), '~', '%7E') ELSE payload END AS hidden FROM payloads),
+p AS (SELECT h.payload_id, payload, {_PLAIN} AS plain, hidden FROM h JOIN s ON s.payload_id = h.payload_id)
+SELECT payload_id, {_union(_found('payload'), _found('plain'), _found('hidden'))} AS findings FROM p
+""")
 def c4_variant_scan(spark, sf_dir):
     payloads = adapt(spark, sf_dir, "payloads")
     hidden = F.when(
@@ -54,7 +70,7 @@ def c4_variant_scan(spark, sf_dir):
 
 
 _REQUEST = (
-    "CASE WHEN page_id % 4 = 3 THEN html ELSE concat(CASE page_id % 4 WHEN 0 THEN 'GET' WHEN 1 THEN 'POST' ELSE 'PUT' END,"
+    "CASE WHEN page_id % 8 = 3 THEN concat('POST /plain/', page_id, ' ', html) WHEN page_id % 4 = 3 THEN html ELSE concat(CASE page_id % 4 WHEN 0 THEN 'GET' WHEN 1 THEN 'POST' ELSE 'PUT' END,"
     " ' /item/', page_id, '?q=a%20b&n=', page_id % 7, '&n=x&e=#f HTTP/1.1', chr(13), chr(10), 'Host: first', chr(13), chr(10),"
     " 'HOST: h', page_id % 9, '.example.net', chr(13), chr(10), 'Via: x', chr(13), chr(10), chr(13), chr(10), url) END"
 )
@@ -84,6 +100,7 @@ def c1_http_requests(spark, sf_dir):
 
 @query("c2_assemble_url", (), """
 SELECT page_id, CASE WHEN page_id % 4 < 3 THEN concat('http://h', page_id % 9, '.example.net/item/', page_id, '?q=a%20b&n=', page_id % 7, '&n=x&e=#f')
+  WHEN page_id % 8 = 3 THEN concat('/plain/', page_id)
   ELSE nullif(regexp_extract(html, '(?:GET|POST)\\s+([^\\s]+)', 1), '') END AS url FROM pages
 """)
 def c2_assemble_url(spark, sf_dir):
@@ -109,7 +126,12 @@ def _previews(spark, sf_dir):
     )
 
 
-@query("c6_content_reasons", ("payloads",))
+@query("c6_content_reasons", ("payloads",), f"""
+, b AS (SELECT payload_id, CASE WHEN payload_id % 4 < 2 THEN 'short' ELSE payload END AS payload FROM payloads),
+p AS (SELECT payload_id, payload, {_PLAIN} AS plain FROM b)
+SELECT payload_id, CASE WHEN length(payload) >= 24 OR contains(payload, '=') OR contains(payload, '?') OR (contains(payload, '/') AND length(payload) > 12)
+  THEN {_union(_found('payload', 'http_'), _found('plain', 'http_'))} ELSE '' END AS content_reasons FROM p
+""")
 def c6_content_reasons(spark, sf_dir):
     return content.content_reasons(_previews(spark, sf_dir)).select(
         "payload_id", F.array_join("content_reasons", ",").alias("content_reasons")

@@ -291,14 +291,13 @@ _ENDS = """
 SELECT ip, uid FROM r WHERE n <= 40
 """)
 def z1_by_endpoint(spark, sf_dir):
-    return zeek.by_endpoint(adapt(spark, sf_dir, "zeek_conn"), cap=40).select("ip", "uid")
+    return zeek.by_endpoint(adapt(spark, sf_dir, "zeek_conn"), cap=40, order="uid").select("ip", "uid")
 
 
 _PROFILE = _ENDS + """
-, capped AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ip ORDER BY uid DESC) AS n FROM ends) WHERE n <= 5000),
-c AS (SELECT ip, count(*) AS conns, count(*) FILTER (WHERE contains(conn_state, 'REJ') OR coalesce(try_cast(resp_bytes AS DOUBLE), 0) < 1) AS rejected,
+, c AS (SELECT ip, count(*) AS conns, count(*) FILTER (WHERE contains(conn_state, 'REJ') OR coalesce(try_cast(resp_bytes AS DOUBLE), 0) < 1) AS rejected,
   count(*) FILTER (WHERE coalesce(try_cast(duration AS DOUBLE), 0) < 0.5 AND proto IN ('tcp', 'udp')) AS short_lived,
-  count(*) FILTER (WHERE starts_with(conn_state, 'S0') OR conn_state = 'SH') AS syn_only, count(DISTINCT resp_p) AS resp_ports FROM capped GROUP BY ip),
+  count(*) FILTER (WHERE starts_with(conn_state, 'S0') OR conn_state = 'SH') AS syn_only, count(DISTINCT resp_p) AS resp_ports FROM ends GROUP BY ip),
 prof AS (SELECT *, CAST(greatest(CASE WHEN rejected / conns > 0.5 THEN 0.7 WHEN rejected > 5 THEN 0.55 ELSE 0 END,
   CASE WHEN resp_ports >= 15 THEN 0.75 WHEN resp_ports >= 8 THEN 0.5 ELSE 0 END, CASE WHEN short_lived > 10 THEN 0.45 ELSE 0 END,
   CASE WHEN syn_only > 8 THEN 0.6 ELSE 0 END) AS DOUBLE) AS score,
@@ -316,16 +315,15 @@ def z2_conn_profile(spark, sf_dir):
 
 _NOTICE = """
 , hits AS (SELECT uid, unnest([orig_h, resp_h, src, dst]) AS ip, lower(coalesce(nullif(note, ''), msg)) AS note FROM zeek_notice),
-top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ip ORDER BY uid DESC) AS n FROM hits WHERE ip NOT IN ('', '-')) WHERE n <= 50),
-risky AS (SELECT *, regexp_matches(note, 'scan|brute|attack|exploit|malware|dos|ddos|infection|sql|shell') AS bad FROM top),
-nt AS (SELECT ip, count(*) AS notices, CAST(CASE WHEN bool_or(bad) THEN 0.85 ELSE 0.4 END AS DOUBLE) AS score,
-  coalesce(string_agg(concat('zeek_notice_', substr(note, 1, 40)), ',' ORDER BY uid) FILTER (WHERE bad), 'zeek_notice_activity') AS signals FROM risky GROUP BY ip)
+risky AS (SELECT ip, note, count(*) AS n, min(uid) AS first_uid, regexp_matches(note, 'scan|brute|attack|exploit|malware|dos|ddos|infection|sql|shell') AS bad FROM hits WHERE ip NOT IN ('', '-') GROUP BY ip, note),
+nt AS (SELECT ip, CAST(sum(n) AS BIGINT) AS notices, CAST(CASE WHEN bool_or(bad) THEN 0.85 ELSE 0.4 END AS DOUBLE) AS score,
+  coalesce(string_agg(concat('zeek_notice_', note), ',' ORDER BY first_uid, note) FILTER (WHERE bad), 'zeek_notice_activity') AS signals FROM risky GROUP BY ip)
 """
 
 
 @query("z3_notices", ("zeek_notice",), _NOTICE + "SELECT ip, notices, score, signals FROM nt")
 def z3_notices(spark, sf_dir):
-    return zeek.notices(adapt(spark, sf_dir, "zeek_notice")).withColumn("signals", F.array_join("signals", ","))
+    return zeek.notices(adapt(spark, sf_dir, "zeek_notice"), order="uid").withColumn("signals", F.array_join("signals", ","))
 
 
 _WEIRD = """
@@ -353,7 +351,8 @@ FROM f LEFT JOIN joined ON f.ip = joined.ip
 """)
 def z5_zeek_verdict(spark, sf_dir):
     found = zeek.zeek_verdict(
-        adapt(spark, sf_dir, "zeek_conn"), adapt(spark, sf_dir, "zeek_notice"), adapt(spark, sf_dir, "zeek_weird")
+        adapt(spark, sf_dir, "zeek_conn"), adapt(spark, sf_dir, "zeek_notice"), adapt(spark, sf_dir, "zeek_weird"),
+        order="uid",
     )
     return found.withColumn("signals", F.array_join("signals", ","))
 

@@ -74,7 +74,7 @@ def q1_search_ports(spark, sf_dir):
     ).select("id", "src_ip", "classification", "ai_score")
 
 
-@query("q2_newest", ("logs",), f"SELECT {_ROW} FROM logs ORDER BY ts_sec DESC, id DESC LIMIT 2000")
+@query("q2_newest", ("logs",), f"SELECT {_ROW} FROM logs ORDER BY ts_sec DESC, id DESC LIMIT 5000")
 def q2_newest(spark, sf_dir):
     return logs.newest(_logs(spark, sf_dir), 5000).select("id", "src_ip", "classification", "ai_score")
 
@@ -128,14 +128,14 @@ series AS (SELECT coalesce(g.bucket, z.bucket) AS bucket, coalesce(safe, 0) AS s
 
 
 _FIRST = int(START // 60) * 60
-_SEEDS = f"SELECT {_FIRST} + 60 * range AS bucket FROM range(1440)"
+_SEEDS = f"SELECT {_FIRST} + 60 * range AS bucket FROM range({int(END // 60) - int(START // 60) + 1})"
 _IN_RANGE = f"WHERE ts_sec >= {START} AND ts_sec <= {END}"
 _SERIES = _series_sql(_IN_RANGE, _SEEDS)
 
 
 @query("q5_timeseries", ("logs",), _SERIES + "SELECT *, true AS has_data FROM series")
 def q5_timeseries(spark, sf_dir):
-    return logs.timeseries(_logs(spark, sf_dir), START, END, minutes=5000, digits=None)
+    return logs.timeseries(_logs(spark, sf_dir), START, END, digits=None)
 
 
 @query("q7_timeseries_fallback", ("logs",), _series_sql(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ENDPOINT_NAMES = {"id.orig_h": "orig_h", "id.orig_p": "orig_p", "id.resp_h": "resp_h", "id.resp_p": "resp_p"}
@@ -36,14 +36,64 @@ def zeek_fields(lines: DataFrame) -> list[str]:
     return head[0].strip().split("\t")[1:]
 
 
+def _named_cells(lines: DataFrame, fields: list[str]) -> DataFrame:
+    """The columns ``fields`` from rows with ``cells`` and the ``names`` of their file's header.
+
+    A file without a header has the names ``fields``. Rows of another width are dropped.
+    """
+    named = lines.withColumn("names", F.coalesce("names", F.array(*map(F.lit, fields))))
+    by_name = F.map_from_arrays("names", "cells")
+    return named.where(F.size("cells") == F.size("names")).select(
+        *[F.try_element_at(by_name, F.lit(f)).alias(ENDPOINT_NAMES.get(f, f)) for f in fields]
+    )
+
+
+def _header_names(line: Column) -> Column:
+    cells = F.split(F.trim(line), "\t")
+    return F.slice(cells, F.lit(2), F.size(cells) - 1)
+
+
+def _split_file(files: DataFrame) -> DataFrame:
+    """One row per line of whole files, with the names of the file's header."""
+    lines = F.split("value", r"\r?\n")
+    header = F.get(F.filter(lines, lambda line: line.startswith("#fields")), F.lit(0))
+    rows = files.select(_header_names(header).alias("names"), F.explode(lines).alias("value"))
+    return rows.where(~F.col("value").startswith("#") & (F.trim("value") != "")).select(
+        "names", F.split("value", "\t", -1).alias("cells")
+    )
+
+
+def _all_names(headers: DataFrame) -> list[str]:
+    """The names of all headers, in the order of their first places."""
+    places = headers.select(F.posexplode(_header_names(F.col("header"))).alias("place", "name"))
+    named = places.groupBy("name").agg(F.min("place").alias("place")).orderBy("place", "name")
+    return [r["name"] for r in named.collect()]
+
+
 def read_zeek(
     spark: SparkSession, path: str, streaming: bool = False, fields: list[str] | None = None
 ) -> DataFrame:
-    """A log with the columns its header names.
+    """A log with the columns its headers name, matched by name file by file.
 
-    ``streaming`` follows a folder of log files; what was read is kept by the stream's
-    checkpoint. The header is read from the files present unless ``fields`` is given.
+    Columns that a file lacks are NULL in its rows; a file without a header is read by ``fields``,
+    which are the names of all headers present unless given. ``streaming`` follows a folder:
+    what was read is kept by the stream's checkpoint, and each file is cut into lines as a whole,
+    as rotated logs are small. In a batch large files are split, and headers meet their lines by file.
     """
-    fields = fields or zeek_fields(spark.read.text(path))
-    lines = spark.readStream.text(path) if streaming else spark.read.text(path)
-    return parse_zeek(lines, fields)
+    lines = spark.read.text(path).withColumn("file", F.input_file_name())
+    headers = (
+        lines.where(F.col("value").startswith("#fields")).groupBy("file")
+        .agg(F.first("value").alias("header"))
+    )
+    fields = fields or _all_names(headers)
+    if not fields:
+        raise ValueError("no #fields line")
+    if streaming:
+        return _named_cells(_split_file(spark.readStream.text(path, wholetext=True)), fields)
+    rows = lines.where(~F.col("value").startswith("#") & (F.trim("value") != ""))
+    return _named_cells(
+        rows.join(headers, "file", "left").select(
+            _header_names(F.col("header")).alias("names"), F.split("value", "\t", -1).alias("cells")
+        ),
+        fields,
+    )

@@ -120,9 +120,24 @@ def purge(spark: SparkSession, table: str, as_of: float, days: float = 7) -> int
     if not lost:
         return 0
     use_checkpoints(spark)
-    kept = rows.where((F.col("event_date") == edge) & (F.col("ts_sec") >= cutoff)).checkpoint()
-    days_held = rows.select(F.col("event_date").cast("string").alias("d"), (F.col("event_date") <= edge).alias("old"))
-    for row in days_held.where("old").distinct().collect():
-        spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION (event_date = DATE '{row.d}')")
-    kept.select(*rows.columns).write.mode("append").insertInto(table)
+    columns = rows.columns
+    on_edge = F.col("event_date") == edge
+    # The day of the cutoff is replaced in one step before any day is dropped, so a failure
+    # between the steps loses nothing and a second call finishes the work.
+    kept = rows.where(on_edge & (F.col("ts_sec") >= cutoff)).checkpoint().select(*columns)
+    days_held = rows.select(
+        F.col("event_date").cast("string").alias("d"), (F.col("event_date") < edge).alias("old"),
+        on_edge.alias("edge"),
+    ).where("old OR edge").distinct().collect()
+    full = kept.isEmpty()
+    if not full:
+        mode = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
+        spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+        try:
+            kept.write.mode("overwrite").insertInto(table)
+        finally:
+            spark.conf.set("spark.sql.sources.partitionOverwriteMode", mode)
+    for row in days_held:
+        if row.old or full:
+            spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION (event_date = DATE '{row.d}')")
     return lost

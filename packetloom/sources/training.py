@@ -20,15 +20,18 @@ def trim_headers(df: DataFrame) -> DataFrame:
 def read_csv_folder(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """All CSV files of a folder as one table of text columns.
 
-    Files that share a header are one scan. A list of paths may hold files with other
-    headers; their columns are matched by trimmed name.
+    Each file's own header names its columns: files are grouped by header, each group is
+    one scan, and the groups are matched by trimmed name.
     """
-    def one(p: str) -> DataFrame:
-        return trim_headers(spark.read.option("header", True).csv(p))
-
-    if isinstance(path, str):
-        return one(path)
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), map(one, sorted(path)))
+    paths = [path] if isinstance(path, str) else sorted(path)
+    firsts = (
+        spark.read.text(paths).select("value", "_metadata.file_path", "_metadata.file_block_start")
+        .withColumn("n", F.monotonically_increasing_id()).where("file_block_start = 0")
+        .groupBy("file_path").agg(F.min_by("value", "n").alias("header"))
+    )
+    groups = firsts.groupBy("header").agg(F.collect_list("file_path").alias("files")).orderBy("header").collect()
+    parts = [trim_headers(spark.read.option("header", True).csv(sorted(g["files"]))) for g in groups]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def labelled_csv(df: DataFrame, strict: bool = False, map_numbers: bool = True) -> DataFrame:

@@ -86,17 +86,25 @@ def test_reason_order_and_repeats(spark):
 # ---- content --------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("raw, want", [
-    ("%2527", {"%2527", "'"}),
-    ("&lt;script&gt;", {"&lt;script&gt;", "<script>"}),
-    (r"\x3cscript\u003e", {r"\x3cscript\u003e", "<script>"}),
-    (base64.b64encode(b"<script>alert(1)").decode(), None),
-    ("plain text", {"plain text"}),
-    ("", {""}),
-])
-def test_decoded_forms(raw, want):
-    got = set(content.decoded_forms(raw))
-    assert got == want if want is not None else "<script>alert(1)" in got
+def test_decoded_forms(spark):
+    import html
+
+    hidden = [
+        ("%2527", "'"), ("&lt;script&gt;", "<script>"), (r"\x3cscript\u003e", "<script>"), ("&amp;lt;b", "<b"), ("100%25 & +", "100% & +"),
+        (base64.b64encode(b"<script>alert(1)").decode(), "<script>alert(1)"), ("&#60;&#x3E;&eacute;&nbsp;", "<>\u00e9\u00a0"),
+        (r"\ud83d\ude00", "\U0001f600"), (r"a\ud800b", "a\ufffdb"), (r"\ude00\ud83d", "\ufffd\ufffd"), ("&#xD800;&#0;", "\ufffd\ufffd"),
+        (r"\101\n\"", 'A\n"'), (r"\U0001f600", "\U0001f600"), ("%", "%"), ("plain text", "plain text"), ("", ""),
+    ]
+    deep = "<script>"
+    for _ in range(9):
+        deep = base64.b64encode(deep.encode()).decode()
+    hidden.append((deep, "<script>"))
+    df = spark.createDataFrame([(i, h) for i, (h, _) in enumerate(hidden)] + [(99, None)], "i int, p string")
+    got = {r.i: r.f for r in df.select("i", content.payload_variants(F.col("p")).alias("f")).collect()}
+    for i, (raw, want) in enumerate(hidden):
+        assert got[i][0] == raw and want in got[i], (raw, got[i])
+    assert got[14] == ["plain text"] and got[15] == [""] and got[99] == [None]
+    assert html.unescape(hidden[6][0]) in got[6]
 
 
 def test_hidden_signatures(spark):
@@ -139,7 +147,9 @@ def test_http_request(spark):
     got = rows[1]
     assert (got.method, got.host, got.path) == ("POST", "two", "/a?x=1&x=2&y=%41+b&z=")
     assert got.url == "http://two/a?x=1&x=2&y=%41+b&z=" and got.query == {"x": ["1", "2"], "y": ["A b"]}
-    assert got.headers["x-y"] == "v" and got.body == "b" * 500
+    assert got.headers["x-y"] == "v" and got.body == "b" * 600
+    first = content.http_requests(df, body_bytes=500).where("i = 1").head().http
+    assert first.body == "b" * 500
     assert rows[2] is None and rows[3] is None
 
 

@@ -78,6 +78,29 @@ def test_blocklist_and_zeek_files(spark, tmp_path):
     assert follow() == 2
     write(folder / "conn2.log", "3\td\te\n")
     assert follow() == 3
+    write(folder / "conn3.log", "#fields\tid.resp_h\tts\tuid\ny\t9\tu\n")
+    assert follow() == 4
+    both = lists.read_zeek(spark, str(folder)).where("ts = '9'").collect()
+    assert [(r.ts, r.resp_h, r.orig_h, r.uid) for r in both] == [("9", "y", None, "u")]
+
+
+def test_csv_files_with_other_headers(spark, tmp_path):
+    write(tmp_path / "in/a.csv", "A,B\n1,2\n")
+    write(tmp_path / "in/b.csv", "B, A\n2,1\n")
+    write(tmp_path / "in/c.csv", "A,C\n1,3\n")
+    rows = training.read_csv_folder(spark, str(tmp_path / "in")).collect()
+    assert sorted((r.A, r.B, r.C) for r in rows if r.C is None) == [("1", "2", None)] * 2
+    assert [(r.A, r.B, r.C) for r in rows if r.C] == [("1", None, "3")]
+
+
+def test_newest_notices_by_time(spark):
+    from packetloom.operators import zeek
+
+    rows = [(float(k), "-", "1.1.1.1", "Scan::Port" if k < 5 else "quiet") for k in range(60)]
+    log = spark.createDataFrame(rows, "ts double, uid string, src string, note string").withColumn("msg", F.lit(""))
+    assert zeek.notices(log, cap=50).head().score == 0.4
+    whole = zeek.notices(log).head()
+    assert whole.score == 0.85 and whole.notices == 60 and whole.signals == ["zeek_notice_scan::port"]
 
 
 @pytest.fixture()
