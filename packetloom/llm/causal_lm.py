@@ -267,7 +267,7 @@ def subword_counts(words: DataFrame, tokenizer: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = ChunkIds(tokenizer_path(tokenizer), limit=50_000)
         for batch in batches:
-            each = list(coder.batch([[" " + w] for w in batch.column("word").to_pylist()]))
+            each = list(coder.batch([[w] for w in batch.column("word").to_pylist()]))
             times = np.repeat(batch.column("n").to_numpy(), [len(e) for e in each])
             ids, place = np.unique(np.concatenate(each) if each else [], return_inverse=True)
             yield pa.RecordBatch.from_arrays(
@@ -288,7 +288,7 @@ def training_windows(docs: DataFrame, tokenizer: str, end: int, size: int, docum
         coder = ChunkIds(tokenizer_path(tokenizer), limit=50_000)
         for batch in batches:
             out = []
-            for ids in coder.batch([[" " + w for w in word_list(t)] for t in texts(batch)]):
+            for ids in coder.batch([word_list(t) for t in texts(batch)]):
                 whole = np.concatenate([[-2], ids, [end]]).astype(np.int64)
                 for at in np.unique(np.linspace(0, max(len(whole) - size, 0), most).astype(np.int64)):
                     part = whole[at : at + size]
@@ -343,8 +343,7 @@ def score(
         for batch in batches:
             lists = [word_list(t) for t in texts(batch)]
             sizes, bases, knowns, rare, rare_times, ids = [], [], [], [], [], []
-            spaced = [[" " + w for w in words] for words in lists]
-            for words, mine in zip(lists, coder.batch(spaced), strict=True):
+            for words, mine in zip(lists, coder.batch(lists), strict=True):
                 if len(known) > 400_000:
                     known.clear()
                 known.update((w, word_hash(w)) for w in set(words) if w not in known)

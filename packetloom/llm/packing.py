@@ -46,30 +46,33 @@ def chunk_encoder(path: str) -> Callable[[str], list[int]]:
 
     A byte-level BPE whose merges are numbered in their order is a table of ranks; such a
     table is merged several times faster elsewhere. Other files, and strings that hold a
-    special token, go through tokenizers itself.
+    special token, go through tokenizers itself, which is loaded when it is needed.
     """
-    from tokenizers import Tokenizer
-
-    whole = Tokenizer.from_file(path)
-    parts = json.loads(whole.to_str())
+    loaded: list = []
 
     def plain(text: str) -> list[int]:
-        return whole.encode(text, add_special_tokens=False).ids
+        if not loaded:
+            from tokenizers import Tokenizer
+
+            loaded.append(Tokenizer.from_file(path))
+        return loaded[0].encode(text, add_special_tokens=False).ids
 
-    before, model = parts["pre_tokenizer"] or {}, parts["model"]
+    with open(path, encoding="utf-8") as file:
+        parts = json.load(file)
+    before, model = parts.get("pre_tokenizer") or {}, parts["model"]
     merges = model.get("merges") or []
     vocab = model.get("vocab") or {}
     numbers = [vocab.get("".join(m) if isinstance(m, list) else m.replace(" ", "")) for m in merges]
     simple = (
         before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
-        and not parts["normalizer"] and not parts["post_processor"] and merges
+        and not parts.get("normalizer") and not parts.get("post_processor") and merges
         and None not in numbers and numbers == sorted(numbers)
     )
     if not simple:
         return plain
     import tiktoken
 
-    special = [t["content"] for t in parts["added_tokens"]]
+    special = [t["content"] for t in parts.get("added_tokens") or []]
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
     hidden = [b for b in range(256) if b not in shown]
     byte = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
@@ -85,24 +88,26 @@ def chunk_encoder(path: str) -> Callable[[str], list[int]]:
 class ChunkIds:
     """Token ids of texts, chunk by chunk, remembering those of the first ``limit`` chunks.
 
-    A text is cut before each space that stands between two characters that are no space:
-    byte-level cutting never spans such a place, and what follows does not depend on what
-    precedes, so ids of chunks in a row are the ids of the text. Chunks beyond the limit
-    are remembered for their batch only.
+    A text is cut at each space that stands between two characters that are no white space; the
+    space goes to the chunk behind. Byte-level cutting never spans such a place, and what
+    follows does not depend on what precedes, so ids of chunks in a row are the ids of the
+    text. Chunks beyond the limit are remembered for their batch only.
     """
 
-    def __init__(self, path: str, limit: int = 600_000, longest: int = 4096) -> None:
+    def __init__(self, path: str, limit: int = 600_000) -> None:
         self.encode = chunk_encoder(tokenizer_path(path))
-        self.limit, self.longest = limit, longest
-        self.odd = re.compile(r"\s\s|^\s|\s$|[^\S \n]")
+        self.limit = limit
         self.cut = re.compile(r"(?<=\S) (?=\S)")
         self.place: dict[str, int] = {}
+        self.spaced: set[str] = {""}
         self.flat = np.empty(1 << 20, np.uint32)
         self.begin, self.size = np.empty(1 << 16, np.int64), np.empty(1 << 16, np.int64)
         self.used = 0
 
     def learn(self, chunks: list[str]) -> None:
-        codes = list(map(self.encode, chunks))
+        """Tokenise chunks, each behind a space; note those that begin or end in white space."""
+        codes = [self.encode(" " + chunk) for chunk in chunks]
+        self.spaced.update(c for c in chunks if c and (c[0].isspace() or c[-1].isspace()))
         sizes = np.fromiter(map(len, codes), np.int64, len(codes))
         at, total = len(self.place), int(sizes.sum())
         self.place.update(zip(chunks, range(at, at + len(chunks)), strict=True))
@@ -116,7 +121,7 @@ class ChunkIds:
         self.used += total
 
     def of(self, chunks: list[str]) -> np.ndarray:
-        """Ids of known chunks in a row."""
+        """Ids of known chunks in a row, each behind a space."""
         at = np.fromiter(map(self.place.__getitem__, chunks), np.int64, len(chunks))
         size = self.size[at]
         ends = np.cumsum(size)
@@ -124,29 +129,38 @@ class ChunkIds:
         return self.flat[np.repeat(self.begin[at] - (ends - size), size) + np.arange(total)]
 
     def batch(self, lists: list[list[str]]) -> Iterator[np.ndarray]:
-        """Ids of each list of chunks; a batch's new chunks are tokenised once."""
+        """Ids of each list of chunks, each behind a space; new chunks are tokenised once."""
         known, used = self.place, self.used
-        new = list(dict.fromkeys(c for chunks in lists for c in chunks if c not in known))
+        new = list(set(chain.from_iterable(lists)).difference(known))
         self.learn(new)
         for chunks in lists:
             yield self.of(chunks)
         if len(known) > self.limit:
             for chunk in new:
                 del known[chunk]
+            self.spaced.difference_update(new)
+            self.spaced.add("")
             self.used = used
 
-    def chunks(self, text: str) -> list[str]:
-        parts = self.cut.split(text) if self.odd.search(text) else text.split(" ")
-        return [*parts[:1], *[" " + p for p in parts[1:]]]
-
     def texts(self, texts: list[str], at_once: int = 200) -> Iterator[np.ndarray]:
-        """Ids of each text, in order; texts with an endless chunk are tokenised whole."""
+        """Ids of each text, in order."""
         for k in range(0, len(texts), at_once):
-            cut = [self.chunks(t) for t in texts[k : k + at_once]]
-            big = [max(map(len, c), default=0) > self.longest for c in cut]
-            ids = self.batch([[] if b else c for b, c in zip(big, cut, strict=True)])
-            for text, whole, found in zip(texts[k : k + at_once], big, ids, strict=True):
-                yield np.array(self.encode(text), np.uint32) if whole else found
+            some = texts[k : k + at_once]
+            cut = [t.split(" ") for t in some]
+            # Cuts beside other white space are not safe; such texts are cut with more care.
+            cut = [
+                self.cut.split(t) if t and self._unsafe(parts) else parts
+                for t, parts in zip(some, cut, strict=True)
+            ]
+            for parts, ids in zip(cut, self.batch([p[1:] for p in cut]), strict=True):
+                yield np.concatenate([np.array(self.encode(parts[0]), np.uint32), ids])
+
+    def _unsafe(self, parts: list[str]) -> bool:
+        """Whether any chunk is empty or begins or ends in white space."""
+        if not self.spaced.isdisjoint(parts):
+            return True
+        new = set(parts).difference(self.place)
+        return any(c[0].isspace() or c[-1].isspace() for c in new)
 
 
 def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY, end: int = 0) -> DataFrame:
