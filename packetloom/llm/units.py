@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from packetloom.llm.alignment import EDGES
-from packetloom.llm.common import texts
+from packetloom.llm.common import stage, texts
 
 _PARAGRAPH = re.compile(r"(?:[^\n]*[^\n\x20\x09\x0B-\x0D][^\n]*(?:\n|\Z))+")
 
@@ -69,7 +69,8 @@ def repeats(docs: DataFrame, unit: str = "line", min_words: int = 8) -> DataFram
     to tell a copy from chance and stay, and so do empty and null texts.
     """
     found = occurrences(docs, unit, min_words)
-    first = (
+    # Staged, so that the join below is one of its own and Spark can split a frequent digest.
+    first = stage(
         found.groupBy("digest").agg(F.min(F.struct("doc_id", "begin")).alias("first"), F.count("*").alias("n"))
         .where("n > 1").select("digest", "first")
     )
