@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from packetloom.llm.common import bounded_sample, fold, stage, texts
-from packetloom.llm.packing import TOKENIZER, ChunkIds, tokenizer_path
+from packetloom.llm.packing import TOKENIZER, ChunkIds, Encoder, tokenizer_path
 
 #: The token after the words of a text; no word, for it holds a space.
 END = " end"
@@ -211,7 +212,7 @@ class Attention:
                 ).astype(np.float32)
         return losses
 
-    def score(self, ids: list[np.ndarray], vocab: Vocabulary, stride: int = 16, at_once: int = 1024) -> np.ndarray:
+    def score(self, ids: list[np.ndarray], vocab: Vocabulary, stride: int = 16, at_once: int = 512) -> np.ndarray:
         """log10 probability of each sequence of ids; windows overlap by context - stride.
 
         The same function as ``forward``: projections of all embeddings are taken once, and only
@@ -224,6 +225,7 @@ class Attention:
         q, k, v = w["embed"] @ w["q"] * np.float32(self.width**-0.5), w["embed"] @ w["k"], w["embed"] @ w["v"]
         direct = w["embed"] @ w["direct"] + w["bias"]
         ahead, ones = np.exp(self.mask(stride, self.context)), np.ones(direct.shape[1], np.float32)
+        full = np.ones(self.context, np.float32)
         unsafe = np.abs(direct).max() + np.abs(v).max() * np.abs(w["out"]).sum(axis=0).max() > 80
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
         flat = np.concatenate(ids)
@@ -242,21 +244,22 @@ class Attention:
                 (given >= 0) & (given < size), rows[np.clip(begin[doc][:, None] + given, 0, len(rows) - 1)], self.start_row
             )
             asked = row[:, -stride:]
-            attention = np.exp(np.minimum(q[asked] @ k[row].transpose(0, 2, 1), np.float32(60)))
+            attention = q.take(asked, axis=0) @ k.take(row, axis=0).transpose(0, 2, 1)
+            np.exp(np.minimum(attention, np.float32(60), out=attention), out=attention)
             attention *= ahead
             early = np.flatnonzero(part * stride < self.context - stride + 1)
             attention[early] *= (given[early] >= -1)[:, None, :]
-            mixed = attention @ v[row]
-            mixed /= attention.sum(axis=2, keepdims=True)
-            out = mixed @ w["out"]
-            out += direct[asked]
+            mixed = attention @ v.take(row, axis=0)
+            mixed /= (attention @ full)[:, :, None]
+            out = mixed.reshape(-1, self.width) @ w["out"]
+            out += direct.take(asked.reshape(-1), axis=0)
             if unsafe:
                 np.minimum(out, np.float32(80), out=out)
             target = target[:, -stride:]
             real = target < size
             at = np.where(real, begin[doc][:, None] + target, 0)
-            chance = np.take_along_axis(out, groups[at][:, :, None], 2)[:, :, 0]
-            chance = chance - np.log(np.exp(out, out=out) @ ones) + shares[at]
+            chance = out[np.arange(len(out)), groups[at.reshape(-1)]]
+            chance = (chance - np.log(np.exp(out, out=out) @ ones)).reshape(at.shape) + shares[at]
             total += np.bincount(doc, np.where(real, chance, 0).sum(axis=1), len(ids))
         return total / LN10
 
@@ -265,11 +268,11 @@ def subword_counts(words: DataFrame, tokenizer: str) -> DataFrame:
     """(id, n): how often each subword id occurs in the counted words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = ChunkIds(tokenizer_path(tokenizer), limit=50_000)
+        encode = Encoder(tokenizer_path(tokenizer))
         for batch in batches:
-            each = list(coder.batch([[w] for w in batch.column("word").to_pylist()]))
-            times = np.repeat(batch.column("n").to_numpy(), [len(e) for e in each])
-            ids, place = np.unique(np.concatenate(each) if each else [], return_inverse=True)
+            codes, sizes = encode.spaced(batch.column("word").to_pylist())
+            times = np.repeat(batch.column("n").to_numpy(), sizes)
+            ids, place = np.unique(codes, return_inverse=True)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids.astype(np.int64)), pa.array(np.bincount(place, times, len(ids)).astype(np.int64))],
                 names=["id", "n"],
@@ -337,26 +340,39 @@ def score(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, vocab, hashes, times = shared.value
         coder = ChunkIds(tokenizer_path(tokenizer), limit=400_000)
-        known: dict[str, int] = {}
-        gain = np.log10(times + 1)
-        end_hash = word_hash(END)
+        # By number of a word: its hash, and what it adds to the base; NaN for words that are not common.
+        codes, gains = np.empty(1 << 16, np.int64), np.empty(1 << 16)
+
+        def gain(of: np.ndarray) -> np.ndarray:
+            if not len(hashes):
+                return np.full(len(of), np.nan)
+            place = np.minimum(np.searchsorted(hashes, of), len(hashes) - 1)
+            return np.where(hashes[place] == of, np.log10(times[place] + 1), np.nan)
+
+        end = np.array([word_hash(END)], np.int64)
+        end_gain = gain(end)
         for batch in batches:
             lists = [word_list(t) for t in texts(batch)]
+            ends = np.cumsum([len(words) for words in lists]).astype(np.int64)
+            every, new = coder.numbers(chain.from_iterable(lists), int(ends[-1]) if lists else 0)
+            while len(codes) < coder.learned:
+                codes, gains = np.resize(codes, 2 * len(codes)), np.resize(gains, 2 * len(gains))
+            fresh = slice(coder.learned - len(new), coder.learned)
+            codes[fresh] = np.fromiter(map(word_hash, new), np.int64, len(new))
+            gains[fresh] = gain(codes[fresh])
             sizes, bases, knowns, rare, rare_times, ids = [], [], [], [], [], []
-            for words, mine in zip(lists, coder.batch(lists), strict=True):
-                if len(known) > 400_000:
-                    known.clear()
-                known.update((w, word_hash(w)) for w in set(words) if w not in known)
-                codes = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-                each, often = np.unique(np.append(codes, end_hash), return_counts=True)
-                place = np.minimum(np.searchsorted(hashes, each), max(len(hashes) - 1, 0))
-                found = hashes[place] == each if len(hashes) else np.zeros(len(each), bool)
+            for words, last in zip(lists, ends.tolist(), strict=True):
+                at = every[last - len(words) : last]
+                got = np.append(gains[at], end_gain)
+                unknown = np.isnan(got)
+                each, often = np.unique(np.append(codes[at], end)[unknown], return_counts=True)
                 sizes.append(len(words) + 1)
-                bases.append(float((gain[place[found]] * often[found]).sum()) if len(hashes) else 0.0)
-                knowns.append(int(often[found].sum()))
-                rare.append(each[~found])
-                rare_times.append(often[~found].astype(np.int32))
-                ids.append(np.append(mine, np.uint32(vocab.end)).astype(np.int64))
+                bases.append(float(got[~unknown].sum()))
+                knowns.append(len(got) - int(unknown.sum()))
+                rare.append(each)
+                rare_times.append(often.astype(np.int32))
+                ids.append(np.append(coder.of(at), np.uint32(vocab.end)).astype(np.int64))
+            coder.forget(new)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(knowns, pa.int64()),
                  pa.array(bases, pa.float64()), pa.array(model.score(ids, vocab)),

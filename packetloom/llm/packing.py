@@ -13,7 +13,7 @@ import os
 import re
 import zlib
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import chain
 
@@ -41,48 +41,102 @@ def tokenizer_path(name: str) -> str:
 BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
-def chunk_encoder(path: str) -> Callable[[str], list[int]]:
+class Encoder:
     """The ids that a tokenizers file gives a string, without added special tokens.
 
     A byte-level BPE whose merges are numbered in their order is a table of ranks; such a
     table is merged several times faster elsewhere. Other files, and strings that hold a
     special token, go through tokenizers itself, which is loaded when it is needed.
     """
-    loaded: list = []
 
-    def plain(text: str) -> list[int]:
-        if not loaded:
+    def __init__(self, path: str) -> None:
+        self.path, self.loaded, self.fast = path, None, None
+        with open(path, encoding="utf-8") as file:
+            parts = json.load(file)
+        before, model = parts.get("pre_tokenizer") or {}, parts["model"]
+        merges = model.get("merges") or []
+        vocab = model.get("vocab") or {}
+        numbers = [vocab.get("".join(m) if isinstance(m, list) else m.replace(" ", "")) for m in merges]
+        simple = (
+            before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+            and not parts.get("normalizer") and not parts.get("post_processor") and merges
+            and None not in numbers and numbers == sorted(numbers)
+        )
+        if not simple:
+            return
+        import tiktoken
+
+        self.special = [t["content"] for t in parts.get("added_tokens") or []]
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in shown]
+        byte = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
+        ranks = {bytes(byte[c] for c in token): n for token, n in vocab.items() if token not in self.special}
+        self.fast = tiktoken.Encoding("file", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})
+        self.line_end = ranks.get(b"\n", -1)
+
+    def __call__(self, text: str) -> list[int]:
+        if self.fast is not None and not any(s in text for s in self.special):
+            return self.fast.encode_ordinary(text)
+        if self.loaded is None:
             from tokenizers import Tokenizer
 
-            loaded.append(Tokenizer.from_file(path))
-        return loaded[0].encode(text, add_special_tokens=False).ids
-
-    with open(path, encoding="utf-8") as file:
-        parts = json.load(file)
-    before, model = parts.get("pre_tokenizer") or {}, parts["model"]
-    merges = model.get("merges") or []
-    vocab = model.get("vocab") or {}
-    numbers = [vocab.get("".join(m) if isinstance(m, list) else m.replace(" ", "")) for m in merges]
-    simple = (
-        before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
-        and not parts.get("normalizer") and not parts.get("post_processor") and merges
-        and None not in numbers and numbers == sorted(numbers)
-    )
-    if not simple:
-        return plain
-    import tiktoken
+            self.loaded = Tokenizer.from_file(self.path)
+        return self.loaded.encode(text, add_special_tokens=False).ids
+
+    def spaced(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all chunks, each behind a space, in a row, and how many each has.
+
+        Chunks without line ends and outer white space are encoded as the lines of one string: a
+        line end before a space is cut off by itself and has an id that no such chunk holds.
+        """
+        lines = self._lines(chunks)
+        if lines is None:
+            codes = [self(" " + chunk) for chunk in chunks]
+            sizes = np.fromiter(map(len, codes), np.int64, len(codes))
+            return np.fromiter(chain.from_iterable(codes), np.uint32, int(sizes.sum())), sizes
+        return lines
+
+    def _lines(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        if self.fast is None or self.line_end < 0 or len(chunks) < 2:
+            return None
+        hard = [
+            k for k, c in enumerate(chunks)
+            if not c or "\n" in c or c[0].isspace() or c[-1].isspace() or any(s in c for s in self.special)
+        ]
+        if hard:
+            easy = np.ones(len(chunks), bool)
+            easy[hard] = False
+            places = np.flatnonzero(easy)
+            lines = self._lines([chunks[k] for k in places])
+            if lines is None:
+                return None
+            codes = [self(" " + chunks[k]) for k in hard]
+            sizes = np.zeros(len(chunks), np.int64)
+            sizes[places], sizes[hard] = lines[1], list(map(len, codes))
+            of_easy = np.repeat(easy, sizes)
+            flat = np.empty(len(of_easy), np.uint32)
+            flat[of_easy] = lines[0]
+            flat[~of_easy] = np.fromiter(chain.from_iterable(codes), np.uint32, len(flat) - len(lines[0]))
+            return flat, sizes
+        ids = np.array(self.fast.encode_ordinary(" " + "\n ".join(chunks)), np.uint32)
+        cuts = np.flatnonzero(ids == self.line_end)
+        if len(cuts) != len(chunks) - 1:
+            return None
+        sizes = np.diff(np.concatenate([[-1], cuts, [len(ids)]])) - 1
+        return np.delete(ids, cuts), sizes
+
 
-    special = [t["content"] for t in parts.get("added_tokens") or []]
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    hidden = [b for b in range(256) if b not in shown]
-    byte = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
-    ranks = {bytes(byte[c] for c in token): n for token, n in vocab.items() if token not in special}
-    fast = tiktoken.Encoding("file", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})
+class Numbers(dict):
+    """A number for each chunk, in the order of first sight; ``new`` lists those not yet learned."""
 
-    def encode(text: str) -> list[int]:
-        return plain(text) if any(s in text for s in special) else fast.encode_ordinary(text)
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[str] = []
 
-    return encode
+    def __missing__(self, chunk: str) -> int:
+        self[chunk] = number = len(self)
+        self.new.append(chunk)
+        return number
 
 
 class ChunkIds:
@@ -95,34 +149,44 @@ class ChunkIds:
     """
 
     def __init__(self, path: str, limit: int = 600_000) -> None:
-        self.encode = chunk_encoder(tokenizer_path(path))
+        self.encode = Encoder(tokenizer_path(path))
         self.limit = limit
         self.cut = re.compile(r"(?<=\S) (?=\S)")
-        self.place: dict[str, int] = {}
-        self.spaced: set[str] = {""}
+        self.rare = re.compile(r"[^\S \n]")
+        self.number = Numbers()
         self.flat = np.empty(1 << 20, np.uint32)
         self.begin, self.size = np.empty(1 << 16, np.int64), np.empty(1 << 16, np.int64)
-        self.used = 0
-
-    def learn(self, chunks: list[str]) -> None:
-        """Tokenise chunks, each behind a space; note those that begin or end in white space."""
-        codes = [self.encode(" " + chunk) for chunk in chunks]
-        self.spaced.update(c for c in chunks if c and (c[0].isspace() or c[-1].isspace()))
-        sizes = np.fromiter(map(len, codes), np.int64, len(codes))
-        at, total = len(self.place), int(sizes.sum())
-        self.place.update(zip(chunks, range(at, at + len(chunks)), strict=True))
-        while len(self.begin) < len(self.place):
-            self.begin, self.size = np.resize(self.begin, 2 * len(self.begin)), np.resize(self.size, 2 * len(self.size))
-        while len(self.flat) < self.used + total:
-            self.flat = np.resize(self.flat, 2 * len(self.flat))
-        ends = np.cumsum(sizes) + self.used
-        self.begin[at : at + len(chunks)], self.size[at : at + len(chunks)] = ends - sizes, sizes
-        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(codes), np.uint32, total)
-        self.used += total
-
-    def of(self, chunks: list[str]) -> np.ndarray:
-        """Ids of known chunks in a row, each behind a space."""
-        at = np.fromiter(map(self.place.__getitem__, chunks), np.int64, len(chunks))
+        self.used = self.learned = 0
+
+    def numbers(self, chunks: Iterable[str], count: int) -> tuple[np.ndarray, list[str]]:
+        """The number of each chunk, and the chunks that are new, whose numbers are the last ones."""
+        at = np.fromiter(map(self.number.__getitem__, chunks), np.int64, count)
+        new, self.number.new = self.number.new, []
+        if new:
+            codes, sizes = self.encode.spaced(new)
+            end, total = self.learned + len(new), self.used + len(codes)
+            while len(self.begin) < end:
+                self.begin, self.size = np.resize(self.begin, 2 * len(self.begin)), np.resize(self.size, 2 * len(self.size))
+            while len(self.flat) < total:
+                self.flat = np.resize(self.flat, 2 * len(self.flat))
+            self.begin[self.learned : end] = np.cumsum(sizes) - sizes + self.used
+            self.size[self.learned : end] = sizes
+            self.flat[self.used : total] = codes
+            self.learned, self.used = end, total
+        return at, new
+
+    def forget(self, new: list[str]) -> bool:
+        """Drop the newest chunks if there are more than ``limit``; whether they were dropped."""
+        if len(self.number) <= self.limit or not new:
+            return False
+        for chunk in new:
+            del self.number[chunk]
+        self.learned -= len(new)
+        self.used = int(self.begin[self.learned])
+        return True
+
+    def of(self, at: np.ndarray) -> np.ndarray:
+        """Ids of numbered chunks in a row, each behind a space."""
         size = self.size[at]
         ends = np.cumsum(size)
         total = int(ends[-1]) if len(ends) else 0
@@ -130,37 +194,26 @@ class ChunkIds:
 
     def batch(self, lists: list[list[str]]) -> Iterator[np.ndarray]:
         """Ids of each list of chunks, each behind a space; new chunks are tokenised once."""
-        known, used = self.place, self.used
-        new = list(set(chain.from_iterable(lists)).difference(known))
-        self.learn(new)
-        for chunks in lists:
-            yield self.of(chunks)
-        if len(known) > self.limit:
-            for chunk in new:
-                del known[chunk]
-            self.spaced.difference_update(new)
-            self.spaced.add("")
-            self.used = used
+        ends = np.cumsum([len(chunks) for chunks in lists]).astype(np.int64)
+        at, new = self.numbers(chain.from_iterable(lists), int(ends[-1]) if lists else 0)
+        for chunks, end in zip(lists, ends.tolist(), strict=True):
+            yield self.of(at[end - len(chunks) : end])
+        self.forget(new)
 
     def texts(self, texts: list[str], at_once: int = 200) -> Iterator[np.ndarray]:
         """Ids of each text, in order."""
         for k in range(0, len(texts), at_once):
-            some = texts[k : k + at_once]
-            cut = [t.split(" ") for t in some]
             # Cuts beside other white space are not safe; such texts are cut with more care.
-            cut = [
-                self.cut.split(t) if t and self._unsafe(parts) else parts
-                for t, parts in zip(some, cut, strict=True)
-            ]
+            cut = [self.cut.split(t) if self._unsafe(t) else t.split(" ") for t in texts[k : k + at_once]]
             for parts, ids in zip(cut, self.batch([p[1:] for p in cut]), strict=True):
                 yield np.concatenate([np.array(self.encode(parts[0]), np.uint32), ids])
 
-    def _unsafe(self, parts: list[str]) -> bool:
-        """Whether any chunk is empty or begins or ends in white space."""
-        if not self.spaced.isdisjoint(parts):
-            return True
-        new = set(parts).difference(self.place)
-        return any(c[0].isspace() or c[-1].isspace() for c in new)
+    def _unsafe(self, text: str) -> bool:
+        """Whether a space may stand beside white space or an end of the text."""
+        return bool(text) and (
+            text[0] in " \n" or text[-1] in " \n" or "  " in text or " \n" in text or "\n " in text
+            or self.rare.search(text) is not None
+        )
 
 
 def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY, end: int = 0) -> DataFrame:
