@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from packetloom.operators.flows import FEATURES
 from packetloom.operators.isolation import IsolationModel, fit_isolation
 from packetloom.operators.prefix import attach
+from packetloom.session import use_checkpoints
 
 MIN_SAMPLES = 100
 MIN_ISOLATION_ROWS = 50
@@ -254,7 +255,9 @@ def retrain(
     total, fitting = df.agg(F.count("*"), F.count_if(F.size("features") == dim)).head()
     if total < min_samples or fitting != total:
         return None
-    marked = split(df, id_col, test=test, seed=seed)
+    # Fitting and evaluation read the split about ten times.
+    use_checkpoints(df.sparkSession)
+    marked = split(df, id_col, test=test, seed=seed).checkpoint()
     train, held_out = marked.where(~F.col("is_test")), marked.where("is_test")
     scaler = previous.scaler if previous and previous.forests else fit_scaler(train, dim=dim)
     scaled = train.withColumn("features", scaler.apply(F.col("features")))

@@ -94,12 +94,16 @@ def a3_alert_stream(spark, sf_dir):
 @query("s8_write_verdicts", ("logs",), """
 SELECT 'packet_logs' AS sink, count(*) FILTER (WHERE classification <> 'safe') AS n, CAST(sum(id) FILTER (WHERE classification <> 'safe') AS BIGINT) AS ids FROM logs
 UNION ALL SELECT 'ai_history', count(*), CAST(sum(id) AS BIGINT) FROM logs
+UNION ALL SELECT 'training_data', count(*), CAST(sum(id) AS BIGINT) FROM logs
 UNION ALL SELECT 'dangerous_ips', count(DISTINCT src_ip), count(*) FROM logs WHERE classification = 'dangerous'
 """)
 def s8_write_verdicts(spark, sf_dir):
     base = _run(
         spark, sf_dir, "logs",
-        lambda df, base: windowed.write_verdicts(df, f"{base}/store", f"{base}/checkpoint"),
+        lambda df, base: windowed.write_verdicts(
+            df.withColumn("features", F.array(F.col("id").cast("double"), "confidence")),
+            f"{base}/store", f"{base}/checkpoint", safe_rate=1.0,
+        ),
     )
 
     def counted(name: str) -> DataFrame:
@@ -107,8 +111,12 @@ def s8_write_verdicts(spark, sf_dir):
             F.lit(name).alias("sink"), F.count("*").alias("n"), F.sum("id").alias("ids")
         )
 
-    bad = windowed.dangerous_ips(spark, f"{base}/store", 2)
-    return counted("packet_logs").unionByName(counted("ai_history")).unionByName(
+    bad = windowed.dangerous_ips(spark, f"{base}/store")
+    first = F.from_json("features_json", "array<double>")[0]
+    taught = spark.read.parquet(f"{base}/store/training_data").agg(
+        F.lit("training_data").alias("sink"), F.count("*").alias("n"), F.sum(first).cast("bigint").alias("ids")
+    )
+    return counted("packet_logs").unionByName(counted("ai_history")).unionByName(taught).unionByName(
         bad.agg(F.lit("dangerous_ips").alias("sink"), F.count("*").alias("n"), F.sum("event_count").alias("ids"))
     )
 

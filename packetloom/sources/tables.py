@@ -55,16 +55,39 @@ def _present(df: DataFrame, wanted: tuple[str, ...]) -> list[str]:
     return [c for c in wanted if c in df.columns]
 
 
+def _require(df: DataFrame, *names: str) -> None:
+    missing = [c for c in names if c not in df.columns]
+    if missing:
+        raise ValueError(f"verdicts lack {', '.join(missing)}")
+
+
+def verdict_rows(scored: DataFrame) -> DataFrame:
+    """Rows of score_packets() as the sinks take them: id, event time, anomaly score, flow."""
+    made = {
+        "id": F.col("packet_id"), "ts_sec": F.col("ts_us") / 1e6,
+        "anomaly_score": F.col("anomaly_strength"),
+    }
+    if "flow_duration_us" in scored.columns:
+        made |= {"duration": F.col("flow_duration_us") / 1e6, "packets": F.col("total_fwd_packets")}
+    return scored.withColumns(made)
+
+
 def _dated(df: DataFrame) -> DataFrame:
     return df.withColumn("event_date", F.timestamp_seconds("ts_sec").cast("date"))
 
 
 def log_rows(verdicts: DataFrame, now: float | None = None) -> DataFrame:
-    """Verdicts as stored: event time resolved again (E1, E2), missing class is safe."""
+    """Verdicts as stored: event time resolved again (E1, E2), missing class is safe.
+
+    Needed columns and at least one of the times must be there; the time may be NULL.
+    """
+    _require(verdicts, "id", "src_ip", "classification", "risk_score")
     candidates = [
         F.col(c) for c in ("packet_send_time", "event_origin_time", "device_timestamp", "ts_sec")
         if c in verdicts.columns
     ]
+    if not candidates:
+        raise ValueError("verdicts lack ts_sec or another event time")
     current = F.lit(now) if now is not None else F.unix_micros(F.current_timestamp()) / 1e6
     timed = verdicts.withColumn("ts_sec", times.event_time(*candidates, now=current))
     full = timed.withColumns(
@@ -78,12 +101,14 @@ def log_rows(verdicts: DataFrame, now: float | None = None) -> DataFrame:
 
 def history_rows(verdicts: DataFrame) -> DataFrame:
     """Analysis history, all classes."""
+    _require(verdicts, "id", "ts_sec", "src_ip", "classification", "risk_score")
     full = verdicts.withColumn("classification", F.coalesce("classification", F.lit("safe")))
     return _dated(full.select(*_present(full, HISTORY_COLUMNS)))
 
 
 def training_rows(verdicts: DataFrame, safe_rate: float = 0.02) -> DataFrame:
     """Flagged verdicts and a share of safe ones (M11) as training rows."""
+    _require(verdicts, "id", "ts_sec", "features", "classification")
     return training_sample(verdicts, "id", safe_rate).select(
         F.col("ts_sec").alias("created_at"), F.to_json("features").alias("features_json"),
         F.col("classification").alias("label"),
@@ -97,6 +122,14 @@ def write_dated(rows: DataFrame, path: str, mode: str = "append") -> None:
     balanced.write.mode(mode).partitionBy("event_date").parquet(path)
 
 
+def write_batch(rows: DataFrame, path: str, batch_id: int) -> None:
+    """Write a micro-batch under its event dates; one that runs again replaces its own rows."""
+    numbered = rows.withColumn("batch", F.lit(batch_id)).hint("rebalance", "event_date")
+    numbered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+        "event_date", "batch"
+    ).parquet(path)
+
+
 def write_snapshot(spark: SparkSession, row: DataFrame, path: str) -> None:
     """Append the statistics row with a time; the newest counts."""
     row.withColumn("updated_at", F.current_timestamp()).write.mode("append").parquet(path)

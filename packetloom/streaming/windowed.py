@@ -9,7 +9,6 @@ that runs again replaces its output.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -21,22 +20,31 @@ from packetloom.operators.behavior import SECOND_US
 from packetloom.sources import tables
 
 
-def _read(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return None
-        raise
-
-
 def _slot(path: str, batch_id: int) -> str:
     """Two slots take turns: a batch reads what the one before left, and can run again."""
     return f"{path}/slot={batch_id % 2}"
 
 
+def _before(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
+    """What the batch before left; None for the first. Later a missing slot is lost state."""
+    if not batch_id:
+        return None
+    try:
+        return spark.read.parquet(_slot(path, batch_id - 1))
+    except AnalysisException as error:
+        raise RuntimeError(f"the state that batch {batch_id - 1} left under {path} is missing") from error
+
+
 def _each(stream: DataFrame, run: Callable[[DataFrame, int], None], checkpoint: str) -> DataStreamWriter:
-    return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+    """Run a function on each micro-batch, which is read from its source once."""
+    def once(batch: DataFrame, batch_id: int) -> None:
+        held = batch.persist()
+        try:
+            run(held, batch_id)
+        finally:
+            held.unpersist()
+
+    return stream.writeStream.foreachBatch(once).option("checkpointLocation", checkpoint)
 
 
 def with_lookback(
@@ -51,7 +59,7 @@ def with_lookback(
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         fresh = batch.withColumn("_fresh", F.lit(True))
-        before = _read(spark, _slot(state, batch_id - 1)) if batch_id else None
+        before = _before(spark, state, batch_id)
         whole = fresh if before is None else fresh.unionByName(before.withColumn("_fresh", F.lit(False)))
         operator(whole).where("_fresh").drop("_fresh").write.mode("overwrite").parquet(
             f"{out}/batch={batch_id}"
@@ -97,8 +105,8 @@ def alert_stream(
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         fresh = alerts.eligible(batch).select("src_ip", "ts_us", "reasons").withColumn("_fresh", F.lit(True))
-        before = _read(spark, _slot(f"{state}/events", batch_id - 1)) if batch_id else None
-        last = _read(spark, _slot(f"{state}/last", batch_id - 1)) if batch_id else None
+        before = _before(spark, f"{state}/events", batch_id)
+        last = _before(spark, f"{state}/last", batch_id)
         whole = fresh if before is None else fresh.unionByName(before.withColumn("_fresh", F.lit(False)))
         counted = behavior.recent_counts(whole, window_s * SECOND_US, "burst_count")
         counts = counted.where(F.col("_fresh") & (F.col("burst_count") > n)).groupBy("src_ip", "ts_us").agg(
@@ -112,10 +120,12 @@ def alert_stream(
         sent = alerts.debounce(candidates, gap_s)
         fired = alerts.alert_reasons(sent.join(counts, ["src_ip", "ts_us"]), whole, window_s)
         fired.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-        sent.groupBy("src_ip").agg(F.max("ts_us").alias("last_us")).write.mode("overwrite").parquet(
-            _slot(f"{state}/last", batch_id)
-        )
         newest = whole.agg(F.max("ts_us")).scalar()
+        # An older alert mutes no row that the kept ones can still count.
+        muting = F.col("last_us") > newest - (gap_s + window_s) * SECOND_US
+        sent.groupBy("src_ip").agg(F.max("ts_us").alias("last_us")).where(muting).write.mode(
+            "overwrite"
+        ).parquet(_slot(f"{state}/last", batch_id))
         whole.drop("_fresh").where(F.col("ts_us") >= newest - window_s * SECOND_US).write.mode(
             "overwrite"
         ).parquet(_slot(f"{state}/events", batch_id))
@@ -125,37 +135,35 @@ def alert_stream(
 
 def write_verdicts(
     verdicts: DataFrame, base: str, checkpoint: str, persist_safe: bool = False,
-    safe_rate: float = 0.02,
+    safe_rate: float | None = 0.02,
 ) -> DataStreamWriter:
     """S8, S9, S10 and A9 from one verdict stream, under ``base``.
 
-    The micro-batch is cached for its four writes. dangerous_ips is merged with the state
-    the batch before left.
+    Rows are stored by date and, within it, by batch. Verdicts without ``features`` fail
+    unless ``safe_rate`` is None, which writes no training rows. dangerous_ips is merged with
+    the state the batch before left.
     """
     def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        held = batch.persist()
-        try:
-            kept = maintain.keep_persistable(tables.log_rows(held), persist_safe)
-            tables.write_dated(kept, f"{base}/packet_logs/batch={batch_id}", "overwrite")
-            tables.write_dated(tables.history_rows(held), f"{base}/ai_history/batch={batch_id}", "overwrite")
-            if "features" in held.columns:
-                tables.training_rows(held, safe_rate).write.mode("overwrite").parquet(
-                    f"{base}/training_data/batch={batch_id}"
-                )
-            found = [maintain.dangerous_batch(held)]
-            before = _read(spark, _slot(f"{base}/dangerous_ips", batch_id - 1)) if batch_id else None
-            if before is not None:
-                found.append(before)
-            reduce(maintain.upsert_dangerous, found).write.mode("overwrite").parquet(
-                _slot(f"{base}/dangerous_ips", batch_id)
+        kept = maintain.keep_persistable(tables.log_rows(batch), persist_safe)
+        tables.write_batch(kept, f"{base}/packet_logs", batch_id)
+        tables.write_batch(tables.history_rows(batch), f"{base}/ai_history", batch_id)
+        if safe_rate is not None:
+            tables.training_rows(batch, safe_rate).write.mode("overwrite").parquet(
+                f"{base}/training_data/batch={batch_id}"
             )
-        finally:
-            held.unpersist()
+        found = maintain.dangerous_batch(batch)
+        before = _before(batch.sparkSession, f"{base}/dangerous_ips", batch_id)
+        if before is not None:
+            found = maintain.upsert_dangerous(before.drop("batch"), found)
+        found.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(
+            _slot(f"{base}/dangerous_ips", batch_id)
+        )
 
     return _each(verdicts, run, checkpoint)
 
 
-def dangerous_ips(spark: SparkSession, base: str, last_batch: int) -> DataFrame:
-    """The table write_verdicts() left after a batch."""
-    return spark.read.parquet(_slot(f"{base}/dangerous_ips", last_batch))
+def dangerous_ips(spark: SparkSession, base: str) -> DataFrame:
+    """The table write_verdicts() left after its last batch."""
+    slots = spark.read.parquet(f"{base}/dangerous_ips")
+    newest = slots.agg(F.max("batch")).scalar()
+    return slots.where(F.col("batch") == newest).drop("batch", "slot")

@@ -126,6 +126,19 @@ def test_log_rows(spark, verdicts, tmp_path):
     assert "PartitionFilters: [isnotnull(event_date" in kept._jdf.queryExecution().executedPlan().toString()
 
 
+def test_sinks_refuse_missing_columns(spark, verdicts):
+    for sink, lost in ((tables.log_rows, "ts_sec"), (tables.log_rows, "risk_score"), (tables.history_rows, "id"), (tables.training_rows, "features")):
+        with pytest.raises(ValueError, match=lost):
+            sink(verdicts.drop(lost))
+
+
+def test_batch_runs_again(spark, verdicts, tmp_path):
+    path = str(tmp_path / "logs")
+    for batch, low in ((0, 0), (1, 20), (1, 20)):
+        tables.write_batch(tables.log_rows(verdicts.where(F.col("id").between(low, low + 19))), path, batch)
+    assert [r.id for r in spark.read.parquet(path).orderBy("id").collect()] == list(range(40))
+
+
 def test_purge(spark, verdicts):
     spark.sql("DROP TABLE IF EXISTS purge_logs")
     tables.log_rows(verdicts).write.partitionBy("event_date").saveAsTable("purge_logs")

@@ -1,5 +1,6 @@
 """Streams give what the batch operators give."""
 
+import pytest
 from pyspark.sql import functions as F
 from test_windows import dns_rows, traffic
 
@@ -27,6 +28,12 @@ def test_detect(spark, tmp_path):
     assert {r.packet_id: r.behavior for r in out.collect()} == want
 
 
+def test_missing_state_fails(spark, tmp_path):
+    with pytest.raises(RuntimeError, match="missing"):
+        windowed._before(spark, str(tmp_path / "state"), 3)
+    assert windowed._before(spark, str(tmp_path / "state"), 0) is None
+
+
 def test_dns(spark, tmp_path):
     df = spark.createDataFrame(dns_rows(9, 700), "dns_id long, ts_us long, src_ip string, qname string, qtype string")
     path = str(tmp_path)
