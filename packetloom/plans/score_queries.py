@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from packetloom.functions import risk
 from packetloom.operators import scoring
 from packetloom.plans.adapters import adapt
 from packetloom.plans.registry import query
-from packetloom.session import shared_dir
-from packetloom.sources import tables
 
 _D = "CAST({} AS DOUBLE)"
 
@@ -195,35 +191,6 @@ def r9_explanation(spark, sf_dir):
     )
 
 
-@query("r10_stored_verdicts", ("scored",), _FUSED + """
-SELECT rec_id AS id, CAST(DATE '2024-01-01' + CAST(rec_id % 10 AS INT) AS VARCHAR)[1:10] AS event_date, classification, strength AS anomaly_score,
-  risk AS risk_score, ml_score AS ai_score, rf_prob AS f_0 FROM c
-""")
-def r10_stored_verdicts(spark, sf_dir):
-    """Scored records through the three sinks and back, joined by id."""
-    day = F.col("rec_id") % 10
-    records = _records(spark, sf_dir).withColumns(
-        {
-            "packet_id": F.col("rec_id"),
-            "ts_us": (F.lit(1_704_067_200) + day * 86_400 + F.col("rec_id") % 86_400) * 1_000_000,
-            "src_ip": F.concat(F.lit("10.0.0."), (F.col("rec_id") % 200).cast("string")),
-            "features": F.array("rf_prob", F.col("rec_id").cast("double")),
-        }
-    )
-    verdicts = tables.verdict_rows(scoring.score_records(records, digits=None))
-    base = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    tables.write_dated(tables.log_rows(verdicts), f"{base}/packet_logs")
-    tables.write_dated(tables.history_rows(verdicts), f"{base}/ai_history")
-    tables.training_rows(verdicts, 1.0).write.parquet(f"{base}/training_data")
-    logs, history, taught = (spark.read.parquet(f"{base}/{n}") for n in ("packet_logs", "ai_history", "training_data"))
-    vector = F.from_json("features_json", "array<double>")
-    return (
-        logs.select("id", F.col("event_date").cast("string").alias("event_date"), "classification", "anomaly_score")
-        .join(history.select("id", "risk_score", "ai_score"), "id")
-        .join(taught.select(vector[1].cast("bigint").alias("id"), vector[0].alias("f_0")), "id")
-    )
-
-
 @query("r11_classify_by_count", ("logs",), """
 SELECT id, CASE WHEN ai_label = 'dangerous' OR list_contains(reasons, 'ml_attack') OR len(reasons) >= 2 THEN 'dangerous'
   WHEN ai_label = 'suspicious' OR list_contains(reasons, 'anomaly') THEN 'suspicious' ELSE 'safe' END AS classification FROM logs
