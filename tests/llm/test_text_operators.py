@@ -104,6 +104,40 @@ def test_large_region_of_copies(spark):
     assert got.select("component_id").distinct().collect() == [(0,)]
 
 
+def test_refused_candidates_hide_no_link(spark):
+    """Two texts at just 75 percent, each among texts of one template that lie nearer by sketch but under it."""
+    words, rng, new = prose(8, 704).split(), random.Random(6), iter(range(10**6))
+
+    def edited(base, places):
+        changed = list(base)
+        for place in places:
+            changed[place] = f"new{next(new)}"
+        return changed
+
+    def spread(n):
+        at = list(range(6, 696, 6))
+        return rng.sample(at, n)
+
+    other = edited(words, spread(20))
+    texts = [words, other, *[edited(base, spread(21)) for base in (words, other) for _ in range(60)]]
+    rows = [(k, " ".join(text)) for k, text in enumerate(texts)]
+    got = forest.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == classes(rows)
+    assert classes(rows)[1] == 0
+
+
+def test_bins_never_rule_out_a_link():
+    rng = np.random.default_rng(4)
+    for size in (5, 300, 3000, 90_000):
+        one, two = (np.unique(rng.integers(0, 1 << 63, size, np.uint64) << np.uint64(1)) for _ in range(2))
+        two = np.union1d(one[: size // 2], two[: size // 2])
+        left, right = forest.bins(one), forest.bins(two)
+        assert bool(left) == (size < 90_000)
+        if left and right:
+            shared = np.minimum(np.frombuffer(left, np.uint8), np.frombuffer(right, np.uint8)).sum(dtype=np.int64)
+            assert shared >= len(np.intersect1d(one, two))
+
+
 def test_near_duplicates_odd_rows(odd, none):
     rows = [tuple(r) for r in forest.near_duplicates(odd).collect()]
     assert len(rows) == odd.count()
