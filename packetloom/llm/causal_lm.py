@@ -3,7 +3,8 @@
 Words of all training documents are counted in Spark; from these counts come the add-one base,
 the counts of subword ids and their classes. A one-head attention model over embeddings of
 subword ids, trained in numpy, predicts the class of the next id; the id within its class
-has its share of the counts. Texts are scored in overlapping windows, each token once.
+has its share of the counts. Weights start from a sample; then tasks compute the gradients of their
+own windows over the whole table and Spark adds them up. Texts are scored in overlapping windows, each token once.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packetloom.llm.common import bounded_sample, fold, stage, texts
+from packetloom.llm.common import bounded_sample, fold, stage, stage_by, texts
 from packetloom.llm.packing import TOKENIZER, ChunkIds, Encoder, tokenizer_path
 
 #: The token after the words of a text; no word, for it holds a space.
@@ -179,10 +180,30 @@ class Attention:
         for name, to in (("q", to_q), ("k", to_k), ("v", to_v)):
             g[name] = flat(x).T @ flat(to)
         to_x = to_q @ w["q"].T + to_k @ w["k"].T + to_v @ w["v"].T + back @ w["direct"].T
-        g["embed"] = np.zeros_like(w["embed"])
-        np.add.at(g["embed"], rows.reshape(-1), flat(to_x))
+        at, size = rows.reshape(-1), len(w["embed"])
+        g["embed"] = np.stack([np.bincount(at, of, size) for of in flat(to_x).T], axis=1).astype(w["embed"].dtype)
         return loss, g
 
+    def window_gradients(self, ids: np.ndarray, vocab: Vocabulary) -> tuple:
+        """Mean loss and gradients for windows of ids, and the number of ids they predict."""
+        target = ids[:, 1:]
+        given = np.where(ids[:, :-1] >= 0, vocab.row[ids[:, :-1]], self.start_row)
+        known = target >= 0
+        loss, g = self.gradients(
+            given, np.ones(given.shape, bool), np.where(known, vocab.group[target], 0).astype(np.int64),
+            known.astype(np.float32),
+        )
+        return loss, g, int(known.sum())
+
+    def descend(self, g: dict, first: dict, second: dict, step: int, pace: float) -> None:
+        """One step of Adam; ``first`` and ``second`` hold its running means."""
+        for name, slope in g.items():
+            first[name] = 0.9 * first[name] + 0.1 * slope
+            second[name] = 0.99 * second[name] + 0.01 * slope * slope
+            self.weights[name] -= (
+                pace * (first[name] / (1 - 0.9**step)) / (np.sqrt(second[name] / (1 - 0.99**step)) + 1e-8)
+            ).astype(np.float32)
+
     def train(self, windows: np.ndarray, vocab: Vocabulary, steps: int = 600, batch: int = 128,
               rate: float = 0.02, seed: int = 5) -> list[float]:
         """Adam on windows of ids (-1 past the end of a text, the first id without a predecessor)."""
@@ -194,22 +215,10 @@ class Attention:
         second = {k: np.zeros_like(v) for k, v in self.weights.items()}
         for step in range(1, steps + 1):
             ids = windows[random.integers(0, len(windows), batch)]
-            target = ids[:, 1:]
-            given = np.where(ids[:, :-1] >= 0, vocab.row[ids[:, :-1]], self.start_row)
-            given = np.where(ids[:, :-1] == -2, self.start_row, given)
-            known = target >= 0
-            loss, g = self.gradients(
-                given, np.ones(given.shape, bool), np.where(known, vocab.group[target], 0).astype(np.int64),
-                known.astype(np.float32),
-            )
+            loss, g, _ = self.window_gradients(ids, vocab)
             losses.append(loss)
             pace = rate * min(1.0, step / 50) * 0.5 * (1 + np.cos(np.pi * step / steps))
-            for name, slope in g.items():
-                first[name] = 0.9 * first[name] + 0.1 * slope
-                second[name] = 0.99 * second[name] + 0.01 * slope * slope
-                self.weights[name] -= (
-                    pace * (first[name] / (1 - 0.9**step)) / (np.sqrt(second[name] / (1 - 0.99**step)) + 1e-8)
-                ).astype(np.float32)
+            self.descend(g, first, second, step, pace)
         return losses
 
     def score(self, ids: list[np.ndarray], vocab: Vocabulary, stride: int = 16, at_once: int = 512) -> np.ndarray:
@@ -303,14 +312,112 @@ def training_windows(docs: DataFrame, tokenizer: str, end: int, size: int, docum
     return np.array(sorted(r[0] for r in rows), np.int64).reshape(-1, size)
 
 
+def coded(docs: DataFrame, tokenizer: str, end: int, slices: int) -> str:
+    """Folder of the ids of all texts, start and end around them, dealt to slices by a hash of the text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = ChunkIds(tokenizer_path(tokenizer), limit=400_000)
+        for batch in batches:
+            said = texts(batch)
+            slots = [xxhash.xxh3_64_intdigest(t.encode()) % slices for t in said]
+            ids = [np.concatenate([[-2], i, [end]]).astype(np.int32) for i in coder.batch([word_list(t) for t in said])]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.list_(pa.int32())), pa.array(slots, pa.int32())], names=["ids", "slice"]
+            )
+
+    return stage_by(docs.select("text").mapInArrow(run, "ids array<int>, slice int"), "slice")
+
+
+def cut_windows(ids: np.ndarray, size: int) -> np.ndarray:
+    """Windows of ``size`` ids, -1 past the end, in which each id but the first is predicted once."""
+    steps = -(-(len(ids) - 1) // (size - 1))
+    held = np.full(steps * (size - 1) + 1, -1, np.int64)
+    held[: len(ids)] = ids
+    return held[np.arange(steps)[:, None] * (size - 1) + np.arange(size)[None, :]]
+
+
+def summed_gradients(part: DataFrame, model: Attention, vocab: Vocabulary, size: int, at_once: int = 512) -> tuple:
+    """Summed loss and gradients over all windows of the texts in ``part``, and the number of predicted ids.
+
+    Tasks add up their own windows, a few tasks add up the tasks; the driver gets sums of weights' size.
+    """
+    shared = part.sparkSession.sparkContext.broadcast((model, vocab))
+    schema = "loss double, n bigint, gradient binary"
+
+    def row(loss: float, n: int, gradient: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array([loss], pa.float64()), pa.array([n], pa.int64()), pa.array([gradient.tobytes()], pa.binary())],
+            names=["loss", "n", "gradient"],
+        )
+
+    def slopes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, vocab = shared.value
+        total, losses, n = np.zeros(sum(w.size for w in model.weights.values())), 0.0, 0
+        for batch in batches:
+            column = batch.column("ids")
+            flat, edges = column.values.to_numpy(), column.offsets.to_numpy()
+            held, waiting = [], 0
+            for k in range(len(column)):
+                held.append(cut_windows(flat[edges[k] : edges[k + 1]], size))
+                waiting += len(held[-1])
+                if waiting < at_once and k + 1 < len(column):
+                    continue
+                windows = np.concatenate(held)
+                held, waiting = [], 0
+                for b in range(0, len(windows), at_once):
+                    loss, g, known = model.window_gradients(windows[b : b + at_once], vocab)
+                    total += known * np.concatenate([g[name].reshape(-1) for name in model.weights]).astype(np.float64)
+                    losses, n = losses + known * loss, n + known
+        if n:
+            yield row(losses, n, total)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, losses, n = None, 0.0, 0
+        for batch in batches:
+            for loss, known, gradient in zip(*(batch.column(c).to_pylist() for c in ("loss", "n", "gradient")), strict=True):
+                one = np.frombuffer(gradient, np.float64)
+                total = one.copy() if total is None else total + one
+                losses, n = losses + loss, n + known
+        if n:
+            yield row(losses, n, total)
+
+    rows = part.select("ids").mapInArrow(slopes, schema).repartition(4).mapInArrow(add, schema).collect()
+    shared.unpersist()
+    loss, n = sum(r["loss"] for r in rows), sum(r["n"] for r in rows)
+    total = sum((np.frombuffer(r["gradient"], np.float64) for r in rows), np.zeros(sum(w.size for w in model.weights.values())))
+    edges = np.cumsum([w.size for w in model.weights.values()])[:-1]
+    parts = zip(model.weights.items(), np.split(total, edges), strict=True)
+    return loss, {name: of.reshape(w.shape) for (name, w), of in parts}, n
+
+
+def fit(docs: DataFrame, model: Attention, vocab: Vocabulary, tokenizer: str, size: int,
+        slices: int = 16, passes: int = 1, rate: float = 0.004) -> list[tuple[float, int]]:
+    """Adam over all windows of all texts: a step for each slice of each pass; mean loss and ids of each step.
+
+    The number of steps is fixed, that of the windows in a step grows with the input.
+    """
+    spark, path = docs.sparkSession, coded(docs, tokenizer, vocab.end, slices)
+    held = spark.read.schema("ids array<int>, slice int").parquet(path)
+    first = {k: np.zeros_like(v) for k, v in model.weights.items()}
+    second = {k: np.zeros_like(v) for k, v in model.weights.items()}
+    seen: list[tuple[float, int]] = []
+    for number in range(passes * slices):
+        loss, g, n = summed_gradients(held.where(F.col("slice") == number % slices), model, vocab, size)
+        if n:
+            seen.append((loss / n, n))
+            pace = rate * (1 - number / (passes * slices))
+            model.descend({k: v / n for k, v in g.items()}, first, second, len(seen), pace)
+    return seen
+
+
 def score(
     docs: DataFrame, train: DataFrame, tokenizer: str = TOKENIZER, common_words: int = 65_536,
-    sample_documents: int = 2_000, steps: int = 600,
+    sample_documents: int = 2_000, steps: int = 600, passes: int = 1,
 ) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score of every row of ``docs``.
 
-    Counts cover all of ``train``. The model's weights are fitted on windows of at most about
-    ``sample_documents`` of its texts. The ``common_words`` most frequent words are broadcast,
+    Counts cover all of ``train``, and so do the model's weights: they start from ``steps`` on windows of
+    about ``sample_documents`` texts and are fitted in ``passes`` over all windows of all texts. The ``common_words`` most frequent words are broadcast,
     a fixed number; other words of a text meet their counts in a join. Null and empty texts
     are the end alone; repeated rows are scored each; a null id stays null. Without training rows
     all counts are zero and the model is untrained.
@@ -332,6 +439,8 @@ def score(
     vocab = vocabulary(counts, begins)
     model = Attention(vocab.rows, vocab.groups)
     model.train(training_windows(train, tokenizer, vocab.end, 33, sample_documents), vocab, steps)
+    if n:
+        fit(train, model, vocab, tokenizer, 33, passes=passes)
     shared = spark.sparkContext.broadcast(
         (model, vocab, common["hash"].to_numpy(np.int64), common["n"].to_numpy(np.int64))
     )

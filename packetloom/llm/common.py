@@ -42,6 +42,13 @@ def stage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stage_by(df: DataFrame, col: str) -> str:
+    """Write a table into the shared folder, one folder a value of ``col``; its path."""
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/stage-{uuid.uuid4().hex}"
+    df.write.partitionBy(col).parquet(path)
+    return path
+
+
 def fold(col: str, mod: int) -> F.Column:
     """True where crc32 of the id as text leaves the remainder 2; false for a null id."""
     return F.coalesce(F.crc32(F.col(col).cast("string").cast("binary")) % mod == 2, F.lit(False))

@@ -424,6 +424,28 @@ def test_windows_score_each_token_once():
     assert np.allclose(model.score(ids, vocab), want, rtol=1e-4)
 
 
+def test_weights_are_fitted_on_all_windows(spark):
+    """Every id of every text is predicted in a pass, and sums over tasks equal those in one place."""
+    prepare(spark)
+    rows = [(k, prose(k, n)) for k, n in enumerate([3, 40, 900, 2500, 0])] + [(None, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    whole = Tokenizer.from_file(packing.tokenizer_path(packing.TOKENIZER))
+    size = max(whole.get_vocab().values()) + 2
+    vocab = causal_lm.vocabulary(np.ones(size, np.int64), np.arange(size) % 2 == 0, groups=8, rows=64)
+    path = causal_lm.coded(df, packing.TOKENIZER, vocab.end, 2)
+    held = spark.read.schema("ids array<int>, slice int").parquet(path)
+    assert held.count() == 6
+    model = causal_lm.Attention(vocab.rows, vocab.groups, width=4)
+    loss, g, n = causal_lm.summed_gradients(held, model, vocab, 33, at_once=16)
+    texts = [np.array(r["ids"]) for r in held.collect()]
+    assert n == sum(len(t) - 1 for t in texts)
+    want_loss, want, m = model.window_gradients(np.concatenate([causal_lm.cut_windows(t, 33) for t in texts]), vocab)
+    assert m == n and abs(loss / n - want_loss) < 1e-4
+    assert all(np.allclose(g[k] / n, want[k], atol=1e-5) for k in want)
+    seen = causal_lm.fit(df, model, vocab, packing.TOKENIZER, 33, slices=2, passes=2, rate=0.05)
+    assert sum(k for _, k in seen) == 2 * n and seen[-1][0] < seen[0][0]
+
+
 def test_gradients():
     rng = np.random.default_rng(1)
     model = causal_lm.Attention(20, 5, width=4, context=6)
