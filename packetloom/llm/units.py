@@ -38,7 +38,7 @@ def normal_form(piece: str) -> list[bytes]:
     return [w for w in (word.strip(EDGES) for word in piece.encode().lower().split()) if w]
 
 
-def occurrences(docs: DataFrame, unit: str = "line", min_words: int = 8) -> DataFrame:
+def occurrences(docs: DataFrame, unit: str = "line", min_words: int = 1) -> DataFrame:
     """doc_id, begin, end, n_words and a 128-bit digest of each unit of ``min_words`` or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -61,12 +61,12 @@ def occurrences(docs: DataFrame, unit: str = "line", min_words: int = 8) -> Data
     )
 
 
-def repeats(docs: DataFrame, unit: str = "line", min_words: int = 8) -> DataFrame:
+def repeats(docs: DataFrame, unit: str = "line", min_words: int = 1) -> DataFrame:
     """One row per unit to remove: doc_id, begin, end, n_words, first_doc_id, first_begin.
 
     The first occurrence is the one with the smallest (doc_id, begin), null ids before all
-    others. Rows that repeat both are one occurrence. Units with fewer words are too short
-    to tell a copy from chance and stay, and so do empty and null texts.
+    others. Rows that repeat both are one occurrence. Units with fewer words stay (by default
+    only those without a word), and so do empty and null texts.
     """
     found = occurrences(docs, unit, min_words)
     # Staged, so that the join below is one of its own and Spark can split a frequent digest.
@@ -82,7 +82,7 @@ def repeats(docs: DataFrame, unit: str = "line", min_words: int = 8) -> DataFram
     )
 
 
-def without_repeats(docs: DataFrame, unit: str = "line", min_words: int = 8) -> DataFrame:
+def without_repeats(docs: DataFrame, unit: str = "line", min_words: int = 1) -> DataFrame:
     """``docs`` with repeated units cut out of ``text``, and the removed spans beside it.
 
     ``removed`` holds begin and end in the original text. A document of which nothing is left has the

@@ -347,6 +347,15 @@ def test_repeated_lines(spark, none):
     assert paragraph == [(0, 3), (7, 8)]
 
 
+def test_short_lines_repeat_too(spark):
+    """Repeated lines of one to seven words are found without a parameter."""
+    prepare(spark)
+    rows = [(k, f"{prose(100 + k, 12)}\n{prose(7, k % 7 + 1)}\n{prose(200 + k, 3)}\n...") for k in range(21)]
+    got = units.repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    want = brute_repeats(rows, 1)
+    assert len(want) == 14 and sorted((r["doc_id"], r["begin"], r["end"], r["first_doc_id"], r["first_begin"]) for r in got) == sorted(want)
+
+
 def test_escapes_are_reversible():
     rng = random.Random(1)
     parts = ["<s>", "</s>", "[INST]", "[/INST]", "[SYS]", "[SEP]", "\\", "<", "[", " ", "ok", "<|image:0|>", "/s>", "é"]
