@@ -356,6 +356,26 @@ def test_short_lines_repeat_too(spark):
     assert len(want) == 14 and sorted((r["doc_id"], r["begin"], r["end"], r["first_doc_id"], r["first_begin"]) for r in got) == sorted(want)
 
 
+def test_repeated_sentences_inside_lines(spark):
+    """A passage that begins and ends inside lines is removed by its sentences, a chance pair of short ones is not."""
+    prepare(spark)
+    one, two = prose(31, 30) + ".", prose(32, 28) + "!"
+    rows = [
+        (1, f"Own start here. {one} {two} Own end."), (2, f"x\nOther words. {one.upper()} {two}\ny"), (3, f"{one}\nz"),
+        (4, "By chance. Left."), (5, "By chance. Right."), (6, "Once more. Up."), (7, "Once more. Down."), (8, "Once more. In."),
+        (None, "none. at all."), (9, f"x\nOther words. {one.upper()} {two}\ny"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    texts, got = dict(rows), sorted(tuple(r)[:6] for r in units.repeats(df).collect())
+    cut = [(i, texts[i][b:e], f) for i, b, e, _, f, _ in got]
+    assert cut == [
+        (2, one.upper(), 1), (2, two, 1), (3, one, 1), (7, "Once more.", 6), (8, "Once more.", 6),
+        (9, "x", 2), (9, f"Other words. {one.upper()} {two}", 2), (9, "y", 2),
+    ]
+    left = {r["doc_id"]: r["text"] for r in units.without_repeats(df).collect()}
+    assert left[2] == "x\nOther words. \ny" and left[3] == "z" and left[7] == "Down." and left[9] == "" and left[1] == texts[1]
+
+
 def test_escapes_are_reversible():
     rng = random.Random(1)
     parts = ["<s>", "</s>", "[INST]", "[/INST]", "[SYS]", "[SEP]", "\\", "<", "[", " ", "ok", "<|image:0|>", "/s>", "é"]
