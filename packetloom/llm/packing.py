@@ -271,7 +271,7 @@ def _best(room: int, counts: np.ndarray, fits: np.ndarray, largest: int) -> tupl
 
 
 def completions(room: int, counts: np.ndarray, most: int = 4, wide: int = 48) -> list[tuple[int, ...]]:
-    """Undominated fillings of ``room`` with the lengths at hand, least waste first.
+    """Some undominated fillings of ``room`` with the lengths at hand, least waste first.
 
     The best-fit filling is the incumbent. For each length in the filling's first place the best
     partner is read from a table of what fits; where that wastes room, the ``wide`` longest
@@ -375,7 +375,7 @@ def descend(counts: np.ndarray, capacity: int, allowed: int, deviate: int = 0) -
 
 
 def solve(counts: np.ndarray, capacity: int = CAPACITY, budget: int = 4) -> Plan:
-    """Branch and bound over completions; the fewest sequences found.
+    """Limited-discrepancy descents over completions; the fewest sequences of at most 1 + ``budget`` descents.
 
     ``counts[n]`` is the number of pieces of length n. The best completions are the first
     incumbent, returned at once if it meets the lower bound. Otherwise up to ``budget`` descents
