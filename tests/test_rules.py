@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from packetloom.functions import net, risk, signatures, text, times
 from packetloom.operators import content, intel, ml, scoring, zeek
 from packetloom.operators.isolation import fit_isolation
-from packetloom.sources import lists
+from packetloom.sources import lists, tables
 
 
 def one(spark, *columns):
@@ -329,3 +329,29 @@ def test_score_packets(spark):
     assert last.url == "http://h/?q=<script>" and last.unusual_port == 4444
     assert last.reasons == ["high_rf_attack_probability", "unusual_port_4444", "traffic_burst", "http_xss", "dns_txt_query", "ml_attack"]
     assert last.explanation.attack_signals and last.adjusted_score > last.ml_score
+
+
+def test_scored_packets_feed_the_sinks(spark, tmp_path):
+    """Packets through score_packets() and verdict_rows() into the three sinks and back."""
+    start = 1_704_067_200 * 10**6
+    rows = [(i, start + i * 3600 * 10**6, "9.9.9.9", "1.1.1.1", 5, 80, "TCP", "S", 60 if i % 2 else 1400) for i in range(30)]
+    packets = spark.createDataFrame(rows, "packet_id long, ts_us long, src_ip string, dst_ip string, src_port int, dst_port int,"
+                                    " protocol string, tcp_flags string, bytes long")
+    scored = scoring.score_packets(packets, FixedModels())
+    path = str(tmp_path / "scored")
+    scored.write.parquet(path)
+    scored = spark.read.parquet(path)
+    verdicts = tables.verdict_rows(scored)
+    places = [str(tmp_path / name) for name in ("packet_logs", "ai_history", "training_data")]
+    tables.write_dated(tables.log_rows(verdicts), places[0])
+    tables.write_dated(tables.history_rows(verdicts), places[1])
+    tables.training_rows(verdicts, 1.0).write.parquet(places[2])
+    logs, history, taught = (spark.read.parquet(place) for place in places)
+    want = {r.packet_id: r for r in scored.collect()}
+    got = {r.id: r for r in logs.collect()}
+    assert set(got) == set(want) == {r.id for r in history.collect()} and logs.count() == history.count() == 30
+    for i, r in got.items():
+        assert r.ts_sec == want[i].ts_us / 1e6 and str(r.event_date) == f"2024-01-0{1 + i // 24}"
+        assert (r.classification, r.risk_score, r.anomaly_score) == (want[i].classification, want[i].risk_score, want[i].anomaly_strength)
+    assert {r.id: r.features for r in history.collect()} == {i: r.features for i, r in want.items()}
+    assert sorted((r.created_at, r.label) for r in taught.collect()) == sorted((r.ts_us / 1e6, r.classification) for r in want.values())
