@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packetloom.llm import (
-    alignment, causal_lm, chat, forest, identifiers, packing, page_text, ranking, rules, units,
+    alignment, audit, causal_lm, chat, forest, identifiers, packing, page_text, phrases, ranking, rules, simhash, units,
 )
 from packetloom.llm.common import fold, table
 from packetloom.llm.text_stats import COUNTS
@@ -79,6 +79,19 @@ def op10_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_copies(table(spark, sf_dir, "documents"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flags = audit.failures(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return audit.interactions(flags, "ABCDE")
+
+
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 OP2_SQL = rf"""
@@ -135,10 +148,79 @@ SELECT conv_id, count(*) AS n_turns,
 FROM sized GROUP BY conv_id
 """
 
+OP12_SQL = r"""
+WITH pieces AS (
+  SELECT doc_id, coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+phrases AS (
+  SELECT lang, m AS size, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) AS phrase
+  FROM words, (VALUES (1), (2), (3)) AS t(m)),
+f AS (SELECT lang, phrase, size, count(*) AS n FROM phrases GROUP BY ALL),
+totals AS (SELECT lang, CAST(sum(n) AS BIGINT) AS n FROM f WHERE size = 1 GROUP BY lang),
+candidates AS (SELECT lang, phrase, size, n AS a, string_split(phrase, ' ') AS w FROM f WHERE size >= 2 AND n >= 10),
+cuts AS (
+  SELECT c.lang, c.phrase, a, k, x.n AS l, y.n AS r,
+    CAST(CAST(1000000 AS HUGEINT) * a * a // (CAST(x.n AS HUGEINT) * y.n) AS BIGINT) AS score
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM candidates) c
+  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(w[1:k], ' ')
+  JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(w[k + 1:], ' ')),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+longer AS (
+  SELECT lang, sub AS phrase, max(a) AS a FROM (
+    SELECT lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS sub FROM candidates WHERE size = 3)
+  GROUP BY ALL),
+ranked AS (
+  SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY b.score DESC, b.a DESC, b.phrase) AS rank, b.phrase, b.a, l, r, score
+  FROM best b LEFT JOIN longer g ON g.lang = b.lang AND g.phrase = b.phrase WHERE g.a IS NULL OR 100 * g.a < 50 * b.a)
+SELECT ranked.lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals ON totals.lang = ranked.lang WHERE rank <= 2000
+"""
+
+OP13_SQL = r"""
+WITH words AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+first AS (SELECT text, min(doc_id) AS first FROM words GROUP BY text),
+failing AS (
+  SELECT part, coalesce(quality = 1, false) AS good, coalesce(toxic = 1, false) AS toxic,
+    [len(w) < 50, 100 * len(list_distinct(w)) < 65 * len(w),
+     100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 5 * length(text),
+     regexp_matches(text, '[#$%&*|]'), words.doc_id > first] AS fails
+  FROM words JOIN first USING (text) LEFT JOIN labels ON labels.doc_id = words.doc_id),
+kinds AS (SELECT part, fails, good, toxic, count(*) AS n FROM failing GROUP BY ALL),
+letters AS (SELECT unnest(range(1, 6)) AS f),
+orders AS (
+  SELECT [a.f, b.f, c.f, d.f, e.f] AS o FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+steps AS (SELECT o, unnest(range(1, 6)) AS step FROM orders),
+told AS (
+  SELECT part, o, step, n, good, toxic, fails[o[step]] AS fails,
+    len(list_filter(o[1:step - 1], lambda x: fails[x])) > 0 AS gone,
+    len(list_filter(fails, lambda x: x)) = 1 AS single
+  FROM kinds, steps),
+counted AS (
+  SELECT part, o, step, o[step] AS f,
+    sum(CASE WHEN NOT gone AND NOT fails THEN n ELSE 0 END) AS kept,
+    sum(CASE WHEN fails AND NOT gone THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN fails AND gone THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN fails AND single THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN fails AND NOT gone AND good THEN n ELSE 0 END) AS good_lost,
+    sum(CASE WHEN fails AND NOT gone AND toxic THEN n ELSE 0 END) AS toxic_lost
+  FROM told GROUP BY ALL)
+SELECT part, array_to_string(list_transform(o, lambda x: 'ABCDE'[x]), '') AS filter_order, CAST(step AS INTEGER) AS step,
+  CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+  CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+FROM counted
+"""
+
 QUERIES = {
     f.__name__: f for f in (
         op1_quality_ranking, op2_near_duplicates, op3_packing, op4_page_text, op5_repeated_lines, op6_chat_format,
-        op7_causal_lm, op8_quality_rules, op9_benchmark_leaks, op10_identifiers,
+        op7_causal_lm, op8_quality_rules, op9_benchmark_leaks, op10_identifiers, op11_simhash, op12_collocations, op13_filter_audit,
     )
 }
-SQL = {"op2_near_duplicates": OP2_SQL, "op4_page_text": OP4_SQL, "op6_chat_format": OP6_SQL}
+SQL = {
+    "op2_near_duplicates": OP2_SQL, "op4_page_text": OP4_SQL, "op6_chat_format": OP6_SQL,
+    "op12_collocations": OP12_SQL, "op13_filter_audit": OP13_SQL,
+}
