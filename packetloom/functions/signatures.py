@@ -1,12 +1,16 @@
-"""Attack signatures: per category, substring tests and guarded regular expressions."""
+"""Attack signatures: one search for all fixed texts, then guarded regular expressions."""
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
+from operator import or_
+from typing import NamedTuple
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The signature patterns of each category.
 SIGNATURES = {
@@ -124,35 +128,81 @@ def folded(text: Column) -> Column:
     return F.lower(F.translate(text, _FOLDED_FROM, _FOLDED_TO))
 
 
-def _found(text: Column, low: Column, patterns: list[str]) -> Column:
-    """Some pattern matches. Fixed texts are substring tests; a regular expression only
-    runs on texts that have all its fixed parts."""
-    texts, guarded = [], []
-    for pattern in patterns:
-        runs, plain = literal_runs(pattern)
-        if plain:
-            texts.append(low.contains(runs[0]))
-        else:
-            match = text.rlike(_FLAGS + pattern)
-            guarded.append(reduce(Column.__and__, [*[low.contains(r) for r in runs], match]))
-    return reduce(Column.__or__, texts + guarded)
+class Tests(NamedTuple):
+    """What a category takes: the bit of its fixed texts, and bit, further fixed parts and pattern of its expressions."""
+
+    category: str
+    plain: int
+    guarded: list[tuple[int, list[str], str]]
+
+
+def plan_tests(disabled: Iterable[str] = ()) -> tuple[dict[str, int], list[Tests]]:
+    """The texts to search for, each with its bits, and the tests on the bits found.
+
+    A pattern that is just a text sets the bit of its category. Any other pattern has a bit of its own,
+    set by the longest of its fixed parts.
+    """
+    literals: dict[str, int] = {}
+    tests, bit = [], 0
+    for category, patterns in category_patterns(disabled).items():
+        own, bit, guarded = bit, bit + 1, []
+        for pattern in patterns:
+            runs, plain = literal_runs(pattern)
+            key = max(runs, key=len)
+            if not plain:
+                guarded.append((bit, [r for r in runs if r != key], pattern))
+            literals[key] = literals.get(key, 0) | 1 << (own if plain else bit)
+            bit += not plain
+        tests.append(Tests(category, own, guarded))
+    if bit > 63:
+        raise ValueError("a mark holds 63 bits")
+    return literals, tests
+
+
+def finder(literals: dict[str, int]) -> Callable[[str], int]:
+    """A function from a text to the bits of all literals in it; one pass where the automaton is installed."""
+    try:
+        import ahocorasick
+    except ImportError:
+        return lambda text: reduce(or_, (bits for literal, bits in literals.items() if literal in text), 0)
+    automaton = ahocorasick.Automaton()
+    for literal, bits in literals.items():
+        automaton.add_word(literal, bits)
+    automaton.make_automaton()
+    return lambda text: reduce(or_, (bits for _, bits in automaton.iter(text)), 0)
+
+
+def literal_marks(disabled: Iterable[str] = ()) -> Callable[[str], Column]:
+    """A function of a column of arrays of folded texts: for each text the bits of the literals it contains.
+
+    One automaton of all literals reads every text once, an Arrow batch at a time.
+    """
+    literals = plan_tests(disabled)[0]
+
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def marks(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        find = finder(literals)
+        for lows in batches:
+            yield lows.map(lambda held: None if held is None else [None if t is None else find(t) for t in held])
 
+    return marks
 
-def signatures(text: Column, low: Column, disabled: Iterable[str] = ()) -> Column:
-    """Sorted categories found in a text; ``low`` is folded(text), best held as a column."""
-    return F.array_compact(
-        F.array(
-            *[F.when(_found(text, low, ps), c) for c, ps in category_patterns(disabled).items()]
-        )
-    )
 
+def signatures_any(forms: Column, disabled: Iterable[str] = ()) -> Column:
+    """Sorted categories found in some text of an array of (_forms, _lows, _marks).
+
+    A regular expression only runs on texts that have all its fixed parts.
+    """
 
-def signatures_any(pairs: Column, disabled: Iterable[str] = ()) -> Column:
-    """Sorted categories found in some text of an array of (text, low)."""
+    def some(test: Tests) -> Column:
+        def found(form: Column) -> Column:
+            marks, low = form["_marks"], form["_lows"]
+            hit = marks.bitwiseAND(1 << test.plain) != 0
+            for bit, runs, pattern in test.guarded:
+                parts = [marks.bitwiseAND(1 << bit) != 0, *[low.contains(r) for r in runs]]
+                hit = hit | reduce(Column.__and__, [*parts, form["_forms"].rlike(_FLAGS + pattern)])
+            return hit
 
-    def some(patterns: list[str]) -> Column:
-        return F.exists(pairs, lambda p: _found(p["text"], p["low"], patterns))
+        return F.exists(forms, found)
 
-    return F.array_compact(
-        F.array(*[F.when(some(ps), c) for c, ps in category_patterns(disabled).items()])
-    )
+    return F.array_compact(F.array(*[F.when(some(t), t.category) for t in plan_tests(disabled)[1]]))

@@ -245,14 +245,14 @@ def q17_distribution(spark, sf_dir):
 @query("q18_risk_trend", ("logs",), _SERIES + "SELECT bucket, avg_risk FROM series")
 def q18_risk_trend(spark, sf_dir):
     rows = _logs(spark, sf_dir)
-    series = logs.timeseries(rows, START, END, minutes=1440, digits=None)
+    series = logs.timeseries(rows, START, END, digits=None)
     return logs.risk_trend(series, logs.window_totals(rows))
 
 
 @query("q18_risk_trend_inferred", ("logs",), f"""
 , l AS (SELECT {_LABEL} AS label FROM logs), t AS (SELECT count(*) AS total, {_counts()} FROM l)
-SELECT {_FIRST} + 60 * range AS bucket, least(1.0, 0.2 + CAST(dangerous AS DOUBLE) / total * 0.75
-  + CAST(suspicious AS DOUBLE) / total * 0.35) AS avg_risk FROM range(60), t
+SELECT bucket, least(1.0, 0.2 + CAST(dangerous AS DOUBLE) / total * 0.75
+  + CAST(suspicious AS DOUBLE) / total * 0.35) AS avg_risk FROM ({_SEEDS}), t
 """)
 def q18_risk_trend_inferred(spark, sf_dir):
     rows = _logs(spark, sf_dir)

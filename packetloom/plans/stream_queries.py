@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +13,7 @@ from packetloom.plans.log_queries import _ELIGIBLE, _LABEL, _RAW_TREND, _REC, _c
 from packetloom.plans.packet_queries import DAY_S, DAY_US, _precedence
 from packetloom.plans.registry import query
 from packetloom.session import shared_dir
+from packetloom.sources import lists
 from packetloom.streaming import streams, windowed
 
 
@@ -91,6 +93,55 @@ def a3_alert_stream(spark, sf_dir):
     return spark.read.parquet(f"{base}/out").select("src_ip", "ts_us", "burst_count")
 
 
+def _append_log(lines: DataFrame, path: str, head: str = "", end: str = "\n") -> None:
+    """Lines, as Spark writes them, behind what a log holds; ``head`` begins the log anew."""
+    parts = f"{shared_dir(lines.sparkSession)}/{uuid.uuid4().hex}"
+    lines.write.text(parts, lineSep="\n")
+    store, where = fs.FileSystem.from_uri(parts) if "://" in parts or parts.startswith("file:") else (fs.LocalFileSystem(), parts)
+    log = fs.FileSystem.from_uri(path)[1] if "://" in path or path.startswith("file:") else path
+    written = store.get_file_info(fs.FileSelector(where))
+    if head:
+        store.create_dir(log.rpartition("/")[0])
+    with (store.open_output_stream if head else store.open_append_stream)(log) as out:
+        out.write(head.encode())
+        for part in sorted(p.path for p in written if p.base_name.startswith("part-")):
+            with store.open_input_stream(part) as held:
+                while block := held.read(1 << 20):
+                    out.write(block)
+        out.write(end.encode())
+
+
+@query("s7_zeek_tail_stream", ("zeek_conn",), """
+SELECT CAST(uid AS VARCHAR) AS uid, orig_h, resp_h, resp_p, conn_state, proto, resp_bytes, duration FROM zeek_conn
+""")
+def s7_zeek_tail_stream(spark, sf_dir):
+    """Two logs that grow between runs of a stream; then one is rewritten with other columns."""
+    base = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    names = ["uid", "orig_h", "resp_h", "resp_p", "conn_state", "proto", "resp_bytes", "duration"]
+    other = ["note", *reversed(names)]
+    rows = adapt(spark, sf_dir, "zeek_conn").withColumn("note", F.lit("-"))
+
+    def head(columns: list[str]) -> str:
+        shown = {"orig_h": "id.orig_h", "resp_h": "id.resp_h", "resp_p": "id.resp_p"}
+        return "#separator \\x09\n#fields\t" + "\t".join(shown.get(c, c) for c in columns) + "\n"
+
+    def lines(log: int, step: int, columns: list[str]) -> DataFrame:
+        mine = rows.where((F.col("uid") % 2 == log) & (F.col("uid") % 3 == step))
+        return mine.select(F.concat_ws("\t", *columns).alias("value"))
+
+    def run() -> None:
+        logs = lists.read_zeek(spark, f"{base}/logs", streaming=True, fields=["uid", "id.orig_h", "id.resp_h", "id.resp_p", *names[4:]])
+        _to_files(logs, base).trigger(availableNow=True).start().awaitTermination()
+
+    for step in range(3):
+        for log, columns in enumerate((names, other if step == 2 else names)):
+            # The last line of a piece is not whole until the next piece, or a blank line, follows.
+            anew = head(columns) if not step or (log and step == 2) else ""
+            _append_log(lines(log, step, columns), f"{base}/logs/{log}.log", anew, "" if step < 2 else "\n#close\n")
+        run()
+    return spark.read.parquet(f"{base}/out").select(*names)
+
+
 @query("s8_write_verdicts", ("logs",), """
 SELECT 'packet_logs' AS sink, count(*) FILTER (WHERE classification <> 'safe') AS n, CAST(sum(id) FILTER (WHERE classification <> 'safe') AS BIGINT) AS ids FROM logs
 UNION ALL SELECT 'ai_history', count(*), CAST(sum(id) AS BIGINT) FROM logs

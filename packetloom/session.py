@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark import cloudpickle
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 import packetloom
 
@@ -44,6 +45,14 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def staged(df: DataFrame) -> DataFrame:
+    """The table written to the shared folder and read back, which cuts its lineage."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/staged-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def use_checkpoints(spark: SparkSession) -> None:
     """Point Spark's reliable checkpoints at the shared folder."""
     if spark.sparkContext.getCheckpointDir() is None:

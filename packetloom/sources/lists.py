@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from packetloom.sources import tail
+
 ENDPOINT_NAMES = {"id.orig_h": "orig_h", "id.orig_p": "orig_p", "id.resp_h": "resp_h", "id.resp_p": "resp_p"}
 
 
@@ -53,16 +55,6 @@ def _header_names(line: Column) -> Column:
     return F.slice(cells, F.lit(2), F.size(cells) - 1)
 
 
-def _split_file(files: DataFrame) -> DataFrame:
-    """One row per line of whole files, with the names of the file's header."""
-    lines = F.split("value", r"\r?\n")
-    header = F.get(F.filter(lines, lambda line: line.startswith("#fields")), F.lit(0))
-    rows = files.select(_header_names(header).alias("names"), F.explode(lines).alias("value"))
-    return rows.where(~F.col("value").startswith("#") & (F.trim("value") != "")).select(
-        "names", F.split("value", "\t", -1).alias("cells")
-    )
-
-
 def _all_names(headers: DataFrame) -> list[str]:
     """The names of all headers, in the order of their first places."""
     places = headers.select(F.posexplode(_header_names(F.col("header"))).alias("place", "name"))
@@ -70,16 +62,25 @@ def _all_names(headers: DataFrame) -> list[str]:
     return [r["name"] for r in named.collect()]
 
 
+def _followed(spark: SparkSession, path: str, fields: list[str]) -> DataFrame:
+    names = F.when(F.col("fields") != "", F.split("fields", "\t"))
+    return _named_cells(
+        tail.follow(spark, path).select(names.alias("names"), F.split("value", "\t", -1).alias("cells")), fields
+    )
+
+
 def read_zeek(
     spark: SparkSession, path: str, streaming: bool = False, fields: list[str] | None = None
 ) -> DataFrame:
     """A log with the columns its headers name, matched by name file by file.
 
     Columns that a file lacks are NULL in its rows; a file without a header is read by ``fields``,
-    which are the names of all headers present unless given. ``streaming`` follows a folder:
-    what was read is kept by the stream's checkpoint, and each file is cut into lines as a whole,
-    as rotated logs are small. In a batch large files are split, and headers meet their lines by file.
+    which are the names of all headers present unless given. ``streaming`` follows the growing logs of a folder by byte
+    positions, which the stream's checkpoint keeps (``tail.follow``). Large files are split in both
+    forms; in a batch headers meet their lines by file.
     """
+    if streaming and fields:
+        return _followed(spark, path, fields)
     lines = spark.read.text(path).withColumn("file", F.input_file_name())
     headers = (
         lines.where(F.col("value").startswith("#fields")).groupBy("file")
@@ -89,7 +90,7 @@ def read_zeek(
     if not fields:
         raise ValueError("no #fields line")
     if streaming:
-        return _named_cells(_split_file(spark.readStream.text(path, wholetext=True)), fields)
+        return _followed(spark, path, fields)
     rows = lines.where(~F.col("value").startswith("#") & (F.trim("value") != ""))
     return _named_cells(
         rows.join(headers, "file", "left").select(

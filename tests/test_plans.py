@@ -6,7 +6,10 @@ import __spark_entry__ as entry
 from packetloom.operators import logs
 
 SF_DIR = "/root/testdata/sf0.001"
-PYTHON = {"c4_variant_scan", "c6_content_reasons", "f10_byte_entropy", "m3_isolation"}
+PYTHON = {
+    "c4_variant_scan", "c5_signatures_payloads", "c5_signatures_pages", "c5_signatures_conversations",
+    "c6_content_gate", "c6_content_reasons", "f10_byte_entropy", "m3_isolation",
+}
 # These start jobs of their own (training, streams, alert chains); what they return is a table.
 EAGER = {"m13_m14_retrain", "r10_score_packets", "m2_forest"}
 

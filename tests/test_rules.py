@@ -2,11 +2,13 @@
 
 import base64
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from packetloom.functions import net, risk, signatures, text, times
+from packetloom.functions.signatures import finder, plan_tests
 from packetloom.operators import content, intel, ml, scoring, zeek
 from packetloom.operators.isolation import fit_isolation
 from packetloom.sources import lists, tables
@@ -107,6 +109,34 @@ def test_decoded_forms(spark):
     assert html.unescape(hidden[6][0]) in got[6]
 
 
+def test_variants_of_a_table(spark):
+    """Passes over a table reach what the fold reaches, however deep a text is hidden."""
+    deep = "%" + "25" * 70 + "3Cscript%" + "25" * 9 + "3E"
+    texts = ["plain", None, "", deep, "&amp;" * 3 + "lt;x", "%41" * 2000, base64.b64encode(("<b>" * 9000).encode()).decode()]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, p string").withColumn("_key", F.lit("kept"))
+    got = {r.i: r for r in content.with_variants(df, "p").collect()}
+    folds = df.where("length(p) < 2000 OR p IS NULL").select("i", content.payload_variants(F.col("p")).alias("f"))
+    assert {r.i: sorted(got[r.i]._forms, key=str) for r in folds.collect()} == {r.i: sorted(r.f, key=str) for r in folds.collect()}
+    assert len(got) == len(texts) and {r._key for r in got.values()} == {"kept"}
+    assert "<script>" in got[3]._forms and len(got[3]._forms) == 72
+    assert "A" * 2000 in got[5]._forms and "<b>" * 9000 in got[6]._forms
+    empty = content.with_variants(df.where("i > 99"), "p")
+    assert empty.columns == ["i", "p", "_key", "_forms"] and empty.count() == 0
+
+
+def test_literals_found_as_by_substring_tests():
+    literals, _ = plan_tests()
+    find = finder(literals)
+    rng = random.Random(3)
+    words = [*literals, " ", "x", "or ", "aa"]
+    for _ in range(300):
+        text = "".join(rng.choice(words) for _ in range(rng.randrange(12)))
+        want = 0
+        for literal, bits in literals.items():
+            want |= bits if literal in text else 0
+        assert find(text) == want
+
+
 def test_hidden_signatures(spark):
     hidden = [
         "%3Cscript%3E", "&lt;script&gt;", r"\x3cscript\x3e", base64.b64encode(b"id=1 union select a").decode(),
