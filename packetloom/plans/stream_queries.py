@@ -11,17 +11,18 @@ from pyspark.sql import functions as F
 from packetloom.plans.adapters import adapt
 from packetloom.plans.log_queries import _ELIGIBLE, _LABEL, _RAW_TREND, _REC, _counts
 from packetloom.plans.packet_queries import DAY_S, DAY_US, _precedence
-from packetloom.plans.registry import query
+from packetloom.plans.registry import SQL, query
 from packetloom.session import shared_dir
 from packetloom.sources import lists
 from packetloom.streaming import streams, windowed
 
 
-def _run(spark: SparkSession, sf_dir: str, name: str, start, pieces: int = 3) -> str:
-    """Feed an adapter to a file stream, one time range after the other.
+def _run(spark: SparkSession, sf_dir: str, name: str, start, pieces: int = 3, delay_us: int = 0) -> str:
+    """Feed an adapter to a file stream, one range of arrival times after the other.
 
     ``start(stream, base)`` gives the writer. Every range is one run of the stream over
-    the files that are new, so batches come in time order. Returns the work folder.
+    the files that are new. Rows arrive up to ``delay_us`` after their time, as their ids say, so not in time
+    order. Returns the work folder.
     """
     base = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     rows = adapt(spark, sf_dir, name)
@@ -29,23 +30,26 @@ def _run(spark: SparkSession, sf_dir: str, name: str, start, pieces: int = 3) ->
     partitions = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", spark.sparkContext.defaultParallelism)
     try:
-        _feed(spark, rows, base, start, pieces)
+        _feed(spark, rows, base, start, pieces, delay_us)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", partitions)
     return base
 
 
-def _feed(spark: SparkSession, rows: DataFrame, base: str, start, pieces: int) -> None:
-    low, high = rows.agg(F.min("ts_us"), F.max("ts_us")).head()
+def _feed(spark: SparkSession, rows: DataFrame, base: str, start, pieces: int, delay_us: int) -> None:
+    arrival = F.col("ts_us") + F.col(rows.columns[0]) * 7919 % 1000 * (delay_us // 1000)
+    low, high = rows.agg(F.min(arrival), F.max(arrival)).head()
     step = (high - low) // pieces + 1
     for piece in range(pieces):
-        rows.where((F.col("ts_us") - low) / step >= piece).where(
-            (F.col("ts_us") - low) / step < piece + 1
-        ).write.mode("append").parquet(f"{base}/in")
+        rows.where(F.floor((arrival - low) / step) == piece).write.mode("append").parquet(f"{base}/in")
         stream = spark.readStream.schema(rows.schema).parquet(f"{base}/in")
         start(stream, base).trigger(availableNow=True).start().awaitTermination()
 
 
+def _order(base: str, delay_s: float) -> windowed.EventTime:
+    return windowed.EventTime(delay_s, f"{base}/order", f"{base}/late")
+
+
 def _to_files(df: DataFrame, base: str):
     return (
         df.writeStream.outputMode("append").format("parquet")
@@ -66,30 +70,74 @@ def q5_minute_counts_stream(spark, sf_dir):
     return spark.read.parquet(f"{base}/out")
 
 
-@query("b12_detect_stream", ("packets",), _precedence(5, 2 * DAY_US, 4, 3 * DAY_US))
-def b12_detect_stream(spark, sf_dir):
+_WINDOWS = {"flood_n": 5, "flood_s": 2 * DAY_S, "scan_n": 4, "scan_s": 3 * DAY_S}
+
+
+def _detected(spark, sf_dir, arrive_us: int) -> tuple[str, windowed.EventTime]:
+    """Packets that arrive up to ``arrive_us`` late, judged behind a watermark of a day."""
     base = _run(
         spark, sf_dir, "packets",
         lambda df, base: windowed.detect_stream(
-            df, f"{base}/state", f"{base}/out", f"{base}/checkpoint",
-            flood_n=5, flood_s=2 * DAY_S, scan_n=4, scan_s=3 * DAY_S,
+            df, f"{base}/state", f"{base}/out", f"{base}/checkpoint", order=_order(base, DAY_S), **_WINDOWS
         ),
+        delay_us=arrive_us,
     )
+    windowed.detect_rest(spark, f"{base}/state", f"{base}/out", _order(base, DAY_S), **_WINDOWS)
+    return base, _order(base, DAY_S)
+
+
+@query("b12_detect_stream", ("packets",), _precedence(5, 2 * DAY_US, 4, 3 * DAY_US))
+def b12_detect_stream(spark, sf_dir):
+    """Packets out of order within the watermark get the labels of the batch operator."""
+    base, _ = _detected(spark, sf_dir, DAY_US)
     return spark.read.parquet(f"{base}/out").select("packet_id", "src_ip", "behavior")
 
 
+@query("b12_late_packets_stream", ("packets",), f"""
+, a AS (SELECT packet_id, src_ip, ts_us, ts_us + packet_id * 7919 % 1000 * {5 * DAY_US // 1000} AS arrival FROM packets),
+r AS (SELECT min(arrival) AS low, (max(arrival) - min(arrival)) // 3 + 1 AS step FROM a),
+p AS (SELECT a.*, (arrival - low) // step AS piece FROM a, r),
+m AS (SELECT x.piece, max(y.ts_us) - {DAY_US} AS mark FROM (SELECT DISTINCT piece FROM p) x JOIN p y ON y.piece < x.piece GROUP BY x.piece)
+SELECT packet_id, src_ip, ts_us FROM p JOIN m ON m.piece = p.piece WHERE ts_us < mark
+""")
+def b12_late_packets_stream(spark, sf_dir):
+    """Packets that arrive up to five days late: those behind the watermark are kept apart."""
+    base, order = _detected(spark, sf_dir, 5 * DAY_US)
+    packets = adapt(spark, sf_dir, "packets")
+    return order.late_rows(spark, packets.schema).select("packet_id", "src_ip", "ts_us")
+
+
+@query("b12_dns_stream", ("dns",), SQL["b11_dns_reasons"].partition("FROM events)")[2])
+def b12_dns_stream(spark, sf_dir):
+    """DNS queries out of order within the watermark get the reasons of the batch operator."""
+    rules = {"window_s": DAY_S, "long": 24, "entropy": 3.6, "unique": 12, "txt": 4, "churn": 10}
+    base = _run(
+        spark, sf_dir, "dns",
+        lambda df, base: windowed.dns_stream(
+            df, f"{base}/state", f"{base}/out", f"{base}/checkpoint", order=_order(base, DAY_S), **rules
+        ),
+        delay_us=DAY_US,
+    )
+    windowed.dns_rest(spark, f"{base}/state", f"{base}/out", _order(base, DAY_S), **rules)
+    return spark.read.parquet(f"{base}/out").select(
+        "dns_id", F.array_join("dns_reasons", ",").alias("dns_reasons")
+    )
+
+
 @query("a3_alert_stream", ("logs",), _ELIGIBLE + _REC + """
 SELECT f.src_ip, f.ts_us, cand.burst_count FROM fired f JOIN cand ON cand.src_ip = f.src_ip AND cand.ts_us = f.ts_us
 WHERE f.ts_us IS NOT NULL
 """)
 def a3_alert_stream(spark, sf_dir):
+    rules = {"n": 1, "window_s": 3 * DAY_S, "gap_s": 2 * DAY_S}
     base = _run(
         spark, sf_dir, "logs",
         lambda df, base: windowed.alert_stream(
-            df, f"{base}/state", f"{base}/out", f"{base}/checkpoint",
-            n=1, window_s=3 * DAY_S, gap_s=2 * DAY_S,
+            df, f"{base}/state", f"{base}/out", f"{base}/checkpoint", order=_order(base, DAY_S), **rules
         ),
+        delay_us=DAY_US,
     )
+    windowed.alert_rest(spark, f"{base}/state", f"{base}/out", _order(base, DAY_S), **rules)
     return spark.read.parquet(f"{base}/out").select("src_ip", "ts_us", "burst_count")
 
 
