@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from packetloom.operators.prefix import MINUTE_US, attach, distinct_edges, leaving
+from packetloom.operators.prefix import MINUTE_US, attach, by_density, distinct_edges, leaving
 
 SECOND_US = 1_000_000
 
 
 def recent_counts(
     events: DataFrame, window_us: int, out: str = "recent", keys: tuple = ("src_ip",),
-    at: str = "ts_us", chunk: int = MINUTE_US,
+    at: str = "ts_us", chunk: int | None = MINUTE_US,
 ) -> DataFrame:
     """Events per key in the last ``window_us``, the event itself and its ties included."""
     one = F.lit(1).cast("long")
@@ -24,23 +24,25 @@ def recent_counts(
 
 def recent_distinct(
     events: DataFrame, item: str, window_us: int, out: str = "distinct_recent",
-    keys: tuple = ("src_ip",), at: str = "ts_us", chunk: int = MINUTE_US,
+    keys: tuple = ("src_ip",), at: str = "ts_us", chunk: int | None = MINUTE_US,
 ) -> DataFrame:
     """Exact number of distinct items per key in the last ``window_us``."""
     edges = distinct_edges(events, list(keys), item, at, window_us, out, chunk)
     return attach(events, keys, at, sums={out: F.lit(0).cast("long")}, edges=[edges], chunk=chunk)
 
 
+@by_density
 def flood(
-    packets: DataFrame, n: int = 120, window_s: float = 3, chunk: int = MINUTE_US
+    packets: DataFrame, n: int = 120, window_s: float = 3, chunk: int | None = None
 ) -> DataFrame:
     """B1: more than ``n`` packets of a source in the window."""
     counted = recent_counts(packets, int(window_s * SECOND_US), "recent_packets", chunk=chunk)
     return counted.withColumn("is_flood", F.col("recent_packets") > n)
 
 
+@by_density
 def port_scan(
-    packets: DataFrame, n: int = 15, window_s: float = 8, chunk: int = MINUTE_US
+    packets: DataFrame, n: int = 15, window_s: float = 8, chunk: int | None = None
 ) -> DataFrame:
     """B2: at least ``n`` distinct destination ports of a source in the window."""
     counted = recent_distinct(
@@ -70,9 +72,10 @@ def _distinct_in_rows(
     return spread.withColumns(counts).where(F.col("_own") == F.col("_range")).drop("_own", "_range")
 
 
+@by_density
 def detect(
     packets: DataFrame, flood_n: int = 120, flood_s: float = 3, scan_n: int = 15,
-    scan_s: float = 8, chunk: int = MINUTE_US, row_chunk: int = 10_000,
+    scan_s: float = 8, chunk: int | None = None, row_chunk: int = 10_000,
     history: int | None = None,
 ) -> DataFrame:
     """B3: 'port_scan', 'flood' or NULL per packet, whichever the newest packets show first.

@@ -8,31 +8,34 @@ from pyspark.sql import functions as F
 from packetloom.functions import text
 from packetloom.operators.behavior import SECOND_US
 from packetloom.operators.prefix import (
-    MINUTE_US, attach, crossings, distinct_edges, leaving,
+    attach, by_density, crossings, distinct_edges, leaving,
 )
 
 TXT_CODES = ("TXT", "16")  # fixed values: record type by name and by number
 
 
-def with_names(queries: DataFrame) -> DataFrame:
-    """Trimmed name, type, base domain (B5) and character entropy (B6); no empty names."""
+def _typed(queries: DataFrame) -> DataFrame:
+    """Trimmed name, whether the type is TXT, and base domain (B5); no empty names."""
     name = F.trim(F.col("qname"))
     is_txt = F.upper(F.col("qtype").cast("string")).isin(*TXT_CODES)
-    held = queries.where(name != "").withColumns(
-        {"qname": name, "_bare": F.replace(name, F.lit("."), F.lit(""))}
+    return queries.where(name != "").withColumn("qname", name).withColumns(
+        {"is_txt": F.coalesce(is_txt, F.lit(False)), "base_domain": text.base_domain(F.col("qname"))}
     )
-    return held.withColumns(
-        {
-            "is_txt": F.coalesce(is_txt, F.lit(False)),
-            "base_domain": text.base_domain(F.col("qname")),
-            "name_entropy": text.char_entropy(F.col("_bare")),
-        }
-    ).drop("_bare")
 
 
-def dns_flags(queries: DataFrame, long: int = 60, entropy: float = 3.8) -> DataFrame:
-    """Signs visible in one query."""
-    return with_names(queries).withColumns(
+def _weighed(named: DataFrame) -> DataFrame:
+    """Add the entropy of a name's characters."""
+    held = named.withColumn("_bare", F.replace("qname", F.lit("."), F.lit("")))
+    return held.withColumn("name_entropy", text.char_entropy(F.col("_bare"))).drop("_bare")
+
+
+def with_names(queries: DataFrame) -> DataFrame:
+    """Trimmed name, type, base domain (B5) and character entropy (B6); no empty names."""
+    return _weighed(_typed(queries))
+
+
+def _flagged(named: DataFrame, long: int, entropy: float) -> DataFrame:
+    return _weighed(named).withColumns(
         {
             "long_qname": F.length("qname") >= long,
             "high_entropy": F.col("name_entropy") >= entropy,
@@ -40,8 +43,14 @@ def dns_flags(queries: DataFrame, long: int = 60, entropy: float = 3.8) -> DataF
     )
 
 
+def dns_flags(queries: DataFrame, long: int = 60, entropy: float = 3.8) -> DataFrame:
+    """Signs visible in one query."""
+    return _flagged(_typed(queries), long, entropy)
+
+
+@by_density
 def unique_queries(
-    queries: DataFrame, n: int = 40, window_s: float = 60, chunk: int = MINUTE_US
+    queries: DataFrame, n: int = 40, window_s: float = 60, chunk: int | None = None
 ) -> DataFrame:
     """Distinct names of a source in the window."""
     named = with_names(queries)
@@ -54,8 +63,9 @@ def unique_queries(
     return out.withColumn("many_unique", F.col("unique_qnames") >= n)
 
 
+@by_density
 def txt_burst(
-    queries: DataFrame, n: int = 15, window_s: float = 60, chunk: int = MINUTE_US
+    queries: DataFrame, n: int = 15, window_s: float = 60, chunk: int | None = None
 ) -> DataFrame:
     """TXT queries of a source in the window."""
     named = with_names(queries)
@@ -68,7 +78,7 @@ def txt_burst(
     return out.withColumn("txt_burst", F.col("txt_queries") >= n)
 
 
-def _churn_edges(named: DataFrame, n: int, width: int, out: str, chunk: int) -> DataFrame:
+def _churn_edges(named: DataFrame, n: int, width: int, out: str, chunk: int | None) -> DataFrame:
     """Edges of "number of base domains with at least n distinct names in the window"."""
     based = named.where(F.col("base_domain") != "")
     names = distinct_edges(
@@ -77,8 +87,9 @@ def _churn_edges(named: DataFrame, n: int, width: int, out: str, chunk: int) ->
     return crossings(names, ["src_ip", "base_domain"], ["src_ip"], out, n, chunk)
 
 
+@by_density
 def subdomain_churn(
-    queries: DataFrame, n: int = 25, window_s: float = 60, chunk: int = MINUTE_US
+    queries: DataFrame, n: int = 25, window_s: float = 60, chunk: int | None = None
 ) -> DataFrame:
     """Some base domain has at least ``n`` distinct names in the window."""
     named = with_names(queries)
@@ -90,17 +101,17 @@ def subdomain_churn(
     return out.withColumn("subdomain_churn", F.col("_busy_bases") > 0).drop("_busy_bases")
 
 
+@by_density
 def dns_reasons(
     queries: DataFrame, window_s: float = 60, long: int = 60, entropy: float = 3.8,
-    unique: int = 40, txt: int = 15, churn: int = 25, chunk: int = MINUTE_US,
+    unique: int = 40, txt: int = 15, churn: int = 25, chunk: int | None = None,
 ) -> DataFrame:
     """B7-B11 together: the ``dns_reasons`` of each query, in a fixed order."""
     width = int(window_s * SECOND_US)
-    flagged = dns_flags(queries, long, entropy)
     src, is_txt, none = ["src_ip"], F.col("is_txt").cast("long"), F.lit(0).cast("long")
-    named = with_names(queries)
+    named = _typed(queries)
     seen = attach(
-        flagged, src, "ts_us",
+        named, src, "ts_us",
         sums={"_names": none, "_txt": is_txt, "_bases": none},
         edges=[
             distinct_edges(named, src, "qname", "ts_us", width, "_names", chunk),
@@ -109,6 +120,7 @@ def dns_reasons(
         ],
         chunk=chunk,
     )
+    seen = _flagged(seen, long, entropy)  # behind the exchange, which deals the work out
     many, churned = F.col("_names") >= unique, F.col("_bases") > 0
     tunnel = (F.col("high_entropy") & many) | (churned & F.col("long_qname"))
     reasons = F.array_compact(

@@ -1,11 +1,14 @@
 """Running and sliding totals whose tasks stay small however skewed the keys are.
 
 A plain window over a key puts all rows of that key into one task, and a sliding
-frame recomputes its buffer for each row. Here every key is cut into chunks of its
-ordering axis (time, row number, score). One aggregate with map-side combine gives
-the total of each chunk; an exclusive running total over chunks gives what a chunk
-inherits, added to it as one extra "carry" row. The chunk is then the window
-partition, its frame starts at the first row, and no join is needed.
+frame recomputes its buffer for each row. Here a key is cut into chunks of its
+ordering axis (time, row number, score) and each chunk into sub-chunks. Aggregates with map-side
+combine give the totals of both; exclusive running totals, over the chunks of a key and over the
+sub-chunks of a chunk, give what a sub-chunk inherits, added to it as one extra "carry" row. The
+sub-chunk is then the window partition, its frame starts at the first row, and no join is needed.
+
+Keys that fit a task need none of this: with ``chunk=None`` the key itself is the window partition, which
+takes a single exchange. ``by_density`` counts the rows of each key first and cuts only the keys that are too large.
 
 Sliding measures become running totals too: a row that enters a window of width
 ``w`` at ``t`` leaves it at ``t + w + 1``, so +v and -v "edges" sum to the value of
@@ -14,34 +17,81 @@ the sliding window at any instant.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import reduce
+from collections.abc import Callable, Sequence
+from functools import reduce, wraps
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from packetloom.session import staged
+
 MINUTE_US = 60_000_000
 
 _FOLDS = {"sum": F.sum, "min": F.min, "max": F.max}
 
 
-def _chunk(at: Column, width: int) -> Column:
-    return at - F.pmod(at, F.lit(width))
+#: Sub-chunks of a chunk.
+PARTS = 64
+#: Rows of a key that one task takes; keys with more are cut.
+HOT_ROWS = 1 << 20
+
+
+def _place(df: DataFrame, chunk: int | None) -> DataFrame:
+    """Add the chunk and the sub-chunk of each row; neither without ``chunk``."""
+    if chunk is None:
+        return df
+    at, part = F.col("_at"), max(1, chunk // PARTS)
+    inside = F.pmod(at, F.lit(chunk))
+    return df.withColumns({"_chunk": at - inside, "_part": at - F.pmod(inside, F.lit(part))})
 
 
 def _carry(body: DataFrame, keys: list[str], folds: dict[str, str]) -> DataFrame:
-    """One row per (key, chunk), placed just before it, holding all earlier chunks."""
-    totals = body.groupBy(*keys, "_chunk").agg(
-        *[_FOLDS[kind](name).alias(name) for name, kind in folds.items()]
-    )
-    earlier = (
-        Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    picked = []
-    for name, kind in folds.items():
-        value = _FOLDS[kind](name).over(earlier)
-        picked.append((F.coalesce(value, F.lit(0)) if kind == "sum" else value).alias(name))
-    return totals.select(*keys, "_chunk", (F.col("_chunk") - 1).alias("_at"), *picked)
+    """One row per (key, sub-chunk), placed just before it, holding all that came earlier."""
+
+    def summed(df: DataFrame, *by: str) -> DataFrame:
+        return df.groupBy(*keys, *by).agg(*[_FOLDS[kind](name).alias(name) for name, kind in folds.items()])
+
+    def inherited(df: DataFrame, order: str, *by: str) -> list[Column]:
+        earlier = Window.partitionBy(*keys, *by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        picked = []
+        for name, kind in folds.items():
+            value = _FOLDS[kind](name).over(earlier)
+            picked.append((F.coalesce(value, F.lit(0)) if kind == "sum" else value).alias(name))
+        return picked
+
+    parts = summed(body, "_chunk", "_part")
+    chunks = summed(parts, "_chunk")
+    before = chunks.select(*keys, "_chunk", (F.col("_chunk") - 1).alias("_part"), *inherited(chunks, "_chunk"))
+    whole = parts.unionByName(before)
+    carried = whole.select(*keys, "_chunk", "_part", (F.col("_part") - 1).alias("_at"), *inherited(whole, "_part", "_chunk"))
+    return carried.where(F.col("_part") >= F.col("_chunk"))
+
+
+def hot_keys(df: DataFrame, keys: Sequence[str], rows: int = HOT_ROWS) -> DataFrame | None:
+    """The keys with more than so many rows; None if there are none. Runs one aggregate."""
+    counted = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > rows)
+    found = staged(counted.select(*keys))
+    return None if found.isEmpty() else found
+
+
+def by_density(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Let an operator on events of ``src_ip`` run over whole sources, but cut the sources with many rows.
+
+    The operator has a parameter ``chunk``. Given, it holds for all sources; by default sources of more than ``hot_rows``
+    rows are cut by the minute and others not at all.
+    """
+    @wraps(operator)
+    def run(events: DataFrame, *args, chunk: int | None = None, hot_rows: int = HOT_ROWS, **params) -> DataFrame:
+        if chunk is not None:
+            return operator(events, *args, chunk=chunk, **params)
+        hot = hot_keys(events, ["src_ip"], hot_rows)
+        if hot is None:
+            return operator(events, *args, chunk=None, **params)
+        same = events["src_ip"].eqNullSafe(hot["src_ip"])
+        cold = operator(events.join(hot, same, "left_anti"), *args, chunk=None, **params)
+        return cold.unionByName(operator(events.join(hot, same, "left_semi"), *args, chunk=MINUTE_US, **params))
+
+    return run
 
 
 def attach(
@@ -54,7 +104,7 @@ def attach(
     maxs: dict[str, Column] | None = None,
     edges: Sequence[DataFrame] = (),
     tiebreak: str | None = None,
-    chunk: int = MINUTE_US,
+    chunk: int | None = MINUTE_US,
     base: DataFrame | None = None,
 ) -> DataFrame:
     """Add running totals up to and including each row.
@@ -92,24 +142,19 @@ def attach(
         for extra in edges
     ]
 
-    def with_chunk(df: DataFrame) -> DataFrame:
-        return df.withColumn("_chunk", _chunk(F.col("_at"), chunk))
-
-    totalled = with_chunk(all_of([(events if base is None else base).select(*own), *added]))
-    carried = _carry(totalled, names, {f"_v_{n}": kind for n, kind in folds.items()})
-    others = carried if not added else carried.unionByName(with_chunk(all_of(added)))
-    rows = with_chunk(
+    rows = _place(
         events.select(
             F.struct(*[F.col(f"`{c}`") for c in events.columns]).alias("_row"),
             order.cast("long").alias("_tie"), *own,
-        )
-    )
-    whole = rows.unionByName(
-        others.withColumns(
-            {"_row": F.lit(None).cast(row_type), "_tie": F.lit(0).cast("long")}
-        )
+        ), chunk
     )
-    frame = Window.partitionBy(*names, "_chunk")
+    others = [_place(all_of(added), chunk)] if added else []
+    if chunk is not None:
+        totalled = _place(all_of([(events if base is None else base).select(*own), *added]), chunk)
+        others.append(_carry(totalled, names, {f"_v_{n}": kind for n, kind in folds.items()}))
+    blank = {"_row": F.lit(None).cast(row_type), "_tie": F.lit(0).cast("long")}
+    whole = all_of([rows, *[other.withColumns(blank) for other in others]])
+    frame = Window.partitionBy(*names, *(["_part"] if chunk is not None else []))
     if tiebreak:
         frame = frame.orderBy("_at", "_tie").rowsBetween(Window.unboundedPreceding, 0)
     else:
@@ -125,33 +170,28 @@ def attach(
 
 def crossings(
     edges: DataFrame, keys: Sequence[str], out_keys: Sequence[str], out: str,
-    limit: int = 1, chunk: int = MINUTE_US,
+    limit: int = 1, chunk: int | None = MINUTE_US,
 ) -> DataFrame:
     """Edges of "the running total of ``_d`` per ``keys`` is at least ``limit``".
 
     The result has ``out_keys``, ``_at`` and +1 / -1 in ``out``.
     """
     keys = list(keys)
-    body = edges.select(*keys, "_at", "_d").withColumn("_chunk", _chunk(F.col("_at"), chunk))
-    whole = body.unionByName(_carry(body, keys, {"_d": "sum"}))
+    whole = _place(edges.select(*keys, "_at", "_d"), chunk)
+    if chunk is not None:
+        whole = whole.unionByName(_carry(whole, keys, {"_d": "sum"})).drop("_chunk")
+    by = keys + (["_part"] if chunk is not None else [])
     # One exchange serves both the merge of equal instants and the window.
-    instants = whole.repartition(*keys, "_chunk").groupBy(*keys, "_chunk", "_at").agg(
-        F.sum("_d").alias("_d")
-    )
-    frame = (
-        Window.partitionBy(*keys, "_chunk").orderBy("_at")
-        .rowsBetween(Window.unboundedPreceding, 0)
-    )
-    total = F.sum("_d").over(frame)
+    instants = whole.repartition(*by).groupBy(*by, "_at").agg(F.sum("_d").alias("_d"))
+    frame = Window.partitionBy(*by).orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
     step = (F.col("_total") >= limit).cast("int") - (
         F.col("_total") - F.col("_d") >= limit
     ).cast("int")
-    # The carry row sits before its chunk and is no instant of its own.
+    # A carry row sits before its sub-chunk and is no instant of its own.
+    real = F.lit(True) if chunk is None else F.col("_at") >= F.col("_part")
     return (
-        instants.withColumn("_total", total)
-        .where(F.col("_at") >= F.col("_chunk"))
-        .select(*out_keys, "_at", step.alias(out))
-        .where(F.col(out) != 0)
+        instants.withColumn("_total", F.sum("_d").over(frame)).where(real)
+        .select(*out_keys, "_at", step.alias(out)).where(F.col(out) != 0)
     )
 
 
@@ -182,7 +222,7 @@ def leaving(
 
 def distinct_edges(
     events: DataFrame, keys: Sequence[str], item: str, at: str, width: int, out: str,
-    chunk: int = MINUTE_US,
+    chunk: int | None = MINUTE_US,
 ) -> DataFrame:
     """Edges of the number of distinct items seen in the last ``width`` per key."""
     seen = events.where(F.col(item).isNotNull())

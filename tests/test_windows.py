@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from packetloom.functions import text
-from packetloom.operators import alerts, behavior, dns, flows, intel, maintain
+from packetloom.operators import alerts, behavior, dns, flows, intel, maintain, prefix
 from packetloom.operators.prefix import attach
 
 S = 1_000_000
@@ -251,3 +251,33 @@ def test_systematic_sample(packets):
 def test_char_entropy(spark):
     df = spark.createDataFrame([("aabb",), ("",), ("abcd",), ("zzzz",)], "s string")
     assert [r[0] for r in df.select(text.char_entropy(F.col("s"))).collect()] == [1.0, 0.0, 2.0, 0.0]
+
+
+def test_hot_sources_are_cut(spark):
+    """Sources of many rows are cut, others not; both give what the whole window gives."""
+    df = spark.createDataFrame(traffic(8, 1500), "packet_id long, ts_us long, src_ip string, dst_port int")
+    counts = sorted(r["count"] for r in df.groupBy("src_ip").count().collect())
+    assert len(counts) > 1
+    for n in (counts[0], counts[-1] - 1, 0):
+        cut = behavior.detect(df, hot_rows=n).select("packet_id", "behavior")
+        assert sorted(cut.collect()) == sorted(behavior.detect(df).select("packet_id", "behavior").collect())
+    queries = spark.createDataFrame(dns_rows(4, 600), "dns_id long, ts_us long, src_ip string, qname string, qtype string")
+    cut = dns.dns_reasons(queries, hot_rows=20)
+    whole = dns.dns_reasons(queries)
+    assert cut.columns == whole.columns and sorted(cut.collect(), key=str) == sorted(whole.collect(), key=str)
+    one = behavior.flood(df.withColumn("src_ip", F.lit(None).cast("string")), hot_rows=3)
+    assert one.count() == df.count() and one.agg(F.max("recent_packets")).head()[0] > 1
+
+
+def test_a_flooding_minute_is_many_tasks(spark):
+    """A million rows of one source in one minute: no window partition takes five in a hundred."""
+    n = 1_000_000
+    df = spark.range(n).select(
+        F.col("id").alias("packet_id"), (F.col("id") * 60 + 7 * 60_000_000).alias("ts_us"), F.lit("a").alias("src_ip"),
+        (F.col("id") % 7).cast("int").alias("dst_port"),
+    )
+    placed = prefix._place(df.withColumn("_at", F.col("ts_us")), prefix.MINUTE_US)
+    assert placed.groupBy("_part").count().agg(F.max("count")).head()[0] < n / 20
+    found = behavior.flood(df, n=50_000, window_s=3, hot_rows=1000)
+    assert found.where("recent_packets <> least(packet_id + 1, 50001)").count() == 0
+    assert found.where("is_flood").count() == n - 50_000
