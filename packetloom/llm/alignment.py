@@ -12,14 +12,14 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from packetloom.llm.common import WORD, WordHashes, grams, stage, texts
+from packetloom.llm.common import WORD, Shared, WordHashes, grams, stage, texts
 
 #: Points for an equal word, a different word, and a word left out on either side.
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -155,7 +155,7 @@ def _item_grams(items: DataFrame, n: int) -> DataFrame:
 
 def _frequencies(docs: DataFrame, seeds: np.ndarray, n: int) -> DataFrame:
     """(gram, docs): in how many texts each of the sorted n-grams occurs."""
-    shared = docs.sparkSession.sparkContext.broadcast((seeds, Items({}, seeds, seeds, seeds).filter_bits()))
+    shared = Shared(docs.sparkSession, (seeds, Items({}, seeds, seeds, seeds).filter_bits()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, count = normal_words(), Counter()
@@ -214,7 +214,7 @@ def leaks(
     read. Items are broadcast in blocks of bounded size, each block against all texts.
     """
     word = re.compile(WORD)
-    share = docs.sparkSession.sparkContext.broadcast
+    share = partial(Shared, docs.sparkSession)
 
     def search(shared) -> Callable:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,7 +249,7 @@ def without_leaks(
     docs: DataFrame, items: DataFrame, n: int = 3, seed_share: float = 0.7, least: float = 0.5
 ) -> DataFrame:
     """The rows of ``docs``, whole, whose text holds no test item (see ``leaks``); nothing is moved."""
-    share = docs.sparkSession.sparkContext.broadcast
+    share = partial(Shared, docs.sparkSession)
 
     def clean(shared) -> Callable:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

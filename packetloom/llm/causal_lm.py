@@ -20,12 +20,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packetloom.llm.common import bounded_sample, fold, stage, stage_by, texts
+from packetloom.llm.common import Shared, bounded_sample, fold, sliced, stage, stage_by, texts
 from packetloom.llm.packing import TOKENIZER, ChunkIds, Encoder, tokenizer_path
 
 #: The token after the words of a text; no word, for it holds a space.
 END = " end"
 _SPREAD = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
+#: Chunks of text whose ids a task remembers.
+CHUNKS = 200_000
 LN10 = float(np.log(10))
 
 
@@ -316,8 +318,8 @@ def coded(docs: DataFrame, tokenizer: str, end: int, slices: int) -> str:
     """Folder of the ids of all texts, start and end around them, dealt to slices by a hash of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = ChunkIds(tokenizer_path(tokenizer), limit=400_000)
-        for batch in batches:
+        coder = ChunkIds(tokenizer_path(tokenizer), limit=CHUNKS)
+        for batch in chain.from_iterable(map(sliced, batches)):
             said = texts(batch)
             slots = [xxhash.xxh3_64_intdigest(t.encode()) % slices for t in said]
             ids = [np.concatenate([[-2], i, [end]]).astype(np.int32) for i in coder.batch([word_list(t) for t in said])]
@@ -341,7 +343,7 @@ def summed_gradients(part: DataFrame, model: Attention, vocab: Vocabulary, size:
 
     Tasks add up their own windows, a few tasks add up the tasks; the driver gets sums of weights' size.
     """
-    shared = part.sparkSession.sparkContext.broadcast((model, vocab))
+    shared = Shared(part.sparkSession, (model, vocab))
     schema = "loss double, n bigint, gradient binary"
 
     def row(loss: float, n: int, gradient: np.ndarray) -> pa.RecordBatch:
@@ -441,14 +443,14 @@ def score(
     model.train(training_windows(train, tokenizer, vocab.end, 33, sample_documents), vocab, steps)
     if n:
         fit(train, model, vocab, tokenizer, 33, passes=passes)
-    shared = spark.sparkContext.broadcast(
-        (model, vocab, common["hash"].to_numpy(np.int64), common["n"].to_numpy(np.int64))
+    shared = Shared(
+        spark, (model, vocab, common["hash"].to_numpy(np.int64), common["n"].to_numpy(np.int64))
     )
     rest = float(np.log10(n + v + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, vocab, hashes, times = shared.value
-        coder = ChunkIds(tokenizer_path(tokenizer), limit=400_000)
+        coder = ChunkIds(tokenizer_path(tokenizer), limit=CHUNKS)
         # By number of a word: its hash, and what it adds to the base; NaN for words that are not common.
         codes, gains = np.empty(1 << 16, np.int64), np.empty(1 << 16)
 
@@ -460,7 +462,7 @@ def score(
 
         end = np.array([word_hash(END)], np.int64)
         end_gain = gain(end)
-        for batch in batches:
+        for batch in chain.from_iterable(map(sliced, batches)):
             lists = [word_list(t) for t in texts(batch)]
             ends = np.cumsum([len(words) for words in lists]).astype(np.int64)
             every, new = coder.numbers(chain.from_iterable(lists), int(ends[-1]) if lists else 0)

@@ -49,10 +49,15 @@ def _drop_marks(text: str) -> str:
 
 @dataclass
 class Flattener:
-    """Visits parts in order; unknown types are kept as text."""
+    """Visits parts in order; unknown types are kept as text.
+
+    Texts that follow each other are one text: escaped part by part, a control string cut in two
+    would come to life where they meet.
+    """
 
     coder: ChunkIds
     out: list[str] = field(default_factory=list)
+    waiting: list[str] = field(default_factory=list)
     attachments: list[tuple[int, str, str | None, int]] = field(default_factory=list)
     tokens: int = 0
 
@@ -61,9 +66,15 @@ class Flattener:
         getattr(self, f"visit_{kind}", self.visit_text)(part)
 
     def visit_text(self, part: dict) -> None:
-        text = part.get("text") or ""
+        self.waiting.append(part.get("text") or "")
+
+    def close(self) -> str:
+        """Ends the text that was begun; all that was flattened."""
+        text = "".join(self.waiting)
+        self.waiting.clear()
         self.out.append(escape(text))
         self.tokens += len(next(self.coder.texts([text])))
+        return "".join(self.out)
 
     def visit_image(self, part: dict) -> None:
         self._attach("image", part)
@@ -75,6 +86,7 @@ class Flattener:
         self._attach("document", part)
 
     def _attach(self, kind: str, part: dict) -> None:
+        self.close()
         per, unit = RATES[kind]
         tokens = per * max(1, -(-max(part.get("size") or 0, 0) // unit))
         place = len(self.attachments)
@@ -126,10 +138,11 @@ def format_turns(messages: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
                 visitor = Flattener(coder)
                 for part in parts or []:
                     visitor.visit(part or {})
+                body = visitor.close()
                 held = [
                     {"place": p, "type": t, "ref": r, "tokens": n} for p, t, r, n in visitor.attachments
                 ]
-                rows.append((*turn_text(role, "".join(visitor.out)), held, visitor.tokens))
+                rows.append((*turn_text(role, body), held, visitor.tokens))
             cols = list(zip(*rows, strict=True)) or [[]] * 5
             kind = pa.list_(pa.struct([
                 ("place", pa.int32()), ("type", pa.string()), ("ref", pa.string()), ("tokens", pa.int64()),
@@ -191,12 +204,21 @@ def digests(turns: DataFrame) -> DataFrame:
 
     return (
         turns.select("conv_id", "turn", "role", "formatted", "loss_begin", "loss_end", "tokens")
-        .repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "formatted")
+        .repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", _said())
         .mapInArrow(run, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, "
                     "loss_sha256 string, formatted_chars bigint, tokens bigint")
     )
 
 
+def _said() -> F.Column:
+    """The body of a formatted turn as it reads, by which equal turns are ordered."""
+    size = F.length("formatted")
+    ends = F.when(F.col("role").isin(*TURNS), F.lit(0)).otherwise(len(OTHER_END))
+    for role, (_, after) in TURNS.items():
+        ends = F.when(F.col("role") == role, len(after)).otherwise(ends)
+    return F.regexp_replace(F.substring("formatted", F.lit(1), size - ends), r"(?s)\\(.)", "$1")
+
+
 def _rows(rows: list[tuple], names: tuple, kinds: tuple) -> pa.RecordBatch:
     cols = zip(*rows, strict=True)
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=list(names))

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+from pyspark import cloudpickle
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,6 +85,44 @@ def shielded(df: DataFrame, *used: str) -> tuple[DataFrame, Callable[[DataFrame]
     return hidden, lambda out: out.select(*[F.col(new).alias(old) for old, new in names.items()])
 
 
+class Shared:
+    """An object of this package that tasks read by ``value``, broadcast as bytes.
+
+    Broadcasts name classes by their module, which executors may not have; pickled here, classes travel along.
+    """
+
+    def __init__(self, spark: SparkSession, held: object) -> None:
+        self._bytes, self._held = spark.sparkContext.broadcast(cloudpickle.dumps(held)), None
+
+    def __reduce__(self) -> tuple:
+        return _shared, (self._bytes,)
+
+    @property
+    def value(self) -> object:
+        if self._held is None:
+            self._held = cloudpickle.loads(self._bytes.value)
+        return self._held
+
+    def unpersist(self) -> None:
+        self._bytes.unpersist()
+
+
+def _shared(data: Broadcast) -> Shared:
+    made = Shared.__new__(Shared)
+    made._bytes, made._held = data, None
+    return made
+
+
+def sliced(batch: pa.RecordBatch, col: str = "text", most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in slices of about ``most`` bytes of text; a longer text is a slice of its own."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(col)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    begin = 0
+    while begin < batch.num_rows:
+        end = int(np.searchsorted(sizes, (sizes[begin - 1] if begin else 0) + most, "right"))
+        yield batch.slice(begin, max(1, end - begin))
+        begin = max(begin + 1, end)
+
+
 class WordHashes(dict):
     """64-bit hashes of words as they are asked for; forgets all at ``limit`` words."""
 

@@ -1,7 +1,10 @@
 """SimHash, phrases and filter audit against brute force, with odd rows."""
 
+import os
 import random
 import re
+import subprocess
+import sys
 from collections import Counter
 from itertools import permutations
 
@@ -273,3 +276,21 @@ def test_queries_return_the_contract(spark, name):
     }[name].split(",")
     found = queries.QUERIES[name](spark, SF_DIR)
     assert found.columns == columns and found.count() > 0
+
+
+@pytest.mark.parametrize("name", ["op7_causal_lm", "op9_benchmark_leaks", "op12_collocations"])
+def test_executors_need_no_installation(name, tmp_path):
+    """Workers start in another folder, so that they find the package nowhere."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    script = f"""
+import sys
+sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession
+spark = (SparkSession.builder.master("local[4]").config("spark.ui.enabled", "false")
+         .config("spark.sql.shuffle.partitions", "4").config("spark.checkpoint.dir", {str(tmp_path / "shared")!r}).getOrCreate())
+import __spark_entry__ as entry
+print("rows", entry.queries()[{name!r}](spark, {SF_DIR!r}).count())
+"""
+    env = {k: v for k, v in os.environ.items() if k not in ("PYTHONPATH", "SPARK_HOME", "PYSPARK_GATEWAY_PORT", "PYSPARK_GATEWAY_SECRET")}
+    done = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
+    assert done.returncode == 0 and "rows" in done.stdout, done.stderr[-2000:]

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -15,7 +16,7 @@ from tokenizers import Tokenizer
 from packetloom.llm import (
     alignment, causal_lm, chat, forest, identifiers, packing, page_text, queries, ranking, rules, units,
 )
-from packetloom.llm.common import WordHashes, prepare
+from packetloom.llm.common import WordHashes, prepare, sliced
 from packetloom.llm.graph import components
 from packetloom.llm.text_stats import COUNTS, RATES, measure
 
@@ -412,6 +413,43 @@ def test_typed_parts(spark):
     assert next(chat.read_turns(one["formatted"]))[1] == "see <s>end"
 
 
+def test_texts_cut_into_parts_read_back(spark):
+    """However a text is cut into parts, it reads as the text uncut."""
+    prepare(spark)
+    rng = random.Random(2)
+    pieces = ["<s>", "</s>", "[INST]", "[/INST]", "<|image:0|>", "\\", "<", "[", " ", "ok", "é"]
+    rows, want = [], {}
+    for k in range(200):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randrange(1, 7)))
+        cuts = sorted(rng.randrange(len(text) + 1) for _ in range(3))
+        parts = [("text", text[a:b], None, None) for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True)]
+        want[k] = text
+        if k % 3 == 0:
+            parts.insert(rng.randrange(len(parts) + 1), ("image", None, "i.png", 5))
+        rows.append((k, 0, rng.choice(["user", "assistant", "tool"]), parts))
+    df = spark.createDataFrame(rows, f"conv_id bigint, turn bigint, role string, parts {chat.PARTS}")
+    for r in chat.format_turns(df).collect():
+        assert [t for _, t, _ in chat.read_turns(r["formatted"])] == [want[r["conv_id"]]]
+
+
+def test_equal_turns_are_ordered_by_text(spark):
+    prepare(spark)
+    said = ["<s>", "<a", "a", "a\x01", "", "\\", "[INST]", "[Z"]
+    rows = [(1, 0, role, t) for t in said for role in ("user", "tool")]
+    df = chat.text_parts(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string"))
+    got = chat.digests(chat.format_turns(df)).collect()
+    turns = "".join(f"{role}\n{t}\n" for role in ("tool", "user") for t in sorted(said))
+    assert [r["turns_sha256"] for r in got] == [hashlib.sha256(turns.encode()).hexdigest()]
+
+
+def test_slices_hold_all_rows():
+    said = ["a" * n for n in (0, 3, 9, 40, 1, 2, 0)] + [None]
+    batch = pa.RecordBatch.from_arrays([pa.array(said)], names=["text"])
+    parts = [p.column("text").to_pylist() for p in sliced(batch, most=10)]
+    assert [t for p in parts for t in p] == said and max(sum(len(t or "") for t in p) for p in parts if len(p) > 1) <= 10
+    assert list(sliced(batch.slice(0, 0))) == []
+
+
 def test_language_model_base(odd, odd_texts, none):
     train = odd.where("doc_id > 2 OR doc_id IS NULL")
     got = causal_lm.score(odd, train, common_words=5, steps=30).collect()
