@@ -286,11 +286,16 @@ _ENDS = """
 """
 
 
-@query("z1_by_endpoint", ("zeek_conn",), _ENDS + """
+@query("z1_by_endpoint", ("zeek_conn",), _ENDS + "SELECT ip, uid FROM ends")
+def z1_by_endpoint(spark, sf_dir):
+    return zeek.by_endpoint(adapt(spark, sf_dir, "zeek_conn")).select("ip", "uid")
+
+
+@query("z1_newest_by_endpoint", ("zeek_conn",), _ENDS + """
 , r AS (SELECT ip, uid, row_number() OVER (PARTITION BY ip ORDER BY uid DESC) AS n FROM ends)
 SELECT ip, uid FROM r WHERE n <= 40
 """)
-def z1_by_endpoint(spark, sf_dir):
+def z1_newest_by_endpoint(spark, sf_dir):
     return zeek.by_endpoint(adapt(spark, sf_dir, "zeek_conn"), cap=40, order="uid").select("ip", "uid")
 
 

@@ -38,5 +38,5 @@ def load() -> None:
     """Import the modules that register queries."""
     from packetloom.plans import (  # noqa: F401
         content_queries, intel_queries, log_queries, ml_queries, packet_queries,
-        score_queries, stream_queries,
+        score_queries, store_queries, stream_queries,
     )
