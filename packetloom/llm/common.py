@@ -71,11 +71,18 @@ def only_ids(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     Keys are hashed to ``BUCKETS`` buckets and the buckets in use are broadcast: never more
     than ``BUCKETS`` numbers. Every wanted row stays, some others do too; a join decides.
     """
+    return _by_bucket(df, key, ids, "left_semi")
+
+
+def other_ids(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """The rows of ``df`` that ``only_ids`` leaves out; none of their keys is in ``ids``."""
+    return _by_bucket(df, key, ids, "left_anti")
+
+
+def _by_bucket(df: DataFrame, key: str, ids: DataFrame, how: str) -> DataFrame:
     bucket = F.pmod(F.xxhash64(F.col(key)), F.lit(BUCKETS))
     used = ids.select(bucket.alias("__bucket")).distinct()
-    return (
-        df.withColumn("__bucket", bucket).join(F.broadcast(used), "__bucket", "left_semi").drop("__bucket")
-    )
+    return df.withColumn("__bucket", bucket).join(F.broadcast(used), "__bucket", how).drop("__bucket")
 
 
 def shielded(df: DataFrame, *used: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from packetloom.llm.common import shielded, stage
+from packetloom.llm.common import only_ids, other_ids, shielded, stage
 
 #: The formats, and what a text must hold for one to occur. Possessive repeats and
 #: look-behinds leave the matches as they are and keep long runs linear.
@@ -222,13 +222,18 @@ def find(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), **options: object
     """``keep`` and one array of spans per format and of ``found`` ones, for every row.
 
     A null or empty text has no spans. Repeated rows are searched each; the spans that patterns reveal
-    are joined by a hash of the text, so a null or repeated id does no harm.
+    are joined by a hash of the text, so a null or repeated id does no harm. Only rows whose text may have such spans
+    are moved for the join; the others stay where they are read.
     """
     keyed = docs.withColumn("__text", F.xxhash64("text"))
-    more = discovered(keyed.select(F.col("__text"), "text"), "__text", **options)
-    rows = with_base(keyed, *keep, "__text")
+    more = stage(discovered(keyed.select(F.col("__text"), "text"), "__text", **options))
     empty = F.array().cast(f"array<{SPAN}>")
-    return rows.join(more, "__text", "left").withColumn("found", F.coalesce("found", empty)).drop("__text")
+    moved = (
+        with_base(only_ids(keyed, "__text", more), *keep, "__text").join(more, "__text", "left")
+        .withColumn("found", F.coalesce("found", empty)).drop("__text")
+    )
+    rest = with_base(other_ids(keyed, "__text", more), *keep, "__text").drop("__text").withColumn("found", empty)
+    return moved.unionByName(rest)
 
 
 def without_identifiers(docs: DataFrame, mark: str = "[REDACTED]", **options: object) -> DataFrame:
