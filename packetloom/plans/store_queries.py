@@ -6,11 +6,12 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from packetloom.operators import logs, rollups
-from packetloom.plans.log_queries import _IN_RANGE, _LABEL, _SERIES, END, START, _counts, _logs
+from packetloom.operators import logs, maintain, rollups
+from packetloom.plans.adapters import adapt, table
+from packetloom.plans.log_queries import _IN_RANGE, _LABEL, _SERIES, DAY_S, END, NOW, START, _counts, _logs
 from packetloom.plans.registry import query
 from packetloom.session import shared_dir
-from packetloom.sources import search_index
+from packetloom.sources import search_index, tables, training
 
 
 def _base(spark) -> str:
@@ -62,3 +63,47 @@ def q5_rollup_series(spark, sf_dir):
 def a5_rollup_counters(spark, sf_dir):
     base, _ = _kept(spark, sf_dir)
     return rollups.counters(spark, base)
+
+
+@query("a10_purge_batches", ("logs",), f"""
+SELECT id, ts_sec, src_ip FROM logs WHERE ts_sec >= {NOW - 15.5 * DAY_S}
+""")
+def a10_purge_batches(spark, sf_dir):
+    """What stays of stored batches when days past their time are dropped."""
+    base, rows = _base(spark), tables.log_rows(_logs(spark, sf_dir))
+    for batch in range(2):
+        tables.write_batch(rows.where(F.col("id") % 2 == batch), f"{base}/logs", batch)
+    tables.purge_batches(spark, f"{base}/logs", float(NOW), days=15.5)
+    return spark.read.parquet(f"{base}/logs").select("id", "ts_sec", "src_ip")
+
+
+@query("r12_training_sample", ("logs",), f"""
+SELECT id FROM logs WHERE {_LABEL} <> 'safe' OR (id * 7919) % 10000 < 500
+""")
+def r12_training_sample(spark, sf_dir):
+    return maintain.training_sample(_logs(spark, sf_dir), "id", 0.05, pick="(id * 7919) % 10000").select("id")
+
+
+@query("s5_read_packets", ("packets",), "SELECT packet_id, ts_us, src_ip, dst_port, protocol, bytes FROM packets")
+def s5_read_packets(spark, sf_dir):
+    """Packets written as JSON lines and read by the packet schema."""
+    base = _base(spark)
+    adapt(spark, sf_dir, "packets").write.json(f"{base}/packets")
+    return tables.read_packets(spark, f"{base}/packets", fmt="json").select(
+        "packet_id", "ts_us", "src_ip", "dst_port", "protocol", "bytes"
+    )
+
+
+@query("s1_read_csv_folder", (), """
+SELECT CAST(l_orderkey AS VARCHAR) AS key, CAST(l_quantity AS DOUBLE) AS quantity,
+  CASE WHEN l_linenumber % 2 = 0 THEN l_linestatus END AS mode FROM lineitem
+""")
+def s1_read_csv_folder(spark, sf_dir):
+    """Files with headers of other order, blanks and one column less are one table."""
+    base, rows = _base(spark), table(spark, sf_dir, "lineitem")
+    even = rows.where("l_linenumber % 2 = 0").selectExpr("l_linestatus AS mode", "l_quantity AS ` quantity`", "l_orderkey AS key")
+    odd = rows.where("l_linenumber % 2 = 1").selectExpr("l_orderkey AS `key `", "l_quantity AS quantity")
+    even.write.option("header", True).option("ignoreTrailingWhiteSpace", False).csv(f"{base}/even")
+    odd.write.option("header", True).csv(f"{base}/odd")
+    read = training.read_csv_folder(spark, [f"{base}/even", f"{base}/odd"])
+    return read.select("key", F.col("quantity").cast("double").alias("quantity"), "mode")

@@ -174,3 +174,35 @@ def purge(spark: SparkSession, table: str, as_of: float, days: float = 7) -> int
         if row.old or full:
             spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION (event_date = DATE '{row.d}')")
     return lost
+
+
+def purge_batches(spark: SparkSession, path: str, as_of: float, days: float = 7) -> int:
+    """A10 on what ``write_batch`` stores under ``path``; returns the rows dropped.
+
+    Days wholly past go as folders. In the day of the cutoff each batch is replaced by its rows that stay, before any folder
+    goes: a failure between the steps loses nothing, and a second call finishes the work. Later batches may be
+    written meanwhile, as they have folders of their own.
+    """
+    cutoff = as_of - days * DAY_S
+    edge = F.timestamp_seconds(F.lit(cutoff)).cast("date")
+    rows = spark.read.parquet(path)
+    past = rows.where((F.col("event_date") <= edge) & (F.col("ts_sec") < cutoff))
+    folder = [F.col("event_date").cast("string").alias("d"), F.col("batch").cast("string").alias("b")]
+    touched = past.groupBy(*folder, (F.col("event_date") < edge).alias("old")).count().collect()
+    if not touched:
+        return 0
+    use_checkpoints(spark)
+    batches = [r.b for r in touched if not r.old]
+    kept = rows.where((F.col("event_date") == edge) & (F.col("ts_sec") >= cutoff) & F.col("batch").cast("string").isin(batches))
+    kept = kept.checkpoint()
+    alive = {(r.d, r.b) for r in kept.select(*folder).distinct().collect()}
+    if alive:
+        kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+            "event_date", "batch"
+        ).parquet(path)
+    gone = {f"{path}/event_date={r.d}" + ("" if r.old else f"/batch={r.b}") for r in touched if (r.d, r.b) not in alive}
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    for name in sorted(gone):
+        where = hadoop.Path(name)
+        where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+    return sum(r["count"] for r in touched)
