@@ -30,28 +30,31 @@ MINUTE_US = 60_000_000
 _FOLDS = {"sum": F.sum, "min": F.min, "max": F.max}
 
 
-#: Sub-chunks of a chunk.
-PARTS = 64
+#: How a key is cut: not at all, into chunks of a width, or into chunks of a width and each into so many sub-chunks.
+Cut = int | tuple[int, int] | None
+#: A hot key is cut by the minute, and each minute into 64 parts.
+HOT_CUT = (MINUTE_US, 64)
 #: Rows of a key that one task takes; keys with more are cut.
 HOT_ROWS = 1 << 20
 
 
-def _place(df: DataFrame, chunk: int | None) -> DataFrame:
+def _place(df: DataFrame, chunk: Cut) -> DataFrame:
     """Add the chunk and the sub-chunk of each row; neither without ``chunk``."""
     if chunk is None:
         return df
-    at, part = F.col("_at"), max(1, chunk // PARTS)
-    inside = F.pmod(at, F.lit(chunk))
-    return df.withColumns({"_chunk": at - inside, "_part": at - F.pmod(inside, F.lit(part))})
+    width, parts = chunk if isinstance(chunk, tuple) else (chunk, 1)
+    at, inside = F.col("_at"), F.pmod(F.col("_at"), F.lit(width))
+    part = at - inside if parts == 1 else at - F.pmod(inside, F.lit(max(1, width // parts)))
+    return df.withColumns({"_chunk": at - inside, "_part": part})
 
 
-def _carry(body: DataFrame, keys: list[str], folds: dict[str, str]) -> DataFrame:
+def _carry(body: DataFrame, keys: list[str], folds: dict[str, str], chunk: Cut) -> DataFrame:
     """One row per (key, sub-chunk), placed just before it, holding all that came earlier."""
 
     def summed(df: DataFrame, *by: str) -> DataFrame:
         return df.groupBy(*keys, *by).agg(*[_FOLDS[kind](name).alias(name) for name, kind in folds.items()])
 
-    def inherited(df: DataFrame, order: str, *by: str) -> list[Column]:
+    def inherited(order: str, *by: str) -> list[Column]:
         earlier = Window.partitionBy(*keys, *by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
         picked = []
         for name, kind in folds.items():
@@ -59,11 +62,14 @@ def _carry(body: DataFrame, keys: list[str], folds: dict[str, str]) -> DataFrame
             picked.append((F.coalesce(value, F.lit(0)) if kind == "sum" else value).alias(name))
         return picked
 
+    if not isinstance(chunk, tuple):
+        return summed(body, "_chunk").select(
+            *keys, "_chunk", F.col("_chunk").alias("_part"), (F.col("_chunk") - 1).alias("_at"), *inherited("_chunk")
+        )
     parts = summed(body, "_chunk", "_part")
-    chunks = summed(parts, "_chunk")
-    before = chunks.select(*keys, "_chunk", (F.col("_chunk") - 1).alias("_part"), *inherited(chunks, "_chunk"))
+    before = summed(parts, "_chunk").select(*keys, "_chunk", (F.col("_chunk") - 1).alias("_part"), *inherited("_chunk"))
     whole = parts.unionByName(before)
-    carried = whole.select(*keys, "_chunk", "_part", (F.col("_part") - 1).alias("_at"), *inherited(whole, "_part", "_chunk"))
+    carried = whole.select(*keys, "_chunk", "_part", (F.col("_part") - 1).alias("_at"), *inherited("_part", "_chunk"))
     return carried.where(F.col("_part") >= F.col("_chunk"))
 
 
@@ -78,10 +84,10 @@ def by_density(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     """Let an operator on events of ``src_ip`` run over whole sources, but cut the sources with many rows.
 
     The operator has a parameter ``chunk``. Given, it holds for all sources; by default sources of more than ``hot_rows``
-    rows are cut by the minute and others not at all.
+    rows are cut (``HOT_CUT``) and others not at all.
     """
     @wraps(operator)
-    def run(events: DataFrame, *args, chunk: int | None = None, hot_rows: int = HOT_ROWS, **params) -> DataFrame:
+    def run(events: DataFrame, *args, chunk: Cut = None, hot_rows: int = HOT_ROWS, **params) -> DataFrame:
         if chunk is not None:
             return operator(events, *args, chunk=chunk, **params)
         hot = hot_keys(events, ["src_ip"], hot_rows)
@@ -89,7 +95,7 @@ def by_density(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
             return operator(events, *args, chunk=None, **params)
         same = events["src_ip"].eqNullSafe(hot["src_ip"])
         cold = operator(events.join(hot, same, "left_anti"), *args, chunk=None, **params)
-        return cold.unionByName(operator(events.join(hot, same, "left_semi"), *args, chunk=MINUTE_US, **params))
+        return cold.unionByName(operator(events.join(hot, same, "left_semi"), *args, chunk=HOT_CUT, **params))
 
     return run
 
@@ -104,7 +110,7 @@ def attach(
     maxs: dict[str, Column] | None = None,
     edges: Sequence[DataFrame] = (),
     tiebreak: str | None = None,
-    chunk: int | None = MINUTE_US,
+    chunk: Cut = MINUTE_US,
     base: DataFrame | None = None,
 ) -> DataFrame:
     """Add running totals up to and including each row.
@@ -151,7 +157,7 @@ def attach(
     others = [_place(all_of(added), chunk)] if added else []
     if chunk is not None:
         totalled = _place(all_of([(events if base is None else base).select(*own), *added]), chunk)
-        others.append(_carry(totalled, names, {f"_v_{n}": kind for n, kind in folds.items()}))
+        others.append(_carry(totalled, names, {f"_v_{n}": kind for n, kind in folds.items()}, chunk))
     blank = {"_row": F.lit(None).cast(row_type), "_tie": F.lit(0).cast("long")}
     whole = all_of([rows, *[other.withColumns(blank) for other in others]])
     frame = Window.partitionBy(*names, *(["_part"] if chunk is not None else []))
@@ -170,7 +176,7 @@ def attach(
 
 def crossings(
     edges: DataFrame, keys: Sequence[str], out_keys: Sequence[str], out: str,
-    limit: int = 1, chunk: int | None = MINUTE_US,
+    limit: int = 1, chunk: Cut = MINUTE_US,
 ) -> DataFrame:
     """Edges of "the running total of ``_d`` per ``keys`` is at least ``limit``".
 
@@ -179,7 +185,7 @@ def crossings(
     keys = list(keys)
     whole = _place(edges.select(*keys, "_at", "_d"), chunk)
     if chunk is not None:
-        whole = whole.unionByName(_carry(whole, keys, {"_d": "sum"})).drop("_chunk")
+        whole = whole.unionByName(_carry(whole, keys, {"_d": "sum"}, chunk)).drop("_chunk")
     by = keys + (["_part"] if chunk is not None else [])
     # One exchange serves both the merge of equal instants and the window.
     instants = whole.repartition(*by).groupBy(*by, "_at").agg(F.sum("_d").alias("_d"))
@@ -222,7 +228,7 @@ def leaving(
 
 def distinct_edges(
     events: DataFrame, keys: Sequence[str], item: str, at: str, width: int, out: str,
-    chunk: int | None = MINUTE_US,
+    chunk: Cut = MINUTE_US,
 ) -> DataFrame:
     """Edges of the number of distinct items seen in the last ``width`` per key."""
     seen = events.where(F.col(item).isNotNull())

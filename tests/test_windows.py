@@ -276,7 +276,7 @@ def test_a_flooding_minute_is_many_tasks(spark):
         F.col("id").alias("packet_id"), (F.col("id") * 60 + 7 * 60_000_000).alias("ts_us"), F.lit("a").alias("src_ip"),
         (F.col("id") % 7).cast("int").alias("dst_port"),
     )
-    placed = prefix._place(df.withColumn("_at", F.col("ts_us")), prefix.MINUTE_US)
+    placed = prefix._place(df.withColumn("_at", F.col("ts_us")), prefix.HOT_CUT)
     assert placed.groupBy("_part").count().agg(F.max("count")).head()[0] < n / 20
     found = behavior.flood(df, n=50_000, window_s=3, hot_rows=1000)
     assert found.where("recent_packets <> least(packet_id + 1, 50001)").count() == 0
