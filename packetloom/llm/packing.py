@@ -13,7 +13,7 @@ import os
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from itertools import chain
 
@@ -271,7 +271,7 @@ def _best(room: int, counts: np.ndarray, fits: np.ndarray, largest: int) -> tupl
 
 
 def completions(room: int, counts: np.ndarray, most: int = 4, wide: int = 48) -> list[tuple[int, ...]]:
-    """Some undominated fillings of ``room`` with the lengths at hand, least waste first.
+    """Some promising fillings of ``room`` with the lengths at hand, least waste first; ``undominated`` has all.
 
     The best-fit filling is the incumbent. For each length in the filling's first place the best
     partner is read from a table of what fits; where that wastes room, the ``wide`` longest
@@ -326,71 +326,153 @@ def completions(room: int, counts: np.ndarray, most: int = 4, wide: int = 48) ->
     return sorted(found, key=lambda f: (room - sum(f), len(f), f))[:most]
 
 
+def dominated(filling: tuple[int, ...], rest: int, after: np.ndarray) -> bool:
+    """Whether a length left over (``after``: counts) could take the place of one or two of the filling.
+
+    It is then at least as long as what it replaces, which fits wherever the length lies in any packing.
+    """
+    sizes = sorted(set(filling))
+    for k, size in enumerate(sizes):
+        if after[size + 1 : size + rest + 1].any():
+            return True
+        for other in sizes[k:]:
+            if (other != size or filling.count(size) > 1) and after[size + other : size + other + rest + 1].any():
+                return True
+    return False
+
+
+def undominated(room: int, counts: np.ndarray, left: list[int]) -> Iterator[tuple[int, ...]]:
+    """All fillings of ``room`` that take no further length and are not ``dominated``, longest lengths first.
+
+    Each leaf, given out or not, takes one from ``left``; at zero the enumeration ends.
+    """
+    after = counts.copy()
+    sizes = [int(s) for s in np.flatnonzero(counts[: room + 1])[::-1] if s]
+    chosen: list[int] = []
+
+    def fill(first: int, rest: int) -> Iterator[tuple[int, ...]]:
+        leaf = True
+        for k in range(first, len(sizes)):
+            size = sizes[k]
+            if size <= rest and after[size]:
+                leaf = False
+                chosen.append(size)
+                after[size] -= 1
+                yield from fill(k, rest - size)
+                after[size] += 1
+                chosen.pop()
+            if left[0] <= 0:
+                return
+        if leaf:
+            left[0] -= 1
+            if not after[1 : rest + 1].any() and not dominated(tuple(chosen), rest, after):
+                yield tuple(chosen)
+
+    yield from fill(0, room)
+
+
 def bound(counts: np.ndarray, capacity: int) -> int:
     """No packing has fewer sequences.
 
     For every cut-off k: lengths over capacity - k take a sequence each, so do those over
     half, and what lengths from k up do not find beside the latter needs room of its own.
     """
-    sizes = np.arange(len(counts))
-    number, volume = np.cumsum(counts), np.cumsum(sizes * counts)
-    best = -(-int(volume[-1]) // capacity)
-    half = capacity // 2
-    for k in range(1, half + 1):
-        huge = int(number[-1] - number[capacity - k])
-        large = int(number[capacity - k] - number[half])
-        room = large * capacity - int(volume[capacity - k] - volume[half])
-        over = int(volume[half] - volume[k - 1]) - room
-        best = max(best, huge + large + max(0, -(-over // capacity)))
-    return best
+    number, volume = np.cumsum(counts), np.cumsum(np.arange(len(counts)) * counts)
+    best, half = -(-int(volume[-1]) // capacity), capacity // 2
+    if not half:
+        return max(best, int(number[-1] - number[0]))
+    k = np.arange(1, half + 1)
+    huge, large = number[-1] - number[capacity - k], number[capacity - k] - number[half]
+    over = volume[half] - volume[k - 1] - (large * capacity - (volume[capacity - k] - volume[half]))
+    return max(best, int((huge + large + np.maximum(0, -(-over // capacity))).max()))
 
 
-def descend(counts: np.ndarray, capacity: int, allowed: int, deviate: int = 0) -> Plan | None:
-    """Fill around the longest piece left until none is left; None once waste exceeds ``allowed``.
+def ways(counts: np.ndarray, capacity: int, left: list[int]) -> Iterator[tuple[tuple[int, ...], int]]:
+    """Fillings around the longest length at hand and how often each is used: as often as lengths last, or once.
 
-    A filling is used as often as its lengths last. With ``deviate`` every so-many-th filling
-    takes the second-best completion once.
+    The promising ones of ``completions`` come first, then all others that are undominated.
     """
+    large = int(np.flatnonzero(counts)[-1])
+    counts = counts.copy()
+    counts[large] -= 1
+    first = completions(capacity - large, counts.copy())
+    seen = set(first)
+    for rest in chain(first, (f for f in undominated(capacity - large, counts, left) if f not in seen)):
+        filling = (large, *rest)
+        most = min(int(counts[s] + (s == large)) // n for s, n in Counter(filling).items())
+        yield filling, most
+        if most > 1:
+            yield filling, 1
+
+
+def greedy(counts: np.ndarray, capacity: int, fill: Callable[[int, np.ndarray], tuple[int, ...]]) -> Plan:
+    """The packing that fills around the longest length left with ``fill``, each time as often as lengths last."""
     counts = counts.copy()
     fillings: list[tuple[tuple[int, ...], int]] = []
-    wasted = 0
-    while True:
-        left = np.flatnonzero(counts)
-        if not len(left):
-            return Plan(fillings)
-        large = int(left[-1])
+    while counts.any():
+        large = int(np.flatnonzero(counts)[-1])
         counts[large] -= 1
-        ways = completions(capacity - large, counts.copy())
+        filling = (large, *fill(capacity - large, counts))
         counts[large] += 1
-        other = bool(deviate) and len(fillings) % deviate == deviate - 1 and len(ways) > 1
-        filling = (large, *ways[1 if other else 0])
         need = Counter(filling)
-        times = 1 if other else min(int(counts[s]) // n for s, n in need.items())
+        times = min(int(counts[s]) // n for s, n in need.items())
         for s, n in need.items():
             counts[s] -= n * times
-        wasted += (capacity - sum(filling)) * times
-        if wasted > allowed:
-            return None
         fillings.append((filling, times))
+    return Plan(fillings)
+
 
+def best_fit(room: int, counts: np.ndarray) -> tuple[int, ...]:
+    """Best fit for ``room`` from the lengths at hand."""
+    fits = np.maximum.accumulate(np.where(counts[: room + 1] > 0, np.arange(room + 1), 0))
+    return _best(room, counts, fits, room)
 
-def solve(counts: np.ndarray, capacity: int = CAPACITY, budget: int = 4) -> Plan:
-    """Limited-discrepancy descents over completions; the fewest sequences of at most 1 + ``budget`` descents.
 
-    ``counts[n]`` is the number of pieces of length n. The best completions are the first
-    incumbent, returned at once if it meets the lower bound. Otherwise up to ``budget`` descents
-    deviate at every 2nd, 3rd, ... filling, and end as soon as their waste rules out an improvement.
+def solve(counts: np.ndarray, capacity: int = CAPACITY, budget: int = 8_000) -> Plan:
+    """Branch and bound over fillings; ``counts[n]`` is the number of pieces of length n.
+
+    Best fit and the best completions are the first incumbents. Depth first, a node fills sequences
+    around the longest length left, in all undominated ways; a branch is pruned where its sequences and
+    the lower bound of what is left (by volume and by lengths that cannot share) do not beat the
+    incumbent. The search ends when the incumbent meets the lower bound, when nothing is left to try, or
+    after ``budget`` nodes and leaves; then the incumbent may be above the optimum by at most its
+    distance to ``bound``.
     """
     least = bound(counts, capacity)
-    total = int((np.arange(len(counts)) * counts).sum())
-    incumbent = descend(counts, capacity, total + capacity * int(counts.sum()))
-    for deviate in range(2, budget + 2):
-        if incumbent.sequences <= least:
-            break
-        trial = descend(counts, capacity, (incumbent.sequences - 1) * capacity - total, deviate)
-        if trial is not None and trial.sequences < incumbent.sequences:
-            incumbent = trial
-    return incumbent
+    best = min(
+        (greedy(counts, capacity, fill) for fill in (best_fit, lambda room, held: completions(room, held.copy())[0])),
+        key=lambda plan: plan.sequences,
+    )
+    counts, left, used = counts.copy(), [budget], 0
+    path: list[tuple[tuple[int, ...], int]] = []
+
+    def take(filling: tuple[int, ...], times: int) -> None:
+        for s in filling:
+            counts[s] -= times
+
+    nodes = [ways(counts, capacity, left)] if counts.any() else []
+    while nodes and left[0] > 0 and best.sequences > least:
+        step = next(nodes[-1], None)
+        if step is None:
+            nodes.pop()
+            if path:
+                filling, times = path.pop()
+                take(filling, -times)
+                used -= times
+            continue
+        filling, times = step
+        left[0] -= 1
+        take(filling, times)
+        if used + times + bound(counts, capacity) >= best.sequences:
+            take(filling, -times)
+        elif not counts.any():
+            best = Plan([*path, step])
+            take(filling, -times)
+        else:
+            path.append(step)
+            used += times
+            nodes.append(ways(counts, capacity, left))
+    return best
 
 
 def places(plan: Plan) -> tuple[np.ndarray, ...]:
@@ -430,7 +512,7 @@ def ranked(found: DataFrame, salts: int) -> DataFrame:
     )
 
 
-def pack(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY, budget: int = 4) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY, budget: int = 8_000) -> DataFrame:
     """The pieces of all rows with sequence_id and offset.
 
     Repeated rows are pieces of their own; a null doc_id stays null; an empty table packs

@@ -295,6 +295,62 @@ def test_completions_are_exact_on_small_rooms():
     assert packing.solve(counts, 10).sequences == packing.bound(counts, 10) == 6
 
 
+def fewest(sizes: list[int], capacity: int) -> int:
+    """The optimum, over all subsets: fewest sequences, then least fill of the last one."""
+    best = [(1, 0)] * (1 << len(sizes))
+    for mask in range(1, len(best)):
+        tries = []
+        for k, size in enumerate(sizes):
+            if mask >> k & 1:
+                n, fill = best[mask ^ 1 << k]
+                tries.append((n, fill + size) if fill + size <= capacity else (n + 1, size))
+        best[mask] = min(tries)
+    return best[-1][0]
+
+
+def test_branch_and_bound_is_exact_on_small_tables():
+    rng, above = random.Random(3), 0
+    for turn in range(240):
+        capacity = rng.choice([20, 37, 60, 100])
+        low, high = [(1, 2 * capacity // 3), (capacity // 5, 2 * capacity // 3), (capacity // 4, capacity // 2)][turn % 3]
+        sizes = [rng.randint(low, high) for _ in range(rng.randint(1, 11))]
+        counts = np.bincount(sizes, minlength=capacity + 1)
+        plan = packing.solve(counts.copy(), capacity)
+        assert all(sum(filling) <= capacity for filling, _ in plan.fillings)
+        used = Counter()
+        for filling, times in plan.fillings:
+            used.update({size: n * times for size, n in Counter(filling).items()})
+        assert used == Counter(sizes)
+        assert plan.sequences == fewest(sizes, capacity)
+        above += plan.sequences > packing.bound(counts, capacity)
+    assert above
+    assert packing.solve(np.zeros(11, np.int64), 10).sequences == 0
+
+
+def test_undominated_fillings():
+    counts = np.bincount([7, 5, 4, 3, 2, 2], minlength=11)
+    found = set(packing.undominated(9, counts, [1000]))
+    assert found == {(7, 2), (5, 4)}
+    assert packing.dominated((4, 3, 2), 0, np.bincount([7], minlength=11))
+    assert not packing.dominated((7, 2), 0, np.bincount([5, 4], minlength=11))
+
+
+def test_long_sets_are_compared_as_pairs(spark, monkeypatch):
+    """Whatever the size from which sets are compared as pairs, the components are the same."""
+    words, rng = prose(4, 200).split(), random.Random(2)
+    rows = []
+    for k in range(40):
+        changed = list(words)
+        for _ in range(k % 12):
+            changed[rng.randrange(200)] = f"w{rng.randrange(10**6)}"
+        rows.append((k, " ".join(changed)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = classes(rows)
+    for long in (1, 190, 10**6):
+        monkeypatch.setattr(forest, "LONG", long)
+        assert {r["doc_id"]: r["component_id"] for r in forest.near_duplicates(df, nearest=1).collect()} == want
+
+
 PAGE = """<html><head><title>No</title><script>var a="<p>no</p>";</script></head><body class="home"><header>no</header>
 <nav><a href="/">no</a></nav><div class="cookie-notice">no</div><div id="sidebar">no<p>no</p></div>
 <div class="post p12"><h1>Title &amp; more</h1><p>First   part<br>goes on<p>Second<b> bold</b> one</p><form>no</form>
