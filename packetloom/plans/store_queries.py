@@ -1,4 +1,4 @@
-"""Registered queries: stored verdicts read through an index and through kept aggregates."""
+"""Registered queries: stored verdicts read through indexes, kept aggregates and a kept cache."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from packetloom.plans.adapters import adapt, table
 from packetloom.plans.log_queries import _IN_RANGE, _LABEL, _SERIES, DAY_S, END, NOW, START, _counts, _logs
 from packetloom.plans.registry import query
 from packetloom.session import shared_dir
-from packetloom.sources import search_index, tables, training
+from packetloom.sources import page_index, recent, search_index, tables, training
 
 
 def _base(spark) -> str:
@@ -65,6 +65,34 @@ def a5_rollup_counters(spark, sf_dir):
     return rollups.counters(spark, base)
 
 
+@query("q24_deep_page", ("logs",), """
+SELECT id, src_ip, url FROM logs ORDER BY src_ip, id DESC OFFSET 900 LIMIT 50
+""")
+def q24_deep_page(spark, sf_dir):
+    """A page far behind, from the one or two ranges of the sort order that hold it."""
+    base = _base(spark)
+    page_index.build(_logs(spark, sf_dir), base, "src_ip", "asc", range_rows=300)
+    return page_index.page(spark, base, 19, 50).select("id", "src_ip", "url")
+
+
+@query("q3_deep_page", ("logs",), """
+SELECT id, ts_sec, src_ip FROM logs ORDER BY ts_sec DESC, id DESC OFFSET 800 LIMIT 100
+""")
+def q3_deep_page(spark, sf_dir):
+    base = _base(spark)
+    page_index.build(_logs(spark, sf_dir), base, "ts_sec", "desc", range_rows=300)
+    return page_index.page(spark, base, 9, 100).select("id", "ts_sec", "src_ip")
+
+
+@query("s13_kept_cache", ("logs",), "SELECT id, src_ip FROM logs ORDER BY ts_sec DESC, id DESC LIMIT 500")
+def s13_kept_cache(spark, sf_dir):
+    """The newest rows kept up over three batches that each hold rows of all times."""
+    base, rows = _base(spark), _logs(spark, sf_dir)
+    for batch in range(3):
+        recent.add_batch(rows.where(F.col("id") * 7919 % 3 == batch), base, batch, limit=500)
+    return recent.read(spark, base).select("id", "src_ip")
+
+
 @query("a10_purge_batches", ("logs",), f"""
 SELECT id, ts_sec, src_ip FROM logs WHERE ts_sec >= {NOW - 15.5 * DAY_S}
 """)
