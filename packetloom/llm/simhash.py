@@ -124,7 +124,9 @@ def buckets(prints: DataFrame, radius: int, tile: int = TILE, tiles: int = TILES
 def planes(values: np.ndarray) -> np.ndarray:
     """Bit planes of 64 values a word: row b, word w, bit k is bit b of value 64 * w + k."""
     bits = np.unpackbits(values.astype("<u8").view(np.uint8), bitorder="little").reshape(-1, BITS, BITS)
-    return np.packbits(bits.transpose(2, 0, 1), axis=-1, bitorder="little").view("<u8").reshape(BITS, -1)
+    packed = np.packbits(bits.transpose(2, 0, 1), axis=-1, bitorder="little")
+    # One word alone keeps the order of the transposed view, whose last axis is not contiguous.
+    return np.ascontiguousarray(packed).view("<u8").reshape(BITS, -1)
 
 
 def _add(total: np.ndarray, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -111,6 +111,14 @@ def test_bit_sliced_pairs(radius):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+@pytest.mark.parametrize("n", [2, 64, 65])
+def test_one_small_region_alone(n):
+    """A task may get a single region of at most one word of 64 values."""
+    values = np.arange(n, dtype=np.uint64)
+    got = {p for i, j in simhash.near_pairs(values, np.array([n]), 2) for p in zip(i.tolist(), j.tolist(), strict=True)}
+    assert got == {(i, j) for i in range(n) for j in range(i + 1, n) if (i ^ j).bit_count() <= 2}
+
+
 def test_full_buckets_lose_no_pair(spark):
     """One tight cluster far beyond the tile: cut by further bits and compared in tiles."""
     rng = random.Random(4)
