@@ -9,8 +9,11 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
 from urllib.parse import unquote
 
+import numpy as np
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +22,8 @@ from packetloom.operators import logs
 
 #: Folders that the postings are dealt to by trigram.
 BUCKETS = 64
+#: Trigrams that a task holds before it sends them on; those it meets again are sent again.
+HELD = 1_000_000
 
 
 def _name(path: Column) -> Column:
@@ -40,12 +45,55 @@ def _read(spark: SparkSession, table: str, files: list[str]) -> DataFrame:
     return spark.read.schema(whole.schema).option("basePath", table).parquet(*files)
 
 
-def _trigrams(text: Column) -> Column:
-    letters = F.split(text, "")
-    places = F.sequence(F.lit(0), F.length(text) - 3)
-    return F.when(F.length(text) >= 3, F.array_distinct(F.transform(
-        places, lambda i: F.concat(F.get(letters, i), F.get(letters, i + 1), F.get(letters, i + 2))
-    )))
+def _codes(held: list[str]) -> np.ndarray:
+    """The distinct trigrams of the texts, three code points of 21 bits in a number each."""
+    points = np.frombuffer("".join(held).encode("utf-32-le"), "<u4").astype(np.int64)
+    if len(points) < 3:
+        return np.zeros(0, np.int64)
+    codes = points[:-2] << 42 | points[1:-1] << 21 | points[2:]
+    inside, ends = np.ones(len(codes), bool), np.cumsum([len(t) for t in held])
+    for back in (1, 2):
+        cut = ends - back
+        inside[cut[(cut >= 0) & (cut < len(codes))]] = False
+    codes = np.sort(codes[inside])
+    return codes[np.diff(codes, prepend=-1) != 0]
+
+
+def _texts(codes: np.ndarray) -> list[str]:
+    low = np.int64(0x1FFFFF)
+    whole = np.column_stack([codes >> 42, codes >> 21 & low, codes & low]).astype("<u4").tobytes().decode("utf-32-le")
+    return [whole[k : k + 3] for k in range(0, len(whole), 3)]
+
+
+def _trigrams(rows: DataFrame) -> DataFrame:
+    """file and gram: the distinct trigrams of the rows (file, text).
+
+    Rows are dealt out by their texts, as files differ in size; a task sends a trigram of a file about once.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[str, np.ndarray] = {}
+
+        def grams() -> Iterator[pa.RecordBatch]:
+            for name, codes in seen.items():
+                found = _texts(codes)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([name] * len(found), pa.string()), pa.array(found, pa.string())], names=["file", "gram"]
+                )
+            seen.clear()
+
+        for batch in batches:
+            texts: dict[str, list[str]] = {}
+            for name, text in zip(batch.column("file").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                texts.setdefault(name, []).append(text)
+            for name, held in texts.items():
+                codes = _codes(held)
+                seen[name] = np.union1d(seen[name], codes) if name in seen else codes
+            if sum(map(len, seen.values())) > HELD:
+                yield from grams()
+        yield from grams()
+
+    return rows.repartition("file", "text").mapInArrow(run, "file string, gram string").distinct()
 
 
 def _bucket(gram: Column) -> Column:
@@ -71,7 +119,7 @@ def add_files(spark: SparkSession, table: str, index: str) -> int:
     rows = _read(spark, table, fresh)
     whole = F.lower(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}))
     postings = (
-        rows.select(_name(F.input_file_name()).alias("file"), F.explode(_trigrams(whole)).alias("gram")).distinct()
+        _trigrams(rows.select(_name(F.input_file_name()).alias("file"), whole.alias("text")))
         .withColumn("bucket", _bucket(F.col("gram")))
     )
     postings.repartition("bucket").sortWithinPartitions("bucket", "gram").write.mode("append").partitionBy(

@@ -86,3 +86,18 @@ def test_ranges_are_covered_once():
         assert all(low % rollups.LEVELS[level] == high % rollups.LEVELS[level] == 0 for level, low, high in ranges)
         edges = sorted((low, high) for _, low, high in ranges)
         assert all(a[1] == b[0] for a, b in zip(edges, edges[1:], strict=False))
+
+
+def test_trigrams_of_uneven_files(spark, monkeypatch):
+    """All trigrams of each file and none across two texts; one file with most rows is dealt over several tasks."""
+    rng = random.Random(8)
+    rows = [("big", "".join(rng.choice("abé\U0001f600\"\0") for _ in range(rng.randrange(12)))) for _ in range(900)]
+    rows += [("one", "xyz"), ("two", "x"), ("two", "yz"), ("two", ""), ("none", "ab")]
+    want = {(f, t[k : k + 3]) for f, t in rows for k in range(len(t) - 2)}
+    dealt = spark.createDataFrame(rows, "file string, text string").coalesce(1)
+    got = [(r.file, r.gram) for r in search_index._trigrams(dealt).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    plan = search_index._trigrams(dealt)._jdf.queryExecution().toString()
+    assert "explode" not in plan and "hashpartitioning(file" in plan
+    monkeypatch.setattr(search_index, "HELD", 5)
+    assert {(r.file, r.gram) for r in search_index._trigrams(dealt).collect()} == want
