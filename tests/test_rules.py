@@ -148,6 +148,17 @@ def test_hidden_signatures(spark):
     assert got[3] == ["SQLi"] and got[4] == ["XSS"] and got[5] == got[6] == got[7] == []
 
 
+def test_words_are_not_unpacked(spark):
+    """Letters and blanks are letters of base64 too; as bytes they are no text, and their rest held a '#'."""
+    words = "Nmrni Ktacp Fnfsr Yrufin Jlxom Mjhlss"
+    texts = [words, base64.b64encode(words.encode()).decode(), base64.b64encode("é #".encode() * 9).decode()]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, p string")
+    forms = {r.i: r._forms for r in content.with_variants(df, "p").collect()}
+    assert forms[0] == [words] and forms[1] == [texts[1], words] and "é #" * 9 in forms[2]
+    got = {r.i: r.findings for r in content.scan(df, "p").collect()}
+    assert got == {0: [], 1: [], 2: ["SQLi"]}
+
+
 def test_each_pattern_alone(spark):
     """Substring tests and guards find what the bare regular expression finds."""
     import re
