@@ -133,6 +133,7 @@ SELECT payload_id, CASE WHEN length(payload) >= 24 OR contains(payload, '=') OR
   THEN {_union(_found('payload', 'http_'), _found('plain', 'http_'))} ELSE '' END AS content_reasons FROM p
 """)
 def c6_content_reasons(spark, sf_dir):
+    """Reasons in their own order, in which scanning comes before sqli."""
     return content.content_reasons(_previews(spark, sf_dir)).select(
-        "payload_id", F.array_join("content_reasons", ",").alias("content_reasons")
+        "payload_id", F.array_join(F.array_sort("content_reasons"), ",").alias("content_reasons")
     )

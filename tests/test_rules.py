@@ -396,3 +396,15 @@ def test_scored_packets_feed_the_sinks(spark, tmp_path):
         assert (r.classification, r.risk_score, r.anomaly_score) == (want[i].classification, want[i].risk_score, want[i].anomaly_strength)
     assert {r.id: r.features for r in history.collect()} == {i: r.features for i, r in want.items()}
     assert sorted((r.created_at, r.label) for r in taught.collect()) == sorted((r.ts_us / 1e6, r.classification) for r in want.values())
+
+
+def test_reasons_of_c6_in_their_own_order(spark, tmp_path):
+    """http_scanning comes before http_sqli, as the SQL sorts them, though SQLi comes before Scanning."""
+    from packetloom.plans import registry
+
+    registry.load()
+    spark.createDataFrame([(10, "nmap and union select a, masscan")], "doc_id bigint, text string").write.parquet(
+        str(tmp_path / "documents.parquet")
+    )
+    got = registry.QUERIES["c6_content_reasons"](spark, str(tmp_path)).collect()
+    assert [r.content_reasons for r in got] == ["http_scanning,http_sqli"]
