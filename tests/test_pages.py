@@ -78,3 +78,18 @@ def test_newest_rows_of_a_stream(spark, tmp_path):
     assert run.awaitTermination(120) and run.exception() is None
     assert len(recent.versions(spark, path)) == 3
     assert logs.newest(recent.read(spark, path), 50).collect() == logs.newest(rows, 50).collect()
+
+
+def test_many_ranges_few_files(spark, tmp_path):
+    """Ranges are places in files: a hundred ranges are no hundred tasks and folders."""
+    rows, path = rows_of(spark), str(tmp_path / "pages")
+    page_index.build(rows, path, "ts_sec", "desc", range_rows=20)
+    every = spark.read.parquet(f"{path}/sizes").orderBy("before").collect()
+    assert len(every) >= 100 and max(r.n for r in every) <= 20 and sum(r.n for r in every) == 2_000
+    assert [r.before for r in every] == [sum(r.n for r in every[:k]) for k in range(len(every))]
+    assert len(spark.read.parquet(f"{path}/rows").inputFiles()) <= 8
+    for number, size in ((1, 25), (41, 25), (3, 500), (81, 25)):
+        want = logs.offset_page(rows, sort="ts_sec", order="desc", page=number, page_size=size)
+        assert page_index.page(spark, path, number, size).collect() == want.collect()
+    with pytest.raises(ValueError):
+        page_index.build(rows.withColumn(page_index.PLACE, F.lit(1)), str(tmp_path / "clash"))
