@@ -408,3 +408,15 @@ def test_reasons_of_c6_in_their_own_order(spark, tmp_path):
     )
     got = registry.QUERIES["c6_content_reasons"](spark, str(tmp_path)).collect()
     assert [r.content_reasons for r in got] == ["http_scanning,http_sqli"]
+
+
+def test_preview_reads_its_rows_once(spark, tmp_path):
+    made = [("attack", [1.0] * 3, False)] * 3 + [("benign", None, True), ("benign", [1.0] * 3, False), ("odd", None, True)]
+    path = str(tmp_path / "rows")
+    spark.createDataFrame(made, "label string, features array<double>, skipped boolean").write.parquet(path)
+    seen = ml.preview(spark.read.parquet(path), dim=3, min_samples=4)
+    want = [("attack", 3, 3, 2, True), ("benign", 1, 3, 2, True)]
+    assert sorted(tuple(r) for r in seen.select("label", "samples", "feature_dim", "skipped_rows", "ready").collect()) == want
+    assert seen._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 1
+    assert not ml.preview(spark.read.parquet(path), dim=3, min_samples=5).head().ready
+    assert ml.preview(spark.read.parquet(path).where("skipped"), dim=3).collect() == []
