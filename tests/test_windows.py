@@ -281,3 +281,20 @@ def test_a_flooding_minute_is_many_tasks(spark):
     found = behavior.flood(df, n=50_000, window_s=3, hot_rows=1000)
     assert found.where("recent_packets <> least(packet_id + 1, 50001)").count() == 0
     assert found.where("is_flood").count() == n - 50_000
+
+
+def test_whole_sources_are_dealt_by_their_rows(spark, monkeypatch):
+    """The number of tasks follows the rows, not the session, and the rows are those of one task a source."""
+    made = [(i, 1_700_000_000 * S + i * 300_000 * (i % 3), f"s{i % 40}", i % 23) for i in range(3_000)]
+    df = spark.createDataFrame(made, "packet_id long, ts_us long, src_ip string, dst_port int")
+    operators = {
+        "detect": lambda: behavior.detect(df, 5, 30, 4, 60), "history": lambda: behavior.detect(df, 5, 30, 4, 60, history=6),
+        "flood": lambda: behavior.flood(df, 5, 30), "port_scan": lambda: behavior.port_scan(df, 4, 30),
+    }
+    before = {name: sorted(make().collect(), key=str) for name, make in operators.items()}
+    monkeypatch.setattr(prefix, "TASK_ROWS", 100)
+    assert prefix.hot_keys(df, ["src_ip"]) == (None, prefix.Whole(30))
+    for name, make in operators.items():
+        got = make()
+        assert "REPARTITION_BY_NUM" in got._jdf.queryExecution().executedPlan().toString()
+        assert sorted(got.collect(), key=str) == before[name]
