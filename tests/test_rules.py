@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from packetloom import session
 from packetloom.functions import net, risk, signatures, text, times
 from packetloom.functions.signatures import finder, plan_tests
 from packetloom.operators import content, intel, ml, scoring, zeek
@@ -420,3 +421,17 @@ def test_preview_reads_its_rows_once(spark, tmp_path):
     assert seen._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 1
     assert not ml.preview(spark.read.parquet(path), dim=3, min_samples=5).head().ready
     assert ml.preview(spark.read.parquet(path).where("skipped"), dim=3).collect() == []
+
+
+def test_entropy_of_large_payloads_in_small_batches(spark):
+    """Batches are bounded in bytes, pieces of a payload are counted together."""
+    session.configure(spark)
+    rows = spark.range(60, numPartitions=1).select(F.expr("repeat(char(65 + id % 3), 1500000)").cast("binary").alias("p"))
+
+    @F.pandas_udf("long")
+    def together(part):
+        return part.map(len) * 0 + int(part.map(len).sum())
+
+    assert rows.select(together("p").alias("n")).agg(F.max("n")).head()[0] <= 20_000_000
+    mixed = spark.sql("SELECT cast(concat(repeat('a', 1500000), repeat('b', 1500000)) AS binary) AS p UNION ALL SELECT cast('' AS binary)")
+    assert sorted(r.e for r in mixed.select(text.byte_entropy("p").alias("e")).collect()) == [0.0, 1.0]
