@@ -435,3 +435,12 @@ def test_entropy_of_large_payloads_in_small_batches(spark):
     assert rows.select(together("p").alias("n")).agg(F.max("n")).head()[0] <= 20_000_000
     mixed = spark.sql("SELECT cast(concat(repeat('a', 1500000), repeat('b', 1500000)) AS binary) AS p UNION ALL SELECT cast('' AS binary)")
     assert sorted(r.e for r in mixed.select(text.byte_entropy("p").alias("e")).collect()) == [0.0, 1.0]
+
+
+def test_isolation_samples_rows_that_a_split_left(spark):
+    """Few of many rows are sampled; a split by a hash of the same ids must not have taken just these."""
+    rows = spark.range(3000).selectExpr("id", "0 AS label", "array(cast(id % 17 AS double), cast(id % 5 AS double)) AS features")
+    train = ml.split(rows, "id").where("NOT is_test")
+    model = fit_isolation(train, "id", trees=20, tree_rows=8)
+    assert model.nodes["tree"].nunique() == 20
+    assert model.offset < 0
