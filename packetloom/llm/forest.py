@@ -205,14 +205,47 @@ def _distances(
     return away
 
 
-def _search(ordered: DataFrame, percent: int, emit: Callable, schema: str | StructType) -> DataFrame:
-    """What ``emit(rows, distances)`` makes of each small region that holds several components."""
+#: What to compare: rows, and the bounds of parts of them in which each row meets each other.
+Parts = Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[pa.RecordBatch, Iterator[tuple[int, int]]]]]
+
+
+def _within(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Iterator[tuple[int, int]]]]:
+    for keys, rows in _regions(batches):
+        yield rows, _small(keys)
+
+
+def _by_pair(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Iterator[tuple[int, int]]]]:
+    """Consecutive rows of one pair of blocks each."""
+    held: list[pa.RecordBatch] = []
+
+    def edges(pair: np.ndarray) -> list[int]:
+        return [0, *(np.flatnonzero(pair[1:] != pair[:-1]) + 1).tolist(), len(pair)]
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        if held[0].column("pair")[0] == batch.column("pair")[-1]:
+            continue
+        rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        at = edges(rows.column("pair").to_numpy())[:-1]
+        yield rows, zip(at, at[1:], strict=False)
+        held = [rows.slice(at[-1])]
+    if held:
+        rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        yield rows, iter([(0, rows.num_rows)])
+
+
+def _search(
+    ordered: DataFrame, percent: int, emit: Callable, schema: str | StructType, parts: Parts = _within
+) -> DataFrame:
+    """What ``emit(rows, distances)`` makes of each part, a small region at first, that holds several components."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, rows in _regions(batches):
+        for rows, bounds in parts(batches):
             marks, group = _sketches(rows), rows.column("component").to_numpy()
             size = rows.column("n_shingles").to_numpy()
-            for begin, end in _small(keys):
+            for begin, end in bounds:
                 if (group[begin:end] == group[begin]).all():
                     continue
                 part = rows.slice(begin, end - begin)
@@ -224,7 +257,7 @@ def _search(ordered: DataFrame, percent: int, emit: Callable, schema: str | Stru
     return ordered.mapInArrow(run, schema)
 
 
-def with_candidates(ordered: DataFrame, percent: int = 75, over: int = 0) -> DataFrame:
+def with_candidates(ordered: DataFrame, percent: int = 75, over: int = 0, parts: Parts = _within) -> DataFrame:
     """The rows of sets with more than ``over`` candidates of other components in their region of the tree.
 
     Components only grow and fewer rows make regions only wider, so later rounds need no other rows.
@@ -233,10 +266,12 @@ def with_candidates(ordered: DataFrame, percent: int = 75, over: int = 0) -> Dat
     def emit(rows: pa.RecordBatch, away: np.ndarray) -> pa.RecordBatch:
         return rows.filter(pa.array((away < FAR).sum(axis=1) > over))
 
-    return _search(ordered, percent, emit, ordered.schema)
+    return _search(ordered, percent, emit, ordered.schema, parts)
 
 
-def across(ordered: DataFrame, nearest: int | None, percent: int = 75, over: int = 0) -> DataFrame:
+def across(
+    ordered: DataFrame, nearest: int | None, percent: int = 75, over: int = 0, parts: Parts = _within
+) -> DataFrame:
     """Candidate pairs (a, b) between the components x and y, from the small regions of all trees.
 
     Each set with its ``nearest`` ones (None: all); only pairs with a set of more than ``over`` shingles.
@@ -259,7 +294,7 @@ def across(ordered: DataFrame, nearest: int | None, percent: int = 75, over: int
             [pa.array(x, pa.int64()) for x in (node[i], node[j], group[i], group[j])], names=["a", "b", "x", "y"],
         )
 
-    return _search(ordered, percent, emit, "a bigint, b bigint, x bigint, y bigint").distinct()
+    return _search(ordered, percent, emit, "a bigint, b bigint, x bigint, y bigint", parts).distinct()
 
 
 def shingle_sets(docs: DataFrame, nodes: DataFrame, words: int = 5) -> DataFrame:
@@ -279,7 +314,7 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, words: int = 5) -> DataFrame
     return wanted.mapInArrow(run, "set_key binary, shingles binary").dropDuplicates(["set_key"])
 
 
-def regional_links(ordered: DataFrame, percent: int = 75) -> DataFrame:
+def regional_links(ordered: DataFrame, percent: int = 75, parts: Parts = _within) -> DataFrame:
     """Links (x, y) between components, from full sets compared within the regions that hold them.
 
     All candidates of a region are tried, the nearest first, unless earlier links of the region joined
@@ -311,7 +346,81 @@ def regional_links(ordered: DataFrame, percent: int = 75) -> DataFrame:
             [pa.array([link[k] for link in links], pa.int64()) for k in (0, 1)], names=["x", "y"]
         )
 
-    return _search(ordered, percent, emit, "x bigint, y bigint").distinct()
+    return _search(ordered, percent, emit, "x bigint, y bigint", parts).distinct()
+
+
+def large_regions(nodes: DataFrame) -> DataFrame:
+    """Trees and first values that more than REGION sets share; deeper values or slices keep some of these sets apart."""
+    first = _of_trees(nodes.select("node", "labels"), TREES).select("tree", F.substring("label", 1, 4).alias("value"))
+    return stage(first.groupBy("tree", "value").agg(F.count("*").alias("n")).where(F.col("n") > REGION).select("tree", "value"))
+
+
+def block_pairs(nodes: DataFrame, found: DataFrame, regions: DataFrame, percent: int = 75) -> DataFrame:
+    """pair, node and component: the sets of ``regions`` in pairs of blocks, so that all that can link meet.
+
+    Blocks hold about REGION sets of a region, of one class of sizes, and those of a component with more
+    sets than that apart; blocks of classes too far apart and blocks of one component are not paired.
+    """
+    step = max(float(np.log(100 / percent)), 0.01) * 1.0001
+    first = _of_trees(nodes.select("node", "labels", "n_shingles"), TREES).select(
+        "tree", F.substring("label", 1, 4).alias("value"), "node", F.floor(F.log("n_shingles") / step).alias("class")
+    )
+    members = (
+        first.join(regions, ["tree", "value"]).join(found, "node", "left")
+        .withColumn("component", F.coalesce("component", "node"))
+    )
+    members = stage(members)
+    large = (
+        members.groupBy("tree", "value", "component").agg(F.count("*").alias("n"))
+        .where(F.col("n") > REGION).drop("n").withColumn("large", F.lit(True))
+    )
+    cell = ["tree", "value", "class", "large", "one"]
+    members = stage(
+        members.join(large, ["tree", "value", "component"], "left").withColumn("large", F.coalesce("large", F.lit(False)))
+        .withColumn("one", F.when(F.col("large"), F.col("component")).otherwise(0))
+    )
+    cells = stage(members.groupBy(*cell).agg(F.ceil(F.count("*") / REGION).alias("blocks")))
+    blocks = stage(
+        cells.withColumn("k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+        .withColumn("block", F.xxhash64(*cell, "k"))
+    )
+    other = blocks.select(
+        "tree", "value", F.explode(F.array("class", F.col("class") - 1)).alias("class"), F.col("class").alias("class2"),
+        F.col("large").alias("large2"), F.col("one").alias("one2"), F.col("block").alias("block2"),
+    )
+    pairs = (
+        blocks.join(other, ["tree", "value", "class"])
+        .where((F.col("class") != F.col("class2")) | (F.col("block") <= F.col("block2")))
+        .where(~(F.col("large") & F.col("large2") & (F.col("one") == F.col("one2"))))
+        .select(F.xxhash64("block", "block2").alias("pair"),
+                F.explode(F.array_distinct(F.array("block", "block2"))).alias("block"))
+    )
+    placed = members.join(cells, cell).select(
+        "node", "component", F.xxhash64(*cell, F.pmod(F.xxhash64("node"), F.col("blocks"))).alias("block")
+    )
+    return placed.join(pairs, "block").select("pair", "node", "component")
+
+
+def links_in_large(docs: DataFrame, nodes: DataFrame, found: DataFrame, percent: int = 75, words: int = 5) -> DataFrame | None:
+    """Links (x, y) between components from all sets of the large regions, block against block; None without such regions.
+
+    A task holds two blocks. Only sets with a candidate there are brought in full.
+    """
+    regions = large_regions(nodes)
+    if regions.isEmpty():
+        return None
+
+    def together(rows: DataFrame) -> DataFrame:
+        return rows.repartition("pair").sortWithinPartitions("pair")
+
+    about = nodes.select("node", "n_shingles", "sketch", "bins", "set_key")
+    placed = block_pairs(nodes, found, regions, percent).join(about, "node")
+    near = stage(with_candidates(together(placed), percent, parts=_by_pair))
+    sets = shingle_sets(docs, near.where(F.col("n_shingles") <= LONG), words)
+    links = regional_links(together(near.join(sets, "set_key")), percent, _by_pair)
+    long = near.where(100 * F.col("n_shingles") >= percent * LONG)
+    pairs = stage(across(together(long), None, percent, LONG, _by_pair))
+    return stage(links.unionByName(confirm(pairs, docs, percent, words).select("x", "y")))
 
 
 def merged(found: DataFrame, links: DataFrame) -> DataFrame:
@@ -368,7 +477,8 @@ def near_duplicates(
     its ``nearest`` ones in other components are confirmed; components grow, and the search is repeated
     until it links nothing more. Pairs refused so far would stand before others, so at last the sets
     that have still more candidates are brought to their regions in full and all these candidates are tried
-    there; those with a set of more than ``LONG`` shingles are confirmed as pairs, for memory.
+    there; those with a set of more than ``LONG`` shingles are confirmed as pairs, for memory. Sets that share
+    a first value with more than ``REGION`` others met only some of them; they meet all in pairs of blocks.
     A text without words (or null) has no shingle and no link; a row with a null id is linked
     with nothing, has component null and is kept; rows that repeat an id count as one document.
     Other columns are not read.
@@ -405,6 +515,9 @@ def near_duplicates(
     last = stage(links.unionByName(confirmed))
     if not last.isEmpty():
         found = merged(found, last)
+    beyond = links_in_large(docs, nodes, found, percent, words)
+    if beyond is not None and not beyond.isEmpty():
+        found = merged(found, beyond)
     named = (
         nodes.select("set_key", "node").join(found, "node", "left")
         .select("set_key", F.coalesce("component", "node").alias("component"))

@@ -93,6 +93,20 @@ def test_near_duplicates_by_brute_force(spark):
     assert all(found[i]["n_shingles"] == len(shingles(t)) and found[i]["kept"] == (want[i] == i) for i, t in rows)
 
 
+def test_near_duplicates_of_large_regions(spark, monkeypatch):
+    """Partners among many sets that share most shingles with all: in slices of their regions they would not meet."""
+    monkeypatch.setattr(forest, "REGION", 4)
+    rng, shared, rows = random.Random(11), [f"w{k}" for k in range(184)], []
+    places = rng.sample(range(1000), 160)
+    for k in range(160):
+        own = [f"o{k}x{j}" for j in range(rng.randrange(24, 29))]
+        rows.append((places[k], " ".join([*shared, *[f"p{k // 2}x{j}" for j in range(10)], *own])))
+    want = classes(rows)
+    assert sum(v < k for k, v in want.items()) == 80
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r["doc_id"]: r["component_id"] for r in forest.near_duplicates(df, nearest=1).collect()} == want
+
+
 def test_large_region_of_copies(spark):
     """More near copies of one text than a region holds are still one class."""
     words, rng = prose(3, 100).split(), random.Random(1)
