@@ -9,15 +9,15 @@ own windows over the whole table and Spark adds them up. Texts are scored in ove
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from packetloom.llm.common import Shared, bounded_sample, fold, sliced, stage, stage_by, texts
@@ -28,6 +28,10 @@ END = " end"
 _SPREAD = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
 #: Chunks of text whose ids a task remembers.
 CHUNKS = 200_000
+#: Slices of the texts, each a step of a pass.
+SLICES = 16
+#: Windows whose gradients are taken at once; what they need stays in a core's cache.
+BLOCK = 63
 LN10 = float(np.log(10))
 
 
@@ -40,33 +44,36 @@ def word_hash(word: str) -> int:
     return xxhash.xxh3_64_intdigest(word.encode()) >> 1
 
 
-def word_counts(docs: DataFrame, flush: int = 300_000) -> DataFrame:
+def word_counts(docs: DataFrame, flush: int = 2_000_000) -> DataFrame:
     """(hash, word, n) over all texts, the end of each counted as a token.
 
-    Tasks count up to ``flush`` different words at a time before Spark adds the counts up.
+    Tasks count about ``flush`` words at a time before Spark adds the counts up.
     """
 
+    def rows(words: pa.Array, n: pa.Array) -> pa.RecordBatch:
+        hashes = pa.array(list(map(word_hash, words.to_pylist())), pa.int64())
+        return pa.RecordBatch.from_arrays([hashes, words, n], names=["hash", "word", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count: Counter[str] = Counter()
+        held, waiting, ends = [], 0, 0
 
-        def rows() -> pa.RecordBatch:
-            words = list(count)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(list(map(word_hash, words)), pa.int64()), pa.array(words, pa.string()),
-                 pa.array(list(count.values()), pa.int64())], names=["hash", "word", "n"],
-            )
+        def counted() -> pa.RecordBatch:
+            found = pa.chunked_array(held).value_counts()
+            return rows(found.field("values"), found.field("counts"))
 
-        for batch in batches:
-            for text in texts(batch):
-                count.update(word_list(text))
-            count[END] += batch.num_rows
-            if len(count) > flush:
-                yield rows()
-                count.clear()
-        yield rows()
+        for batch in chain.from_iterable(map(sliced, batches)):
+            words = pc.ascii_split_whitespace(pc.ascii_lower(batch.column("text").cast(pa.string()))).flatten()
+            held.append(words.filter(pc.not_equal(words, "")))
+            waiting, ends = waiting + len(held[-1]), ends + batch.num_rows
+            if waiting > flush:
+                yield counted()
+                held, waiting = [], 0
+        if held:
+            yield counted()
+        yield rows(pa.array([END]), pa.array([ends], pa.int64()))
 
     return (
-        docs.select("text").mapInArrow(run, "hash bigint, word string, n bigint")
+        docs.select("text").mapInArrow(run, "hash bigint, word string, n bigint").where("n > 0")
         .groupBy("hash", "word").agg(F.sum("n").alias("n"))
     )
 
@@ -159,32 +166,82 @@ class Attention:
         return out, norm, (x, last, q, k, v, attention, mixed)
 
     def gradients(self, rows: np.ndarray, valid: np.ndarray, target: np.ndarray, weigh: np.ndarray) -> tuple:
-        """Mean loss and gradients of all weights for a batch of windows."""
-        w, n = self.weights, rows.shape[1]
-        out, norm, (x, last, q, k, v, attention, mixed) = self.forward(rows, valid, n)
-        total = max(float(weigh.sum()), 1.0)
-        chosen = np.take_along_axis(out, target[:, :, None], 2)[:, :, 0] - norm
-        loss = -float((chosen * weigh).sum()) / total
-        back = np.exp(out - norm[:, :, None])
-        np.put_along_axis(back, target[:, :, None], np.take_along_axis(back, target[:, :, None], 2) - 1, 2)
-        back *= (weigh / total)[:, :, None].astype(np.float32)
-        flat = lambda a: a.reshape(-1, a.shape[-1])
-        g = {"bias": flat(back).sum(axis=0), "out": flat(mixed).T @ flat(back), "direct": flat(last).T @ flat(back)}
-        to_mixed = back @ w["out"].T
-        to_attention = to_mixed @ v.transpose(0, 2, 1)
-        to_v = attention.transpose(0, 2, 1) @ to_mixed
-        inner = attention * (to_attention - (to_attention * attention).sum(axis=2, keepdims=True))
+        """Mean loss and gradients of all weights for a batch of windows.
+
+        Derivatives of ``forward``, block by block in held arrays. A column is a place in a window and a row a feature, so
+        that factors of a place run along whole rows; sums of softmaxes come with the products they divide.
+        """
+        w, width, n = self.weights, self.width, rows.shape[1]
+        kind, size, groups = w["embed"].dtype, len(w["embed"]), len(w["bias"])
+        scale = kind.type(width**-0.5)
+        into = np.concatenate([w["q"] * scale, w["k"], w["v"]], axis=1).T
+        onto = np.concatenate([w["direct"], w["out"], w["bias"][None]]).T
+        mask, ones, length = self.mask(n, n), np.ones(groups, kind), np.linalg.norm(onto, axis=1).max()
+        near_by = np.exp(mask)
+        loss, total = 0.0, max(float(weigh.sum()), 1.0)
+        to_into, to_onto, to_near = np.zeros(into.shape), np.zeros(onto.shape), np.zeros((n, n))
+        to_x = np.empty((width, rows.size), kind)
+        held = 0
+        for b in range(0, len(rows), BLOCK):
+            at = rows[b : b + BLOCK].reshape(-1)
+            many, place = len(at) // n, np.arange(len(at))
+            if len(at) != held:
+                held = len(at)
+                seen, qkv = np.ones((2 * width + 1, held), kind), np.ones((3 * width + 1, held), kind)
+                mixed, to_mixed = np.empty((width + 1, held), kind), np.empty((width + 1, held), kind)
+                out, to_seen, to = np.empty((groups, held), kind), np.empty((2 * width, held), kind), np.empty((3 * width, held), kind)
+                attention, inner = np.empty((many, n, n), kind), np.empty((many, n, n), kind)
+            cut = lambda a: a.reshape(len(a), -1, n).transpose(1, 0, 2)
+            x, added = seen[:width], seen[width:-1]
+            x[:] = w["embed"].take(at, axis=0).T
+            np.matmul(into, x, out=qkv[:-1])
+            q, k, v = cut(qkv[:width]), cut(qkv[width : 2 * width]), cut(qkv[2 * width :])
+            np.matmul(q.transpose(0, 2, 1), k, out=attention)
+            most = np.sqrt(np.square(qkv[:width]).sum(axis=0).max() * np.square(qkv[width : 2 * width]).sum(axis=0).max())
+            if most + np.abs(w["near"]).max() > 60:
+                attention += mask
+                attention += np.where(valid[b : b + BLOCK], kind.type(0), kind.type(-1e9))[:, None, :]
+                attention -= attention.max(axis=2, keepdims=True)
+                np.exp(attention, out=attention)
+            else:
+                np.exp(attention, out=attention)
+                attention *= near_by
+                attention *= valid[b : b + BLOCK, None, :]
+            np.matmul(v, attention.transpose(0, 2, 1), out=cut(mixed))
+            inverse = 1 / mixed[-1]
+            np.multiply(mixed[:-1], inverse, out=added)
+            np.matmul(onto, seen, out=out)
+            if length * np.sqrt(np.square(seen).sum(axis=0).max()) > 60:
+                out -= out.max(axis=0)
+            wanted, weight = target[b : b + BLOCK].reshape(-1), weigh[b : b + BLOCK].reshape(-1).astype(kind)
+            chosen = out[wanted, place]
+            np.exp(out, out=out)
+            norm = ones @ out
+            loss += float(((np.log(norm) - chosen) * weight).sum())
+            out *= weight / norm
+            out[wanted, place] -= weight
+            to_onto += out @ seen.T
+            np.matmul(onto[:, :-1].T, out, out=to_seen)
+            np.multiply(to_seen[width:], inverse, out=to_mixed[:-1])
+            np.multiply(to_mixed[:-1], added, out=mixed[:-1])
+            np.negative(mixed[:-1].sum(axis=0), out=to_mixed[-1])
+            np.matmul(cut(to_mixed).transpose(0, 2, 1), v, out=inner)
+            inner *= attention
+            to_near += inner.sum(axis=0)
+            np.matmul(k, inner.transpose(0, 2, 1), out=cut(to[:width]))
+            np.matmul(q, inner, out=cut(to[width : 2 * width]))
+            np.matmul(cut(to_mixed[:-1]), attention, out=cut(to[2 * width :]))
+            to_into += to @ x.T
+            np.add(into.T @ to, to_seen[:width], out=to_x[:, b * n : b * n + held])
         away = np.arange(n)[:, None] - np.arange(n)[None, :]
-        held = (away >= 0) & (away < self.context)
-        g["near"] = np.bincount(away[held], inner.sum(axis=0)[held], self.context).astype(np.float32)
-        inner = inner * np.float32(self.width**-0.5)
-        to_q, to_k = inner @ k, inner.transpose(0, 2, 1) @ q
-        for name, to in (("q", to_q), ("k", to_k), ("v", to_v)):
-            g[name] = flat(x).T @ flat(to)
-        to_x = to_q @ w["q"].T + to_k @ w["k"].T + to_v @ w["v"].T + back @ w["direct"].T
-        at, size = rows.reshape(-1), len(w["embed"])
-        g["embed"] = np.stack([np.bincount(at, of, size) for of in flat(to_x).T], axis=1).astype(w["embed"].dtype)
-        return loss, g
+        near = (away >= 0) & (away < self.context)
+        q, k, v = np.split(to_into.T / total, 3, axis=1)
+        g = {
+            "embed": np.stack([np.bincount(rows.reshape(-1), of, size) for of in to_x], axis=1) / total,
+            "q": q * scale, "k": k, "v": v, "near": np.bincount(away[near], to_near[near], self.context) / total,
+            "out": to_onto[:, width:-1].T / total, "direct": to_onto[:, :width].T / total, "bias": to_onto[:, -1] / total,
+        }
+        return loss / total, {name: slope.astype(kind) for name, slope in g.items()}
 
     def window_gradients(self, ids: np.ndarray, vocab: Vocabulary) -> tuple:
         """Mean loss and gradients for windows of ids, and the number of ids they predict."""
@@ -314,6 +371,17 @@ def training_windows(docs: DataFrame, tokenizer: str, end: int, size: int, docum
     return np.array(sorted(r[0] for r in rows), np.int64).reshape(-1, size)
 
 
+def slot(text: str, slices: int) -> int:
+    return xxhash.xxh3_64_intdigest(text.encode()) % slices
+
+
+def around(ids: np.ndarray, end: int) -> np.ndarray:
+    """The ids of a text between its start and its end."""
+    whole = np.empty(len(ids) + 2, np.int32)
+    whole[0], whole[1:-1], whole[-1] = -2, ids, end
+    return whole
+
+
 def coded(docs: DataFrame, tokenizer: str, end: int, slices: int) -> str:
     """Folder of the ids of all texts, start and end around them, dealt to slices by a hash of the text."""
 
@@ -321,10 +389,9 @@ def coded(docs: DataFrame, tokenizer: str, end: int, slices: int) -> str:
         coder = ChunkIds(tokenizer_path(tokenizer), limit=CHUNKS)
         for batch in chain.from_iterable(map(sliced, batches)):
             said = texts(batch)
-            slots = [xxhash.xxh3_64_intdigest(t.encode()) % slices for t in said]
-            ids = [np.concatenate([[-2], i, [end]]).astype(np.int32) for i in coder.batch([word_list(t) for t in said])]
+            ids = [around(i, end) for i in coder.batch([word_list(t) for t in said])]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.list_(pa.int32())), pa.array(slots, pa.int32())], names=["ids", "slice"]
+                [pa.array(ids, pa.list_(pa.int32())), pa.array([slot(t, slices) for t in said], pa.int32())], names=["ids", "slice"]
             )
 
     return stage_by(docs.select("text").mapInArrow(run, "ids array<int>, slice int"), "slice")
@@ -393,13 +460,19 @@ def summed_gradients(part: DataFrame, model: Attention, vocab: Vocabulary, size:
 
 
 def fit(docs: DataFrame, model: Attention, vocab: Vocabulary, tokenizer: str, size: int,
-        slices: int = 16, passes: int = 1, rate: float = 0.004) -> list[tuple[float, int]]:
+        slices: int = SLICES, passes: int = 1, rate: float = 0.004) -> list[tuple[float, int]]:
     """Adam over all windows of all texts: a step for each slice of each pass; mean loss and ids of each step.
 
     The number of steps is fixed, that of the windows in a step grows with the input.
     """
-    spark, path = docs.sparkSession, coded(docs, tokenizer, vocab.end, slices)
-    held = spark.read.schema("ids array<int>, slice int").parquet(path)
+    path = coded(docs, tokenizer, vocab.end, slices)
+    held = docs.sparkSession.read.schema("ids array<int>, slice int").parquet(path)
+    return fit_coded(held, model, vocab, size, slices, passes, rate)
+
+
+def fit_coded(held: DataFrame, model: Attention, vocab: Vocabulary, size: int,
+              slices: int = SLICES, passes: int = 1, rate: float = 0.004) -> list[tuple[float, int]]:
+    """``fit`` on texts that have their ids and slices already."""
     first = {k: np.zeros_like(v) for k, v in model.weights.items()}
     second = {k: np.zeros_like(v) for k, v in model.weights.items()}
     seen: list[tuple[float, int]] = []
@@ -413,11 +486,12 @@ def fit(docs: DataFrame, model: Attention, vocab: Vocabulary, tokenizer: str, si
 
 
 def score(
-    docs: DataFrame, train: DataFrame, tokenizer: str = TOKENIZER, common_words: int = 65_536,
+    docs: DataFrame, train: DataFrame | Column, tokenizer: str = TOKENIZER, common_words: int = 65_536,
     sample_documents: int = 2_000, steps: int = 600, passes: int = 1,
 ) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score of every row of ``docs``.
 
+    ``train`` is a table, or a condition on the rows of ``docs``, which then get their ids once for both uses.
     Counts cover all of ``train``, and so do the model's weights: they start from ``steps`` on windows of
     about ``sample_documents`` texts and are fitted in ``passes`` over all windows of all texts. The ``common_words`` most frequent words are broadcast,
     a fixed number; other words of a text meet their counts in a join. Null and empty texts
@@ -426,7 +500,9 @@ def score(
     """
     from tokenizers import Tokenizer
 
-    spark = docs.sparkSession
+    spark, inside = docs.sparkSession, isinstance(train, Column)
+    learns = F.coalesce(train, F.lit(False)) if inside else F.lit(False)
+    train = docs.where(learns) if inside else train
     counted = stage(word_counts(train))
     n, v = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     common = counted.orderBy(F.desc("n"), "hash").limit(common_words).select("hash", "n").toPandas().sort_values("hash")
@@ -441,15 +517,61 @@ def score(
     vocab = vocabulary(counts, begins)
     model = Attention(vocab.rows, vocab.groups)
     model.train(training_windows(train, tokenizer, vocab.end, 33, sample_documents), vocab, steps)
-    if n:
-        fit(train, model, vocab, tokenizer, 33, passes=passes)
-    shared = Shared(
-        spark, (model, vocab, common["hash"].to_numpy(np.int64), common["n"].to_numpy(np.int64))
+    held = prepared(
+        docs.select(F.col("doc_id").cast("bigint"), "text", learns.alias("learns")), tokenizer, vocab.end,
+        common["hash"].to_numpy(np.int64), common["n"].to_numpy(np.int64),
     )
+    if n and inside:
+        fit_coded(held.where(F.col("slice") >= 0), model, vocab, 33, passes=passes)
+    elif n:
+        fit(train, model, vocab, tokenizer, 33, passes=passes)
+    shared = Shared(spark, (model, vocab))
     rest = float(np.log10(n + v + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, vocab, hashes, times = shared.value
+        model, vocab = shared.value
+        for batch in batches:
+            column = batch.column("ids")
+            flat, edges = column.values.to_numpy(), column.offsets.to_numpy()
+            begin, scores = 0, []
+            while begin < len(column):
+                # About 2^18 ids at a time; a longer text alone.
+                last = max(begin + 1, int(np.searchsorted(edges, edges[begin] + (1 << 18), "right")) - 1)
+                scores.append(model.score([flat[edges[k] + 1 : edges[k + 1]].astype(np.int64) for k in range(begin, last)], vocab))
+                begin = last
+            yield pa.RecordBatch.from_arrays(
+                [*batch.select(kept).columns, pa.array(np.concatenate([np.zeros(0), *scores]))], names=[*kept, "score"]
+            )
+
+    kept = ["row", "doc_id", "n_tokens", "known", "base"]
+    scored = stage(held.select(*kept, "ids").mapInArrow(
+        run, "row bigint, doc_id bigint, n_tokens bigint, known bigint, base double, score double"
+    ))
+    seldom = held.select("row", F.explode(F.arrays_zip("rare", "times")).alias("word")).select(
+        "row", F.col("word.rare").alias("hash"), F.col("word.times").alias("times")
+    )
+    more = (
+        seldom.join(counted.select("hash", "n"), "hash").groupBy("row")
+        .agg(F.sum("times").alias("more_known"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more_base"))
+    )
+    return scored.join(more, "row", "left").select(
+        "doc_id", "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
+        F.lit(int(n)).cast("bigint").alias("train_tokens"),
+        (F.col("base") + F.coalesce("more_base", F.lit(0.0)) - F.col("n_tokens") * F.lit(rest)).alias("base_score"),
+        "score",
+    )
+
+
+def prepared(docs: DataFrame, tokenizer: str, end: int, hashes: np.ndarray, times: np.ndarray) -> DataFrame:
+    """A staged row for each of ``docs``: ids, slice, and the base as far as common words give it.
+
+    ``docs`` has doc_id, text and ``learns``; rows that do not learn are in slice -1. ``hashes``, in order, and ``times``
+    are the common words and their counts; ``rare`` and ``times`` of a row are its other words. ``row`` tells repeated rows apart.
+    """
+    shared = Shared(docs.sparkSession, (hashes, times))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, times = shared.value
         coder = ChunkIds(tokenizer_path(tokenizer), limit=CHUNKS)
         # By number of a word: its hash, and what it adds to the base; NaN for words that are not common.
         codes, gains = np.empty(1 << 16, np.int64), np.empty(1 << 16)
@@ -460,10 +582,12 @@ def score(
             place = np.minimum(np.searchsorted(hashes, of), len(hashes) - 1)
             return np.where(hashes[place] == of, np.log10(times[place] + 1), np.nan)
 
-        end = np.array([word_hash(END)], np.int64)
-        end_gain = gain(end)
+        closing = np.array([word_hash(END)], np.int64)
+        closing_gain = gain(closing)
         for batch in chain.from_iterable(map(sliced, batches)):
-            lists = [word_list(t) for t in texts(batch)]
+            said = texts(batch)
+            lists = [word_list(t) for t in said]
+            slots = [slot(t, SLICES) if learns else -1 for t, learns in zip(said, batch.column("learns").to_pylist(), strict=True)]
             ends = np.cumsum([len(words) for words in lists]).astype(np.int64)
             every, new = coder.numbers(chain.from_iterable(lists), int(ends[-1]) if lists else 0)
             while len(codes) < coder.learned:
@@ -474,42 +598,26 @@ def score(
             sizes, bases, knowns, rare, rare_times, ids = [], [], [], [], [], []
             for words, last in zip(lists, ends.tolist(), strict=True):
                 at = every[last - len(words) : last]
-                got = np.append(gains[at], end_gain)
+                got = np.append(gains[at], closing_gain)
                 unknown = np.isnan(got)
-                each, often = np.unique(np.append(codes[at], end)[unknown], return_counts=True)
+                each, often = np.unique(np.append(codes[at], closing)[unknown], return_counts=True)
                 sizes.append(len(words) + 1)
                 bases.append(float(got[~unknown].sum()))
                 knowns.append(len(got) - int(unknown.sum()))
                 rare.append(each)
                 rare_times.append(often.astype(np.int32))
-                ids.append(np.append(coder.of(at), np.uint32(vocab.end)).astype(np.int64))
+                ids.append(around(coder.of(at), end))
             coder.forget(new)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(knowns, pa.int64()),
-                 pa.array(bases, pa.float64()), pa.array(model.score(ids, vocab)),
-                 pa.array(rare, pa.list_(pa.int64())), pa.array(rare_times, pa.list_(pa.int32()))],
-                names=["doc_id", "n_tokens", "known", "base", "score", "rare", "times"],
+                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(knowns, pa.int64()), pa.array(bases, pa.float64()),
+                 pa.array(rare, pa.list_(pa.int64())), pa.array(rare_times, pa.list_(pa.int32())),
+                 pa.array(ids, pa.list_(pa.int32())), pa.array(slots, pa.int32())],
+                names=["doc_id", "n_tokens", "known", "base", "rare", "times", "ids", "slice"],
             )
 
-    scored = stage(
-        docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(
-            run, "doc_id bigint, n_tokens bigint, known bigint, base double, score double, "
-            "rare array<bigint>, times array<int>",
-        ).withColumn("row", F.monotonically_increasing_id())
-    )
-    seldom = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("word")).select(
-        "row", F.col("word.rare").alias("hash"), F.col("word.times").alias("times")
-    )
-    more = (
-        seldom.join(counted.select("hash", "n"), "hash").groupBy("row")
-        .agg(F.sum("times").alias("more_known"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more_base"))
-    )
-    return scored.drop("rare", "times").join(more, "row", "left").select(
-        "doc_id", "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
-        F.lit(int(n)).cast("bigint").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more_base", F.lit(0.0)) - F.col("n_tokens") * F.lit(rest)).alias("base_score"),
-        "score",
-    )
+    schema = "doc_id bigint, n_tokens bigint, known bigint, base double, rare array<bigint>, times array<int>, ids array<int>"
+    rows = docs.mapInArrow(run, f"{schema}, slice int").withColumn("row", F.monotonically_increasing_id())
+    return docs.sparkSession.read.schema(f"{schema}, row bigint, slice int").parquet(stage_by(rows, "slice"))
 
 
 def held_out(col: str = "doc_id") -> F.Column:

@@ -73,6 +73,7 @@ class Encoder:
         ranks = {bytes(byte[c] for c in token): n for token, n in vocab.items() if token not in self.special}
         self.fast = tiktoken.Encoding("file", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})
         self.line_end = ranks.get(b"\n", -1)
+        self.other_space = re.compile(r"[^\S \n]")
 
     def __call__(self, text: str) -> list[int]:
         if self.fast is not None and not any(s in text for s in self.special):
@@ -96,10 +97,20 @@ class Encoder:
             return np.fromiter(chain.from_iterable(codes), np.uint32, int(sizes.sum())), sizes
         return lines
 
+    def _plain(self, joined: str, chunks: list[str]) -> bool:
+        """Whether chunks joined by a line end and a space hold no white space of their own, no special token and are not empty."""
+        between = len(chunks) - 1
+        return (
+            all(chunks) and joined.count("\n") == between and joined.count(" ") == between
+            and self.other_space.search(joined) is None and not any(s in joined for s in self.special)
+        )
+
     def _lines(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
         if self.fast is None or self.line_end < 0 or len(chunks) < 2:
             return None
-        hard = [
+        joined = "\n ".join(chunks)
+        # One look at all chunks; only if white space or a special token is among them, one at each.
+        hard = [] if self._plain(joined, chunks) else [
             k for k, c in enumerate(chunks)
             if not c or "\n" in c or c[0].isspace() or c[-1].isspace() or any(s in c for s in self.special)
         ]
@@ -118,7 +129,7 @@ class Encoder:
             flat[of_easy] = lines[0]
             flat[~of_easy] = np.fromiter(chain.from_iterable(codes), np.uint32, len(flat) - len(lines[0]))
             return flat, sizes
-        ids = np.array(self.fast.encode_ordinary(" " + "\n ".join(chunks)), np.uint32)
+        ids = np.array(self.fast.encode_ordinary(" " + joined), np.uint32)
         cuts = np.flatnonzero(ids == self.line_end)
         if len(cuts) != len(chunks) - 1:
             return None

@@ -50,7 +50,7 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_causal_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return causal_lm.score(docs, docs.where(~fold("doc_id", 7))).select(
+    return causal_lm.score(docs, ~fold("doc_id", 7)).select(
         "doc_id", fold("doc_id", 7).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score",
     )
 

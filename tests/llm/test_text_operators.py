@@ -603,6 +603,49 @@ def test_gradients():
             assert abs((up - down) / 2e-5 - slopes[name][at]) < 1e-3
 
 
+def test_gradients_of_steep_weights():
+    """Beyond the bound under which no maximum is taken off, and over more windows than a block holds."""
+    rng = np.random.default_rng(2)
+    model = causal_lm.Attention(20, 5, width=4, context=6)
+    for name in model.weights:
+        model.weights[name] = 8 * rng.standard_normal(model.weights[name].shape)
+    many = causal_lm.BLOCK * 2 + 5
+    rows, target = rng.integers(0, 21, (many, 8)), rng.integers(0, 5, (many, 8))
+    valid, weigh = np.ones((many, 8), bool), (rng.random((many, 8)) < 0.8).astype(float)
+    loss, slopes = model.gradients(rows, valid, target, weigh)
+    out, norm, _ = model.forward(rows, valid, 8)
+    want = -((np.take_along_axis(out, target[:, :, None], 2)[:, :, 0] - norm) * weigh).sum() / weigh.sum()
+    assert abs(loss - want) < 1e-6 and all(np.isfinite(g).all() for g in slopes.values())
+    parts = [model.gradients(rows[k : k + 9], valid[k : k + 9], target[k : k + 9], weigh[k : k + 9]) for k in range(0, many, 9)]
+    share = [weigh[k : k + 9].sum() / weigh.sum() for k in range(0, many, 9)]
+    for name in slopes:
+        assert np.allclose(sum(p[1][name] * f for p, f in zip(parts, share, strict=True)), slopes[name], atol=1e-6)
+
+
+def test_texts_get_their_ids_once(spark, odd, monkeypatch):
+    """Training rows named by a condition are those of a table, without a second pass over their texts."""
+    inside = "doc_id > 2 OR doc_id IS NULL"
+    names = ["doc_id", "n_tokens", "n_known", "train_tokens"]
+
+    def rounded(df):
+        return Counter((*[r[c] for c in names], round(r["base_score"], 6), round(r["score"], 3)) for r in df.collect())
+
+    want = rounded(causal_lm.score(odd, odd.where(inside), common_words=5, steps=30))
+    monkeypatch.delattr(causal_lm, "coded")
+    assert rounded(causal_lm.score(odd, F.expr(inside), common_words=5, steps=30)) == want
+
+
+def test_chunks_with_other_white_space():
+    """The look at all chunks at once gives the ids of a look at each."""
+    encode = packing.Encoder(packing.tokenizer_path(packing.TOKENIZER))
+    odd = ["a\u00a0", "\x1cb", "", "c d", "e\nf", *encode.special, "\u3000"]
+    for one in odd:
+        chunks = ["plain", one, "words."]
+        codes, sizes = encode.spaced(chunks)
+        want = [encode(" " + c) for c in chunks]
+        assert codes.tolist() == sum(want, []) and sizes.tolist() == list(map(len, want))
+
+
 def brute_align(item, passage):
     table = [[0] * (len(passage) + 1) for _ in range(len(item) + 1)]
     best = 0
