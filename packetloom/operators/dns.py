@@ -10,6 +10,7 @@ from packetloom.operators.behavior import SECOND_US
 from packetloom.operators.prefix import (
     attach, by_density, crossings, distinct_edges, leaving,
 )
+from packetloom.session import staged
 
 TXT_CODES = ("TXT", "16")  # fixed values: record type by name and by number
 
@@ -34,8 +35,8 @@ def with_names(queries: DataFrame) -> DataFrame:
     return _weighed(_typed(queries))
 
 
-def _flagged(named: DataFrame, long: int, entropy: float) -> DataFrame:
-    return _weighed(named).withColumns(
+def _flagged(weighed: DataFrame, long: int, entropy: float) -> DataFrame:
+    return weighed.withColumns(
         {
             "long_qname": F.length("qname") >= long,
             "high_entropy": F.col("name_entropy") >= entropy,
@@ -45,7 +46,7 @@ def _flagged(named: DataFrame, long: int, entropy: float) -> DataFrame:
 
 def dns_flags(queries: DataFrame, long: int = 60, entropy: float = 3.8) -> DataFrame:
     """Signs visible in one query."""
-    return _flagged(_typed(queries), long, entropy)
+    return _flagged(_weighed(_typed(queries)), long, entropy)
 
 
 @by_density
@@ -78,13 +79,14 @@ def txt_burst(
     return out.withColumn("txt_burst", F.col("txt_queries") >= n)
 
 
-def _churn_edges(named: DataFrame, n: int, width: int, out: str, chunk: int | None) -> DataFrame:
+def _name_edges(named: DataFrame, width: int, chunk: int | None) -> DataFrame:
+    """Edges of the number of distinct names of a source and base domain, which is that of a source too: a name has one base."""
+    return distinct_edges(named, ["src_ip", "base_domain"], "qname", "ts_us", width, "_d", chunk)
+
+
+def _churn_edges(names: DataFrame, n: int, out: str, chunk: int | None) -> DataFrame:
     """Edges of "number of base domains with at least n distinct names in the window"."""
-    based = named.where(F.col("base_domain") != "")
-    names = distinct_edges(
-        based, ["src_ip", "base_domain"], "qname", "ts_us", width, "_d", chunk
-    )
-    return crossings(names, ["src_ip", "base_domain"], ["src_ip"], out, n, chunk)
+    return crossings(names.where(F.col("base_domain") != ""), ["src_ip", "base_domain"], ["src_ip"], out, n, chunk)
 
 
 @by_density
@@ -96,7 +98,7 @@ def subdomain_churn(
     width = int(window_s * SECOND_US)
     out = attach(
         named, ["src_ip"], "ts_us", sums={"_busy_bases": F.lit(0).cast("long")},
-        edges=[_churn_edges(named, n, width, "_busy_bases", chunk)], chunk=chunk,
+        edges=[_churn_edges(_name_edges(named, width, chunk), n, "_busy_bases", chunk)], chunk=chunk,
     )
     return out.withColumn("subdomain_churn", F.col("_busy_bases") > 0).drop("_busy_bases")
 
@@ -110,17 +112,22 @@ def dns_reasons(
     width = int(window_s * SECOND_US)
     src, is_txt, none = ["src_ip"], F.col("is_txt").cast("long"), F.lit(0).cast("long")
     named = _typed(queries)
+    names = staged(_name_edges(named, width, chunk))  # read twice: as they are, and for the bases
     seen = attach(
         named, src, "ts_us",
         sums={"_names": none, "_txt": is_txt, "_bases": none},
         edges=[
-            distinct_edges(named, src, "qname", "ts_us", width, "_names", chunk),
+            names.select(*src, "_at", F.col("_d").alias("_names")),
             leaving(named, src, "ts_us", width, "_txt", is_txt),
-            _churn_edges(named, churn, width, "_bases", chunk),
+            _churn_edges(names, churn, "_bases", chunk),
         ],
         chunk=chunk,
     )
-    seen = _flagged(seen, long, entropy)  # behind the exchange, which deals the work out
+    # The entropy of a name takes longer than all else of a row: it is taken once a name.
+    weights = staged(_weighed(named.select("qname").distinct()))
+    seen = seen.drop("name_entropy")
+    seen = seen.join(weights, "qname", "left").select(*[f"`{c}`" for c in seen.columns], "name_entropy")
+    seen = _flagged(seen, long, entropy)
     many, churned = F.col("_names") >= unique, F.col("_bases") > 0
     tunnel = (F.col("high_entropy") & many) | (churned & F.col("long_qname"))
     reasons = F.array_compact(

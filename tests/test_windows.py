@@ -1,7 +1,7 @@
 """Windowed rules against plain loops, on dense random data and the default windows."""
 
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -298,3 +298,38 @@ def test_whole_sources_are_dealt_by_their_rows(spark, monkeypatch):
         got = make()
         assert "REPARTITION_BY_NUM" in got._jdf.queryExecution().executedPlan().toString()
         assert sorted(got.collect(), key=str) == before[name]
+
+
+def test_stays_of_whole_keys_are_their_edges(spark):
+    """Gaps to neighbours give the instants that edges per row give, at a gap of just the window and without a time."""
+    rng = random.Random(8)
+    rows = [(rng.choice("ab"), rng.choice("xyz"), rng.choice([None, *range(0, 400, 3)])) for _ in range(400)]
+    df = spark.createDataFrame([*rows, ("c", "x", 0), ("c", "x", 11), ("c", "x", 23), (None, "x", 5), ("c", None, 7)], "k string, i string, t long")
+    want = prefix.crossings(prefix.enter_leave(df.where("i IS NOT NULL"), ["k", "i"], "t", 10), ["k", "i"], ["k"], "d", 1, None)
+    for chunk in (None, prefix.Whole(5)):
+        got = prefix.distinct_edges(df, ["k"], "i", "t", 10, "d", chunk)
+        assert Counter(map(tuple, got.collect())) == Counter(map(tuple, want.collect())) and got.columns == want.columns
+
+
+def test_names_are_dealt_once(spark, monkeypatch):
+    """Names of a source and of its bases come from one pass over the rows."""
+    df = spark.createDataFrame(dns_rows(4, 300), "dns_id long, ts_us long, src_ip string, qname string, qtype string")
+    calls, plain = [], dns.distinct_edges
+    monkeypatch.setattr(dns, "distinct_edges", lambda *args: calls.append(args) or plain(*args))
+    assert dns.dns_reasons(df).count() == df.where("trim(qname) <> ''").count() and len(calls) == 1
+
+
+def test_base_domains_with_and_without_empty_labels(spark):
+    names = {"a.b.c": "b.c", "A.B": "a.b", "x": "x", "": "", "..": "", "a..b": "a..b", ".a..b.c.": "b.c", "a.b..C": "b.c", " w.a.b ": "a.b ", None: ""}
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    assert {r.n: r.b for r in df.select("n", text.base_domain(F.col("n")).alias("b")).collect()} == names
+
+
+def test_entropy_is_taken_once_a_name(spark):
+    """The plan on the rows holds no entropy, and its values are those of every row by itself."""
+    df = spark.createDataFrame(dns_rows(5, 300), "dns_id long, ts_us long, src_ip string, qname string, qtype string")
+    got = dns.dns_reasons(df)
+    assert "array_distinct" not in got._jdf.queryExecution().executedPlan().toString()
+    want = dns.dns_flags(df)
+    assert [c for c in got.columns if c != "dns_reasons"] == want.columns
+    assert Counter(map(tuple, got.drop("dns_reasons").collect())) == Counter(map(tuple, want.collect()))
