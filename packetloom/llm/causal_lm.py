@@ -32,6 +32,8 @@ CHUNKS = 200_000
 SLICES = 16
 #: Windows whose gradients are taken at once; what they need stays in a core's cache.
 BLOCK = 63
+#: Windows of a call: whole blocks, so that the arrays of a block are held throughout.
+CALL = 32 * BLOCK
 LN10 = float(np.log(10))
 
 
@@ -44,6 +46,11 @@ def word_hash(word: str) -> int:
     return xxhash.xxh3_64_intdigest(word.encode()) >> 1
 
 
+def strings(words: pa.Array) -> list[str]:
+    """A column without nulls as strings; by way of numpy, several times as fast as one value after the other."""
+    return words.to_numpy(zero_copy_only=False).tolist()
+
+
 def word_counts(docs: DataFrame, flush: int = 2_000_000) -> DataFrame:
     """(hash, word, n) over all texts, the end of each counted as a token.
 
@@ -51,7 +58,7 @@ def word_counts(docs: DataFrame, flush: int = 2_000_000) -> DataFrame:
     """
 
     def rows(words: pa.Array, n: pa.Array) -> pa.RecordBatch:
-        hashes = pa.array(list(map(word_hash, words.to_pylist())), pa.int64())
+        hashes = pa.array(list(map(word_hash, strings(words))), pa.int64())
         return pa.RecordBatch.from_arrays([hashes, words, n], names=["hash", "word", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,7 +184,7 @@ class Attention:
         into = np.concatenate([w["q"] * scale, w["k"], w["v"]], axis=1).T
         onto = np.concatenate([w["direct"], w["out"], w["bias"][None]]).T
         mask, ones, length = self.mask(n, n), np.ones(groups, kind), np.linalg.norm(onto, axis=1).max()
-        near_by = np.exp(mask)
+        near_by, every = np.exp(mask), bool(valid.all())
         loss, total = 0.0, max(float(weigh.sum()), 1.0)
         to_into, to_onto, to_near = np.zeros(into.shape), np.zeros(onto.shape), np.zeros((n, n))
         to_x = np.empty((width, rows.size), kind)
@@ -206,7 +213,8 @@ class Attention:
             else:
                 np.exp(attention, out=attention)
                 attention *= near_by
-                attention *= valid[b : b + BLOCK, None, :]
+                if not every:
+                    attention *= valid[b : b + BLOCK, None, :]
             np.matmul(v, attention.transpose(0, 2, 1), out=cut(mixed))
             inverse = 1 / mixed[-1]
             np.multiply(mixed[:-1], inverse, out=added)
@@ -382,6 +390,33 @@ def around(ids: np.ndarray, end: int) -> np.ndarray:
     return whole
 
 
+def packed(ids: np.ndarray, sizes: np.ndarray, end: int) -> pa.Array:
+    """A binary value for each text: its ids, start and end around them, raised by two, in the least bytes that hold ``end``.
+
+    A binary value is one piece to Spark and Parquet, where each number of an array is handled by itself.
+    """
+    kind = np.min_scalar_type(end + 2)
+    edges = np.concatenate([[0], np.cumsum(sizes + 2)])
+    laid, inner = np.empty(edges[-1], kind), np.ones(edges[-1], bool)
+    inner[edges[:-1]] = inner[edges[1:] - 1] = False
+    laid[edges[:-1]], laid[edges[1:] - 1], laid[inner] = 0, end + 2, ids + 2
+    places = pa.array(edges * kind.itemsize, pa.int32())
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, places.buffers()[1], pa.py_buffer(laid)])
+
+
+def unpacked(column: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts of a column of ``packed`` values or of arrays, and where each text begins and the last one ends."""
+    if pa.types.is_list(column.type):
+        return column.values.to_numpy(), column.offsets.to_numpy()
+    if not len(column):
+        return np.zeros(0, np.int32), np.zeros(1, np.int64)
+    kind = np.min_scalar_type(end + 2)
+    width = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+    places = np.frombuffer(column.buffers()[1], width, len(column) + 1, column.offset * np.dtype(width).itemsize)
+    edges = (places // kind.itemsize).astype(np.int64)
+    return np.frombuffer(column.buffers()[2], kind, edges[-1]).astype(np.int32) - 2, edges
+
+
 def coded(docs: DataFrame, tokenizer: str, end: int, slices: int) -> str:
     """Folder of the ids of all texts, start and end around them, dealt to slices by a hash of the text."""
 
@@ -405,7 +440,7 @@ def cut_windows(ids: np.ndarray, size: int) -> np.ndarray:
     return held[np.arange(steps)[:, None] * (size - 1) + np.arange(size)[None, :]]
 
 
-def summed_gradients(part: DataFrame, model: Attention, vocab: Vocabulary, size: int, at_once: int = 512) -> tuple:
+def summed_gradients(part: DataFrame, model: Attention, vocab: Vocabulary, size: int, at_once: int = CALL) -> tuple:
     """Summed loss and gradients over all windows of the texts in ``part``, and the number of predicted ids.
 
     Tasks add up their own windows, a few tasks add up the tasks; the driver gets sums of weights' size.
@@ -419,24 +454,31 @@ def summed_gradients(part: DataFrame, model: Attention, vocab: Vocabulary, size:
             names=["loss", "n", "gradient"],
         )
 
-    def slopes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, vocab = shared.value
-        total, losses, n = np.zeros(sum(w.size for w in model.weights.values())), 0.0, 0
+    def calls(batches: Iterator[pa.RecordBatch], end: int) -> Iterator[np.ndarray]:
+        """All windows, ``at_once`` in each call but the last."""
+        held, waiting = [], 0
         for batch in batches:
-            column = batch.column("ids")
-            flat, edges = column.values.to_numpy(), column.offsets.to_numpy()
-            held, waiting = [], 0
-            for k in range(len(column)):
+            flat, edges = unpacked(batch.column("ids"), end)
+            for k in range(batch.num_rows):
                 held.append(cut_windows(flat[edges[k] : edges[k + 1]], size))
                 waiting += len(held[-1])
-                if waiting < at_once and k + 1 < len(column):
+                if waiting < at_once:
                     continue
                 windows = np.concatenate(held)
-                held, waiting = [], 0
-                for b in range(0, len(windows), at_once):
-                    loss, g, known = model.window_gradients(windows[b : b + at_once], vocab)
-                    total += known * np.concatenate([g[name].reshape(-1) for name in model.weights]).astype(np.float64)
-                    losses, n = losses + known * loss, n + known
+                full = waiting - waiting % at_once
+                for b in range(0, full, at_once):
+                    yield windows[b : b + at_once]
+                held, waiting = [windows[full:].copy()], waiting - full
+        if waiting:
+            yield np.concatenate(held)
+
+    def slopes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, vocab = shared.value
+        total, losses, n = np.zeros(sum(w.size for w in model.weights.values())), 0.0, 0
+        for windows in calls(batches, vocab.end):
+            loss, g, known = model.window_gradients(windows, vocab)
+            total += known * np.concatenate([g[name].reshape(-1) for name in model.weights]).astype(np.float64)
+            losses, n = losses + known * loss, n + known
         if n:
             yield row(losses, n, total)
 
@@ -531,10 +573,9 @@ def score(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, vocab = shared.value
         for batch in batches:
-            column = batch.column("ids")
-            flat, edges = column.values.to_numpy(), column.offsets.to_numpy()
+            flat, edges = unpacked(batch.column("ids"), vocab.end)
             begin, scores = 0, []
-            while begin < len(column):
+            while begin < batch.num_rows:
                 # About 2^18 ids at a time; a longer text alone.
                 last = max(begin + 1, int(np.searchsorted(edges, edges[begin] + (1 << 18), "right")) - 1)
                 scores.append(model.score([flat[edges[k] + 1 : edges[k + 1]].astype(np.int64) for k in range(begin, last)], vocab))
@@ -584,38 +625,48 @@ def prepared(docs: DataFrame, tokenizer: str, end: int, hashes: np.ndarray, time
 
         closing = np.array([word_hash(END)], np.int64)
         closing_gain = gain(closing)
-        for batch in chain.from_iterable(map(sliced, batches)):
-            said = texts(batch)
-            lists = [word_list(t) for t in said]
-            slots = [slot(t, SLICES) if learns else -1 for t, learns in zip(said, batch.column("learns").to_pylist(), strict=True)]
-            ends = np.cumsum([len(words) for words in lists]).astype(np.int64)
-            every, new = coder.numbers(chain.from_iterable(lists), int(ends[-1]) if lists else 0)
+        for batch in chain.from_iterable(sliced(b, most=2 << 20) for b in batches):
+            rows, said = batch.num_rows, batch.column("text").cast(pa.string()).fill_null("")
+            slots = [
+                slot(t, SLICES) if learns else -1
+                for t, learns in zip(strings(said), batch.column("learns").to_pylist(), strict=True)
+            ]
+            # Equal words of a slice are looked up once; ``owner`` is the row of each word.
+            lists = pc.ascii_split_whitespace(pc.ascii_lower(said))
+            words = lists.flatten()
+            real = pc.not_equal(words, "")
+            owner = np.repeat(np.arange(rows), pc.list_value_length(lists).to_numpy())[real.to_numpy(zero_copy_only=False)]
+            words = words.filter(real).dictionary_encode()
+            number, new = coder.numbers(strings(words.dictionary), len(words.dictionary))
+            every = number[words.indices.to_numpy()]
             while len(codes) < coder.learned:
                 codes, gains = np.resize(codes, 2 * len(codes)), np.resize(gains, 2 * len(gains))
             fresh = slice(coder.learned - len(new), coder.learned)
             codes[fresh] = np.fromiter(map(word_hash, new), np.int64, len(new))
             gains[fresh] = gain(codes[fresh])
-            sizes, bases, knowns, rare, rare_times, ids = [], [], [], [], [], []
-            for words, last in zip(lists, ends.tolist(), strict=True):
-                at = every[last - len(words) : last]
-                got = np.append(gains[at], closing_gain)
-                unknown = np.isnan(got)
-                each, often = np.unique(np.append(codes[at], closing)[unknown], return_counts=True)
-                sizes.append(len(words) + 1)
-                bases.append(float(got[~unknown].sum()))
-                knowns.append(len(got) - int(unknown.sum()))
-                rare.append(each)
-                rare_times.append(often.astype(np.int32))
-                ids.append(around(coder.of(at), end))
+            ids = packed(coder.of(every), np.bincount(owner, coder.size[every], rows).astype(np.int64), end)
+            sizes = np.bincount(owner, minlength=rows) + 1
+            # Words that are not common, the end among them where it is not: runs of equal (row, hash).
+            got = gains[every]
+            unknown = np.isnan(got)
+            of, each = owner[unknown], codes[every[unknown]]
+            if np.isnan(closing_gain[0]):
+                of, each = np.append(of, np.arange(rows)), np.append(each, np.repeat(closing, rows))
+            order = np.lexsort((each, of))
+            of, each = of[order], each[order]
+            first = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (each[1:] != each[:-1])])[: len(of)])
+            often = np.diff(np.append(first, len(of)))
+            edges = pa.array(np.concatenate([[0], np.cumsum(np.bincount(of[first], minlength=rows))]), pa.int32())
+            bases = np.bincount(owner, np.where(unknown, 0, got), rows) + np.nan_to_num(closing_gain[0])
             coder.forget(new)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(knowns, pa.int64()), pa.array(bases, pa.float64()),
-                 pa.array(rare, pa.list_(pa.int64())), pa.array(rare_times, pa.list_(pa.int32())),
-                 pa.array(ids, pa.list_(pa.int32())), pa.array(slots, pa.int32())],
+                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(sizes - np.bincount(of, minlength=rows), pa.int64()),
+                 pa.array(bases), pa.ListArray.from_arrays(edges, pa.array(each[first])),
+                 pa.ListArray.from_arrays(edges, pa.array(often.astype(np.int32))), ids, pa.array(slots, pa.int32())],
                 names=["doc_id", "n_tokens", "known", "base", "rare", "times", "ids", "slice"],
             )
 
-    schema = "doc_id bigint, n_tokens bigint, known bigint, base double, rare array<bigint>, times array<int>, ids array<int>"
+    schema = "doc_id bigint, n_tokens bigint, known bigint, base double, rare array<bigint>, times array<int>, ids binary"
     rows = docs.mapInArrow(run, f"{schema}, slice int").withColumn("row", F.monotonically_increasing_id())
     return docs.sparkSession.read.schema(f"{schema}, row bigint, slice int").parquet(stage_by(rows, "slice"))
 

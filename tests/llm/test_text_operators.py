@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -635,6 +636,54 @@ def test_texts_get_their_ids_once(spark, odd, monkeypatch):
     assert rounded(causal_lm.score(odd, F.expr(inside), common_words=5, steps=30)) == want
 
 
+def test_gradients_are_taken_of_whole_calls(spark):
+    """Windows left over by a call wait for the next texts; only the last call of a task is a short one."""
+    vocab = causal_lm.vocabulary(np.ones(9, np.int64), np.arange(9) % 2 == 0, groups=4, rows=8)
+    rows = [(causal_lm.packed(np.arange(60) % 8, np.array([60]), vocab.end)[0].as_py(),) for _ in range(40)]
+    none = np.zeros(2, np.float32)
+    short = SimpleNamespace(
+        weights={"w": none}, window_gradients=lambda ids, vocab: (float(len(ids) < 16), {"w": none}, len(ids)),
+    )
+    df = spark.createDataFrame(rows, "ids binary").coalesce(1)
+    loss, _, n = causal_lm.summed_gradients(df, short, vocab, 25, at_once=16)
+    assert n == 40 * 3 and loss == 40 * 3 % 16
+
+
+def test_ids_of_a_text_are_one_value(spark, odd):
+    """Staged ids are binary, with start and end around them, and those of the words one by one."""
+    words = np.array(sorted({causal_lm.word_hash(w) for r in odd.collect() for w in causal_lm.word_list(r["text"] or "")}))[::2]
+    named = odd.select("doc_id", "text", F.lit(True).alias("learns"))
+    end = 50_257
+    held = causal_lm.prepared(named, packing.TOKENIZER, end, words, np.full(len(words), 9))
+    assert dict(held.dtypes)["ids"] == "binary"
+    encode = packing.Encoder(packing.tokenizer_path(packing.TOKENIZER))
+
+    def twin(text):
+        said = causal_lm.word_list(text or "")
+        ids = [-2, *(k for w in said for k in encode(" " + w)), end]
+        rare = Counter(h for h in map(causal_lm.word_hash, [*said, causal_lm.END]) if h not in words)
+        known = len(said) + 1 - sum(rare.values())
+        return len(said) + 1, known, round(float(known), 6), tuple(sorted(rare.items())), tuple(ids)
+
+    def got(r):
+        ids, edges = causal_lm.unpacked(pa.array([r["ids"]], pa.binary()), end)
+        assert edges.tolist() == [0, len(ids)]
+        return r["n_tokens"], r["known"], round(r["base"], 6), tuple(zip(r["rare"], r["times"], strict=True)), tuple(ids.tolist())
+
+    assert Counter(map(got, held.collect())) == Counter(twin(r["text"]) for r in odd.collect())
+
+
+def test_packed_ids():
+    sizes = np.array([0, 3, 0, 2])
+    for end in (9, 253, 254, 70_000):
+        column = causal_lm.packed(np.array([0, 1, end - 1, 5, 6], np.uint32), sizes, end)
+        for part in (column, column.cast(pa.large_binary())):
+            ids, edges = causal_lm.unpacked(part, end)
+            assert ids.tolist() == [-2, end, -2, 0, 1, end - 1, end, -2, end, -2, 5, 6, end]
+            assert edges.tolist() == [0, 2, 7, 9, 13]
+    assert causal_lm.unpacked(pa.array([], pa.binary()), 9)[1].tolist() == [0]
+
+
 def test_chunks_with_other_white_space():
     """The look at all chunks at once gives the ids of a look at each."""
     encode = packing.Encoder(packing.tokenizer_path(packing.TOKENIZER))
