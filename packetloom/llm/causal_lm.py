@@ -186,6 +186,10 @@ class Attention:
         mask, ones, length = self.mask(n, n), np.ones(groups, kind), np.linalg.norm(onto, axis=1).max()
         near_by, every = np.exp(mask), bool(valid.all())
         loss, total = 0.0, max(float(weigh.sum()), 1.0)
+        # Bounds over all embeddings; only where they are passed is each block looked at by itself.
+        top = [np.square(a).sum(axis=1).max() for a in (w["embed"], *np.split(w["embed"] @ into.T, 3, axis=1))]
+        flat = np.sqrt(top[1] * top[2]) + np.abs(w["near"]).max() <= 60
+        gentle = length * np.sqrt(top[0] + top[3] + 1) <= 60
         to_into, to_onto, to_near = np.zeros(into.shape), np.zeros(onto.shape), np.zeros((n, n))
         to_x = np.empty((width, rows.size), kind)
         held = 0
@@ -204,8 +208,10 @@ class Attention:
             np.matmul(into, x, out=qkv[:-1])
             q, k, v = cut(qkv[:width]), cut(qkv[width : 2 * width]), cut(qkv[2 * width :])
             np.matmul(q.transpose(0, 2, 1), k, out=attention)
-            most = np.sqrt(np.square(qkv[:width]).sum(axis=0).max() * np.square(qkv[width : 2 * width]).sum(axis=0).max())
-            if most + np.abs(w["near"]).max() > 60:
+            most = 0 if flat else np.sqrt(
+                np.square(qkv[:width]).sum(axis=0).max() * np.square(qkv[width : 2 * width]).sum(axis=0).max()
+            )
+            if not flat and most + np.abs(w["near"]).max() > 60:
                 attention += mask
                 attention += np.where(valid[b : b + BLOCK], kind.type(0), kind.type(-1e9))[:, None, :]
                 attention -= attention.max(axis=2, keepdims=True)
@@ -219,7 +225,7 @@ class Attention:
             inverse = 1 / mixed[-1]
             np.multiply(mixed[:-1], inverse, out=added)
             np.matmul(onto, seen, out=out)
-            if length * np.sqrt(np.square(seen).sum(axis=0).max()) > 60:
+            if not gentle and length * np.sqrt(np.square(seen).sum(axis=0).max()) > 60:
                 out -= out.max(axis=0)
             wanted, weight = target[b : b + BLOCK].reshape(-1), weigh[b : b + BLOCK].reshape(-1).astype(kind)
             chosen = out[wanted, place]
@@ -240,12 +246,14 @@ class Attention:
             np.matmul(q, inner, out=cut(to[width : 2 * width]))
             np.matmul(cut(to_mixed[:-1]), attention, out=cut(to[2 * width :]))
             to_into += to @ x.T
-            np.add(into.T @ to, to_seen[:width], out=to_x[:, b * n : b * n + held])
+            np.matmul(into.T, to, out=to_seen[width:])
+            np.add(to_seen[width:], to_seen[:width], out=to_x[:, b * n : b * n + held])
         away = np.arange(n)[:, None] - np.arange(n)[None, :]
         near = (away >= 0) & (away < self.context)
         q, k, v = np.split(to_into.T / total, 3, axis=1)
+        every_row = rows.reshape(-1).astype(np.intp)
         g = {
-            "embed": np.stack([np.bincount(rows.reshape(-1), of, size) for of in to_x], axis=1) / total,
+            "embed": np.stack([np.bincount(every_row, of, size) for of in to_x], axis=1) / total,
             "q": q * scale, "k": k, "v": v, "near": np.bincount(away[near], to_near[near], self.context) / total,
             "out": to_onto[:, width:-1].T / total, "direct": to_onto[:, :width].T / total, "bias": to_onto[:, -1] / total,
         }
